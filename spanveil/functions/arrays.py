@@ -1,4 +1,11 @@
-"""Small helpers over array columns that stay linear in the array length."""
+"""Helpers over array columns that stay near linear in the array length.
+
+A fold that appends to an array copies all of it at every step, so nothing
+here collects results in an accumulator: values are looked up by position.
+
+Bodies of several steps are SQL text. One expression then takes one parse,
+where building it call by call takes thousands of round trips to the JVM.
+"""
 
 from __future__ import annotations
 
@@ -7,59 +14,81 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Appending to an array copies it, so scans append to a short run and set full
-# runs aside; documents with very many spans then stay near linear.
-RUN = 256
 # Code points per block when a text is cut up for slicing.
 BLOCK = 4096
-
-
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Evaluate ``value`` once and use it several times inside ``body``."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+# Elements per block of a running total are 2 ** SHIFT.
+SHIFT = 5
+LEVELS = 1
+NO_INTS = "cast(array() AS array<int>)"
 
 
 def empty(element_type: str) -> Column:
     return F.expr(f"cast(array() as array<{element_type}>)")
 
 
-def scan(
-    items: Column,
-    state: Column,
-    step: Callable[[Column, Column], tuple[Column, Column]],
-    out_type: str,
-    last: Callable[[Column], Column] | None = None,
-) -> Column:
-    """Run over ``items`` in order and collect what each step emits.
+def let(value: str, name: str, body: str) -> str:
+    """SQL: evaluate ``value`` once and use it as ``name`` in ``body``.
 
-    ``step(state, item)`` gives the next state and an array of outputs;
-    ``last(state)`` may emit a closing array.
+    A fold over nothing: its start is the value, its finish the body. Unlike
+    a one-element transform it does not copy the value.
     """
-    zero = F.struct(
-        state.alias("state"),
-        empty(out_type).alias("run"),
-        empty(f"array<{out_type}>").alias("full"),
+    return f"aggregate({NO_INTS}, {value}, ({name}, _e) -> {name}, {name} -> {body})"
+
+
+def bind(value: Column, body: str) -> Column:
+    """A SQL expression over one value, named ``v`` in it."""
+    return F.call_function("aggregate", empty("int"), value, F.expr("(v, _e) -> v"), F.expr(f"v -> {body}"))
+
+
+def once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Like :func:`bind`, for a body that needs functions of columns."""
+    return F.aggregate(empty("int"), value, lambda v, _: v, body)
+
+
+def positions(first: str, last: str) -> str:
+    """SQL: ``first`` to ``last`` inclusive; empty when there is none."""
+    return f"(CASE WHEN {last} >= {first} THEN sequence({first}, {last}) ELSE {NO_INTS} END)"
+
+
+def running(values: str, greatest: bool = False, levels: int = LEVELS) -> str:
+    """SQL: the running sum of an integer array, or its running maximum from 0.
+
+    Totals of blocks, then totals of those, so that each element looks back
+    over a few blocks only.
+    """
+    v, totals, before = f"_v{levels}", f"_t{levels}", f"_b{levels}"
+
+    def combine(a: str, b: str) -> str:
+        return f"greatest({a}, {b})" if greatest else f"{a} + {b}"
+
+    def over(first: str, last: str) -> str:
+        return f"aggregate({positions(first, last)}, 0, (_a, _j) -> cast({combine('_a', f'get({v}, _j)')} AS int))"
+
+    plain = f"transform({v}, (_x, _i) -> {over('0', '_i')})"
+    if levels == 0:
+        return let(values, v, plain)
+    last = f"(size({v}) - 1)"
+    blocks_of = positions("0", f"shiftright({last}, {SHIFT})")
+    sums = (
+        f"transform({blocks_of}, _k -> "
+        f"{over(f'shiftleft(_k, {SHIFT})', f'least(shiftleft(_k + 1, {SHIFT}) - 1, {last})')})"
     )
+    own = over(f"shiftleft(shiftright(_i, {SHIFT}), {SHIFT})", "_i")
+    earlier = f"get({before}, shiftright(_i, {SHIFT}) - 1)"
+    filled = f"transform({v}, (_x, _i) -> cast({combine(f'coalesce({earlier}, 0)', own)} AS int))"
+    blocked = let(sums, totals, let(running(totals, greatest, levels - 1), before, filled))
+    return let(values, v, f"CASE WHEN size({v}) <= {1 << SHIFT} THEN {plain} ELSE {blocked} END")
 
-    def merge(acc: Column, item: Column) -> Column:
-        after, out = step(acc["state"], item)
-        ready = F.size(acc["run"]) >= RUN
-        return let(
-            F.struct(after.alias("state"), out.alias("out")),
-            lambda n: F.struct(
-                n["state"].alias("state"),
-                F.when(ready, n["out"]).otherwise(F.concat(acc["run"], n["out"])).alias("run"),
-                F.when(ready, F.concat(acc["full"], F.array(acc["run"]))).otherwise(acc["full"]).alias("full"),
-            ),
-        )
 
-    def finish(acc: Column) -> Column:
-        parts = [F.flatten(acc["full"]), acc["run"]]
-        if last is not None:
-            parts.append(last(acc["state"]))
-        return F.concat(*parts)
+def groups(array: str, begins: str, body: str) -> str:
+    """SQL: one ``body`` per group of neighbours in ``array``.
 
-    return F.aggregate(items, zero, merge, finish)
+    ``begins`` tells for position ``_p`` whether a group begins there;
+    ``body`` sees the group's ``_first`` and ``_last`` position.
+    """
+    starts = f"filter({positions('0', f'size({array}) - 1')}, _p -> {begins})"
+    ends = f"transform(_starts, (_x, _i) -> coalesce(get(_starts, _i + 1), size({array})) - 1)"
+    return let(starts, "_starts", f"zip_with(_starts, {ends}, (_first, _last) -> {body})")
 
 
 def blocks(text: Column, size: int = BLOCK) -> Column:
@@ -71,13 +100,14 @@ def blocks(text: Column, size: int = BLOCK) -> Column:
     return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{size}}}+"), F.lit(0))
 
 
-def piece(cut: Column, start: Column, end: Column, size: int = BLOCK) -> Column:
-    """Code points ``start`` to ``end`` of a text cut by :func:`blocks`."""
-    first = F.floor(start / size).cast("int")
-    final = F.floor((end - 1) / size).cast("int")
-    joined = F.when(first == final, F.get(cut, first)).otherwise(
-        F.array_join(F.slice(cut, first + 1, final - first + 1), "")
+def piece(cut: str, start: str, end: str, size: int = BLOCK) -> str:
+    """SQL: code points ``start`` to ``end`` of a text cut by :func:`blocks`."""
+    first, final = f"cast(floor({start} / {size}) AS int)", f"cast(floor(({end} - 1) / {size}) AS int)"
+    joined = (
+        f"CASE WHEN {first} = {final} THEN get({cut}, {first}) "
+        f"ELSE array_join(slice({cut}, {first} + 1, {final} - {first} + 1), '') END"
     )
-    return F.when(start >= end, F.lit("")).otherwise(
-        F.substring(joined, start - first * size + 1, end - start)
+    return (
+        f"CASE WHEN {start} >= {end} THEN '' "
+        f"ELSE substring({joined}, {start} - {first} * {size} + 1, {end} - {start}) END"
     )

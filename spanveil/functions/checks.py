@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from spanveil.functions.arrays import let
+from spanveil.functions.arrays import bind, let
 
 # Check letters and alphabets as published by their issuers.
 NRIC_LETTERS = {"ST": "JZIHGFEDCBA", "FG": "XWUTRQPNMLK", "M": "XWUTRQPNJLK"}
@@ -108,10 +108,8 @@ def iso_date(value: Column) -> Column:
 
 def slashed_date(value: Column) -> Column:
     """Day first or month first."""
-    return let(
-        F.transform(F.split(value, "[/.-]"), lambda p: p.cast("int")),
-        lambda p: day_exists(p[2], p[1], p[0]) | day_exists(p[2], p[0], p[1]),
-    )
+    year, first, second = [F.split_part(F.translate(value, ".-", "//"), F.lit("/"), F.lit(i)).cast("int") for i in (3, 1, 2)]
+    return day_exists(year, second, first) | day_exists(year, first, second)
 
 
 def wallet(value: Column) -> Column:
@@ -119,27 +117,20 @@ def wallet(value: Column) -> Column:
 
     The number is kept as nine limbs of 24 bits, lowest first.
     """
-    limbs = 9
-    base = 1 << 24
-
-    def step(acc: Column, c: Column) -> Column:
-        carry = F.instr(F.lit(BASE58), c).cast("long") - 1
-        out = []
-        for j in range(limbs):
-            total = F.get(acc, F.lit(j)) * 58 + carry
-            out.append(F.pmod(total, F.lit(base)))
-            carry = F.shiftright(total, 24)
-        return F.array(*out)
-
-    zero = F.array(*[F.lit(0).cast("long") for _ in range(limbs)])
-    number = F.aggregate(F.split(value, ""), zero, step)
-
-    def verify(n: Column) -> Column:
-        parts = [F.lpad(F.hex(F.get(n, F.lit(limbs - 1))), 2, "0")]
-        parts += [F.lpad(F.hex(F.get(n, F.lit(j))), 6, "0") for j in range(limbs - 2, -1, -1)]
-        whole = F.concat(*parts)
-        once = F.unhex(F.sha2(F.unhex(F.substring(whole, 1, 42)), 256))
-        fits = F.get(n, F.lit(limbs - 1)) < 256
-        return fits & (F.upper(F.substring(F.sha2(once, 256), 1, 8)) == F.substring(whole, 43, 8))
-
-    return let(number, verify)
+    limbs, bits = 9, 24
+    carry = f"cast(instr('{BASE58}', _c) - 1 AS bigint)"
+    out = []
+    for j in range(limbs):
+        total = f"(get(_n, {j}) * 58 + {carry})"
+        out.append(f"{total} & {(1 << bits) - 1}")
+        carry = f"shiftright({total}, {bits})"
+    zeros = ", ".join(["0L"] * limbs)
+    number = f"aggregate(split(v, ''), array({zeros}), (_n, _c) -> array({', '.join(out)}))"
+    # the top limb holds one byte, the others three each
+    hexed = ", ".join(
+        [f"lpad(hex(get(_n, {limbs - 1})), 2, '0')"]
+        + [f"lpad(hex(get(_n, {j})), 6, '0')" for j in range(limbs - 2, -1, -1)]
+    )
+    check = "upper(substring(sha2(unhex(sha2(unhex(substring(_h, 1, 42)), 256)), 256), 1, 8))"
+    verdict = let(f"concat({hexed})", "_h", f"{check} = substring(_h, 43, 8)")
+    return bind(value, let(number, "_n", f"get(_n, {limbs - 1}) < 256 AND {verdict}"))

@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from spanveil.functions.arrays import blocks, empty, let, piece, scan
+from spanveil.functions.arrays import bind, blocks, empty, groups, let, once, piece, positions, running
 
 SPAN_TYPE = "struct<entity_type:string,start:int,end:int,score:double,explanation:string>"
 ITEM_TYPE = "struct<operator:string,entity_type:string,start:int,end:int,text:string>"
@@ -36,42 +36,68 @@ def after_boundary(first: str) -> str:
     return rf"{first}(?<!{WORD}{first})"
 
 
-def last_words(text: Column, count: int) -> Column:
-    """The end of ``text`` holding its last ``count`` words (or all of them)."""
-    tail = F.regexp_extract(F.reverse(text), rf"^(?:{NOT_WORD}*{WORD}+){{1,{count}}}", 0)
-    return F.reverse(tail)
+def last_words(text: str, count: int = CONTEXT_WORDS) -> str:
+    """SQL: the end of ``text`` holding its last ``count`` words (or all of them)."""
+    return f"reverse(regexp_extract(reverse({text}), r'^(?:{NOT_WORD}*{WORD}+){{1,{count}}}', 0))"
 
 
-def matches(text: Column, regex: Column, words_before: Column | None = None) -> Column:
-    """All matches of ``regex`` with offsets, as ``array<struct<start,end,value,before>>``.
+def words(text: str) -> str:
+    """SQL: the words of a text."""
+    return f"regexp_extract_all({text}, r'{WORD}+', 0)"
 
-    The pieces between matches give the offsets. Where ``words_before`` is
-    true, ``before`` ends just before the match and holds the words that can
-    be its context; it is carried along from match to match, so no match looks
-    at the whole text before it.
-    """
-    steps = F.zip_with(
-        F.regexp_extract_all(text, regex, F.lit(0)),
-        F.split(text, regex, -1),
-        lambda m, g: F.struct(m.alias("value"), g.alias("gap")),
+
+def pieces(text: str, regex: str) -> str:
+    """SQL: matches and the text before each, as ``array<struct<value,gap>>``."""
+    both = (
+        f"zip_with(regexp_extract_all({text}, {regex}, 0), split({text}, {regex}, -1), "
+        "(_m, _g) -> named_struct('value', _m, 'gap', _g))"
     )
     # there is one piece more than there are matches
-    steps = F.filter(steps, lambda s: s["value"].isNotNull())
-    none = F.lit(None).cast("string")
+    return f"filter({both}, _s -> _s.value IS NOT NULL)"
+
 
-    def step(state: Column, s: Column) -> tuple[Column, Column]:
-        start = state["at"] + F.length(s["gap"])
-        end = start + F.length(s["value"])
-        if words_before is None:
-            before, tail = none, F.lit("")
-        else:
-            before = F.when(words_before, last_words(F.concat(state["tail"], s["gap"]), CONTEXT_WORDS))
-            tail = F.when(words_before, last_words(F.concat(state["tail"], s["gap"], s["value"]), CONTEXT_WORDS))
-        out = F.struct(start.alias("start"), end.alias("end"), s["value"].alias("value"), before.alias("before"))
-        return F.struct(end.alias("at"), tail.alias("tail")), F.array(out)
+def located(steps: str, body: str) -> str:
+    """SQL: ``body`` for each match of :func:`pieces`.
 
-    state = F.struct(F.lit(0).alias("at"), F.lit("").alias("tail"))
-    return scan(steps, state, step, MATCH_TYPE)
+    It sees the match as ``_s``, its position as ``_i``, and all ends as
+    ``_ends``; the lengths of the pieces give the offsets.
+    """
+    ends = running("transform(_steps, _s -> length(_s.gap) + length(_s.value))")
+    return let(steps, "_steps", let(ends, "_ends", f"transform(_steps, (_s, _i) -> {body})"))
+
+
+def _context() -> str:
+    """SQL: the last words before a match, from a few pieces back.
+
+    Those hold enough words, unless matches hold none; only then the whole
+    text before the match is looked at.
+    """
+    first = f"greatest(_i - {CONTEXT_WORDS}, 0)"
+    near = (
+        f"array_join(transform(sequence({first}, _i), _j -> "
+        "concat(get(_steps, _j).gap, if(_j < _i, get(_steps, _j).value, ''))), '')"
+    )
+    enough = f"{first} = 0 OR size({words('_tail')}) >= {CONTEXT_WORDS}"
+    whole = last_words("substring(v.text, 1, get(_ends, _i) - length(_s.value))")
+    return let(last_words(near), "_tail", f"CASE WHEN {enough} THEN _tail ELSE {whole} END")
+
+
+def matches(text: Column, regex: Column, words_before: Column | None = None) -> Column:
+    """All matches of ``regex`` with offsets, as ``array<struct<start,end,value,before>>``.
+
+    Where ``words_before`` is true, ``before`` ends just before the match and
+    holds the words that can be its context.
+    """
+    fields = [text.alias("text"), regex.alias("regex")]
+    before = "cast(NULL AS string)"
+    if words_before is not None:
+        fields.append(words_before.alias("wanted"))
+        before = f"CASE WHEN v.wanted THEN {_context()} END"
+    body = (
+        "named_struct('start', get(_ends, _i) - length(_s.value), 'end', get(_ends, _i), "
+        f"'value', _s.value, 'before', {before})"
+    )
+    return bind(F.struct(*fields), located(pieces("v.text", "v.regex"), body))
 
 
 def regex_matches(text: Column, regex: str) -> Column:
@@ -79,24 +105,15 @@ def regex_matches(text: Column, regex: str) -> Column:
     return F.when(text.rlike(regex), matches(text, F.lit(regex))).otherwise(empty(MATCH_TYPE))
 
 
-def has_word(text: Column, words: Column) -> Column:
-    """Whether one of ``words`` (lower case) is a whole word of ``text``, in any case."""
-    tokens = F.regexp_extract_all(F.lower(text), F.lit(f"{WORD}+"), F.lit(0))
-    return F.arrays_overlap(tokens, words)
+def has_word(text: Column, wanted: Column) -> Column:
+    """Whether one of ``wanted`` (lower case) is a whole word of ``text``, in any case."""
+    return F.arrays_overlap(F.regexp_extract_all(F.lower(text), F.lit(f"{WORD}+"), F.lit(0)), wanted)
 
 
 def first_of_each(candidates: Column, keys: list[str]) -> Column:
     """Sort an array of structs and keep the first one of every key."""
-    def same(a: Column, b: Column) -> Column:
-        test = a[keys[0]] == b[keys[0]]
-        for k in keys[1:]:
-            test = test & (a[k] == b[k])
-        return test
-
-    return let(
-        F.array_sort(candidates),
-        lambda s: F.filter(s, lambda x, i: (i == 0) | ~same(F.get(s, i - 1), x)),
-    )
+    same = " AND ".join(f"get(_c, _i - 1).{k} = _x.{k}" for k in keys)
+    return bind(candidates, let("array_sort(v)", "_c", f"filter(_c, (_x, _i) -> _i = 0 OR NOT ({same}))"))
 
 
 def merge_overlaps(spans: Column) -> Column:
@@ -105,78 +122,47 @@ def merge_overlaps(spans: Column) -> Column:
     An island covers every span in it and takes the type of the best one by
     score, then length, then name. Spans that only touch stay apart.
     """
-    ranked = F.array_sort(
-        F.transform(
-            spans,
-            lambda s: F.struct(
-                s["start"].alias("start"),
-                s["end"].alias("end"),
-                F.struct(
-                    s["score"].cast("double").alias("score"),
-                    (s["end"] - s["start"]).alias("length"),
-                    s["entity_type"].alias("entity_type"),
-                ).alias("best"),
-            ),
-        )
+    ranked = (
+        "array_sort(transform(v, _s -> named_struct('start', _s.start, 'end', _s.end, 'best', named_struct("
+        "'score', cast(_s.score AS double), 'length', _s.end - _s.start, 'entity_type', _s.entity_type))))"
     )
-    open_type = "struct<start:int,end:int,best:struct<score:double,length:int,entity_type:string>>"
-
-    def close(island: Column) -> Column:
-        return F.array(
-            F.struct(
-                island["start"].alias("start"),
-                island["end"].alias("end"),
-                island["best"]["entity_type"].alias("entity_type"),
-                island["best"]["score"].alias("score"),
-            )
-        )
-
-    def step(island: Column, s: Column) -> tuple[Column, Column]:
-        overlaps = s["start"] < island["end"]
-        grown = F.struct(
-            island["start"].alias("start"),
-            F.greatest(island["end"], s["end"]).alias("end"),
-            F.greatest(island["best"], s["best"]).alias("best"),
-        )
-        emitted = F.when(island.isNull() | overlaps, empty(ISLAND_TYPE)).otherwise(close(island))
-        return F.when(overlaps, grown).otherwise(s), emitted
-
-    def last(island: Column) -> Column:
-        return F.when(island.isNull(), empty(ISLAND_TYPE)).otherwise(close(island))
-
-    merged = scan(ranked, F.lit(None).cast(open_type), step, ISLAND_TYPE, last)
-    return F.when(F.size(spans) > 0, merged).otherwise(empty(ISLAND_TYPE))
+    best = (
+        f"aggregate({positions('_first + 1', '_last')}, get(_r, _first).best, "
+        "(_a, _j) -> greatest(_a, get(_r, _j).best))"
+    )
+    island = let(
+        best, "_top",
+        "named_struct('start', get(_r, _first).start, 'end', get(_reach, _last), "
+        "'entity_type', _top.entity_type, 'score', _top.score)",
+    )
+    apart = "_p = 0 OR get(_r, _p).start >= get(_reach, _p - 1)"
+    reach = running("transform(_r, _s -> _s.end)", greatest=True)
+    merged = let(ranked, "_r", let(reach, "_reach", groups("_r", apart, island)))
+    return bind(spans, f"CASE WHEN size(v) > 0 THEN {merged} ELSE cast(array() AS array<{ISLAND_TYPE}>) END")
 
 
 def inside(spans: Column, text: Column) -> Column:
     """Clip spans to the text and drop the empty ones."""
-    def clip(s: Column) -> Column:
-        return F.struct(
-            F.greatest(s["start"], F.lit(0)).alias("start"),
-            F.least(s["end"], F.length(text)).alias("end"),
-            s["entity_type"].alias("entity_type"),
-            s["score"].alias("score"),
-        )
-
-    return F.filter(F.transform(spans, clip), lambda s: s["start"] < s["end"])
+    clipped = (
+        "transform(v.spans, _s -> named_struct('start', greatest(_s.start, 0), 'end', least(_s.end, v.n), "
+        "'entity_type', _s.entity_type, 'score', _s.score))"
+    )
+    return bind(
+        F.struct(spans.alias("spans"), F.length(text).alias("n")), f"filter({clipped}, _s -> _s.start < _s.end)"
+    )
 
 
 def surfaces(text: Column, spans: Column, fields: list[str]) -> Column:
     """Spans with the piece of text they cover as field ``text``."""
-    def cut(b: Column) -> Column:
-        return F.transform(
-            spans,
-            lambda s: F.struct(
-                *[s[f].alias(f) for f in fields],
-                piece(b, s["start"], s["end"]).alias("text"),
-            ),
-        )
+    kept = ", ".join(f"'{f}', _s.{f}" for f in fields)
+
+    def cut(spans_sql: str, value: str) -> str:
+        return f"transform({spans_sql}, _s -> named_struct({kept}, 'text', {value}))"
 
-    none = F.transform(
-        F.slice(spans, 1, 0),
-        lambda s: F.struct(*[s[f].alias(f) for f in fields], F.lit("").alias("text")),
+    full = bind(
+        F.struct(blocks(text).alias("b"), spans.alias("spans")), cut("v.spans", piece("v.b", "_s.start", "_s.end"))
     )
-    return F.when(F.size(spans) > 0, let(blocks(text), cut)).otherwise(none)
+    return F.when(F.size(spans) > 0, full).otherwise(bind(spans, cut("slice(v, 1, 0)", "''")))
 
 
 def rewrite(text: Column, islands: Column, replace: Callable[[Column, Column], Column]) -> Column:
@@ -186,49 +172,31 @@ def rewrite(text: Column, islands: Column, replace: Callable[[Column, Column], C
     gives ``struct<operator, text>``. Items carry offsets in the new text and
     come last first.
     """
-    def with_values(b: Column) -> Column:
-        return F.transform(
-            islands,
-            lambda s: let(
-                replace(s, piece(b, s["start"], s["end"])),
-                lambda r: F.struct(
-                    s["start"].alias("start"),
-                    s["end"].alias("end"),
-                    s["entity_type"].alias("entity_type"),
-                    r["operator"].alias("operator"),
-                    r["text"].alias("text"),
-                ),
-            ),
-        )
+    # name the value of each island, replace it, then put the text together
+    values = (
+        "named_struct('b', v.b, 'n', v.n, 'islands', transform(v.islands, _s -> "
+        "named_struct('start', _s.start, 'end', _s.end, 'entity_type', _s.entity_type, "
+        f"'value', {piece('v.b', '_s.start', '_s.end')})))"
+    )
+    given = F.struct(blocks(text).alias("b"), F.length(text).alias("n"), islands.alias("islands"))
 
-    def place(state: Column, s: Column) -> tuple[Column, Column]:
-        start = s["start"] + state
-        end = start + F.length(s["text"])
-        item = F.struct(
-            s["operator"].alias("operator"),
-            s["entity_type"].alias("entity_type"),
-            start.alias("start"),
-            end.alias("end"),
-            s["text"].alias("text"),
+    def replaced(v: Column) -> Column:
+        done = F.transform(
+            v["islands"], lambda s: F.struct(s.alias("s"), replace(s, s["value"]).alias("r"))
         )
-        return state + F.length(s["text"]) - (s["end"] - s["start"]), F.array(item)
-
-    def build(b: Column) -> Column:
-        def parts(done: Column) -> Column:
-            kept = F.transform(
-                done,
-                lambda s, i: F.concat(
-                    piece(b, F.when(i == 0, F.lit(0)).otherwise(F.get(done, i - 1)["end"]), s["start"]),
-                    s["text"],
-                ),
-            )
-            rest = piece(b, F.element_at(done, -1)["end"], F.length(text))
-            return F.struct(
-                F.concat(F.array_join(kept, ""), rest).alias("text"),
-                F.reverse(scan(done, F.lit(0), place, ITEM_TYPE)).alias("items"),
-            )
-
-        return let(with_values(b), parts)
-
+        return F.struct(v["b"].alias("b"), v["n"].alias("n"), done.alias("done"))
+
+    before = "if(_i = 0, 0, get(v.done, _i - 1).s.end)"
+    kept = f"transform(v.done, (_d, _i) -> concat({piece('v.b', before, '_d.s.start')}, _d.r.text))"
+    rest = piece("v.b", "element_at(v.done, -1).s.end", "v.n")
+    growth = running("transform(v.done, _d -> length(_d.r.text) - (_d.s.end - _d.s.start))")
+    items = (
+        f"zip_with(v.done, {growth}, (_d, _w) -> named_struct('operator', _d.r.operator, "
+        "'entity_type', _d.s.entity_type, 'start', _d.s.end + _w - length(_d.r.text), 'end', _d.s.end + _w, "
+        "'text', _d.r.text))"
+    )
+    whole = f"named_struct('text', concat(array_join({kept}, ''), {rest}), 'items', reverse({items}))"
+    named = bind(given, values)
+    full = bind(once(named, replaced), whole)
     unchanged = F.struct(text.alias("text"), empty(ITEM_TYPE).alias("items"))
-    return F.when(F.size(islands) > 0, let(blocks(text), build)).otherwise(unchanged)
+    return F.when(F.size(islands) > 0, full).otherwise(unchanged)

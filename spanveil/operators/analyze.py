@@ -8,7 +8,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanveil.functions.arrays import empty, let
+from spanveil.functions.arrays import bind, empty, once
 from spanveil.functions.spans import SPAN_TYPE, first_of_each, has_word, matches
 from spanveil.operators.recognizers import (
     Pattern,
@@ -108,7 +108,7 @@ def candidates(
 
     if guards:
         # every distinct guard is evaluated once per text
-        hits = let(
+        hits = once(
             F.struct(*[guard(g).alias(f"g{i}") for i, g in enumerate(guards)]),
             lambda guarded: F.array(*[hit(r, p, guarded) for r, p in chosen]),
         )
@@ -118,15 +118,9 @@ def candidates(
     return F.flatten(parts)
 
 
-def _explanation(c: Column) -> Column:
-    score = -c["minus_score"]
-    said = F.concat(
-        F.lit("recognizer '"), c["recognizer"], F.lit("', pattern '"), c["pattern"],
-        F.lit("', score "), F.format_number(c["base_score"], 2),
-        F.when(score > c["base_score"], F.concat(F.lit(", raised to "), F.format_number(score, 2), F.lit(" by context")))
-        .otherwise(F.lit("")),
-    )
-    return F.replace(said, F.lit('"'), F.lit("'"))
+EXPLANATION = """replace(concat('recognizer \'', _c.recognizer, '\', pattern \'', _c.pattern, '\', score ',
+  format_number(_c.base_score, 2), if(-_c.minus_score > _c.base_score,
+  concat(', raised to ', format_number(-_c.minus_score, 2), ' by context'), '')), '"', '\'')"""
 
 
 def _plan(engine: EngineOptions, options: AnalyzeOptions):
@@ -164,21 +158,17 @@ def analyze(
         chosen = [r for r in chosen if r.languages is None or options.language in r.languages]
     found = candidates(text, chosen, None if per_row else wanted, static, language if lang_col else None)
 
-    fields = lambda c: F.struct(
-        c["entity_type"].alias("entity_type"),
-        c["start"].alias("start"),
-        c["end"].alias("end"),
-        (-c["minus_score"]).alias("score"),
-        (_explanation(c) if options.return_decision_process else F.lit(None).cast("string")).alias("explanation"),
-        *([c["value"].alias("text")] if with_text else []),
-    )
-    keep = lambda c: -c["minus_score"] >= limit
+    keep = "-_c.minus_score >= v.least"
+    given = [first_of_each(found, KEY).alias("found"), limit.alias("least")]
     if per_row:
-        allowed = wanted
-        keep = lambda c: (-c["minus_score"] >= limit) & (
-            allowed.isNull() | F.array_contains(allowed, c["entity_type"])
-        )
-    spans = F.transform(F.filter(first_of_each(found, KEY), keep), fields)
+        given.append(wanted.alias("wanted"))
+        keep += " AND (v.wanted IS NULL OR array_contains(v.wanted, _c.entity_type))"
+    explanation = EXPLANATION if options.return_decision_process else "cast(NULL AS string)"
+    fields = (
+        "'entity_type', _c.entity_type, 'start', _c.start, 'end', _c.end, 'score', -_c.minus_score, "
+        f"'explanation', {explanation}" + (", 'text', _c.value" if with_text else "")
+    )
+    spans = bind(F.struct(*given), f"transform(filter(v.found, _c -> {keep}), _c -> named_struct({fields}))")
     nothing = empty(SPAN_TYPE[:-1] + ",text:string>" if with_text else SPAN_TYPE)
 
     supported = F.lit(True)
@@ -254,27 +244,17 @@ def decision_log(
     static = None if isinstance(wanted, Column) else wanted
     found = candidates(F.col(text_col), chosen, static)
 
-    def mark(s: Column) -> Column:
-        def entry(c: Column, i: Column) -> Column:
-            before = F.get(s, i - 1)
-            repeated = (i > 0) & (before["start"] == c["start"]) & (before["end"] == c["end"])
-            repeated = repeated & (before["entity_type"] == c["entity_type"])
-            allowed = F.lit(True)
-            if isinstance(wanted, Column):
-                allowed = wanted.isNull() | F.array_contains(wanted, c["entity_type"])
-            return F.struct(
-                c["recognizer"].alias("recognizer"),
-                c["pattern"].alias("pattern"),
-                c["entity_type"].alias("entity_type"),
-                c["start"].alias("start"),
-                c["end"].alias("end"),
-                c["base_score"].alias("base_score"),
-                (-c["minus_score"]).alias("final_score"),
-                ((-c["minus_score"] >= limit) & ~repeated & allowed).alias("kept"),
-            )
-
-        return F.transform(s, entry)
-
-    log = df.select(F.col(id_col), let(F.array_sort(found), mark).alias("_log"))
+    given = [F.array_sort(found).alias("found"), limit.alias("least")]
+    again = " AND ".join(f"get(v.found, _i - 1).{k} = _c.{k}" for k in KEY)
+    kept = f"-_c.minus_score >= v.least AND NOT (_i > 0 AND {again})"
+    if isinstance(wanted, Column):
+        given.append(wanted.alias("wanted"))
+        kept += " AND (v.wanted IS NULL OR array_contains(v.wanted, _c.entity_type))"
+    marked = (
+        "transform(v.found, (_c, _i) -> named_struct('recognizer', _c.recognizer, 'pattern', _c.pattern, "
+        "'entity_type', _c.entity_type, 'start', _c.start, 'end', _c.end, 'base_score', _c.base_score, "
+        f"'final_score', -_c.minus_score, 'kept', {kept}))"
+    )
+    log = df.select(F.col(id_col), bind(F.struct(*given), marked).alias("_log"))
     rows = span_rows(log, id_col, spans_col="_log")
     return rows.select(F.lit(options.correlation_id).cast("string").alias("correlation_id"), "*")

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanveil.functions import replacing
-from spanveil.functions.arrays import let
+from spanveil.functions.arrays import once
 from spanveil.functions.spans import inside, merge_overlaps, rewrite
 
 DEFAULT = "DEFAULT"
@@ -192,7 +192,7 @@ def _by_table(ops: Column, doc: Column, mode: str, base64_key: bool):
                 F.coalesce(text, replacing.placeholder(s["entity_type"])),
             )
 
-        return let(
+        return once(
             F.coalesce(F.try_element_at(ops, s["entity_type"]), F.try_element_at(ops, F.lit(DEFAULT))), apply
         )
 

@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanveil.functions.arrays import scan
+from spanveil.functions.arrays import bind, groups, let
 from spanveil.functions.spans import inside, merge_overlaps, surfaces
 
 ALL = "ALL"
@@ -24,26 +24,11 @@ def default_normal(value: Column) -> Column:
     return F.lower(F.trim(value))
 
 
-def counted(keys: Column, key_type: str) -> Column:
+def counted(keys: Column) -> Column:
     """Distinct elements of an array with their counts, as ``array<struct<key,n>>``."""
-    out_type = f"struct<key:{key_type},n:bigint>"
-
-    def pack(state: Column) -> Column:
-        return F.array(F.struct(state["key"].alias("key"), state["n"].alias("n")))
-
-    none = F.expr(f"cast(array() as array<{out_type}>)")
-
-    def step(state: Column, key: Column) -> tuple[Column, Column]:
-        same = state["key"] == key
-        after = F.struct(
-            key.alias("key"), F.when(same, state["n"] + 1).otherwise(F.lit(1).cast("long")).alias("n")
-        )
-        return after, F.when(state.isNull() | same, none).otherwise(pack(state))
-
-    return scan(
-        F.array_sort(keys), F.lit(None).cast(out_type), step, out_type,
-        lambda state: F.when(state.isNull(), none).otherwise(pack(state)),
-    )
+    new = "_p = 0 OR get(_k, _p) <> get(_k, _p - 1)"
+    one = "named_struct('key', get(_k, _first), 'n', cast(_last - _first + 1 AS bigint))"
+    return bind(keys, let("array_sort(v)", "_k", groups("_k", new, one)))
 
 
 def entity_summary(df: DataFrame, by: str, spans_col: str = "spans") -> DataFrame:
@@ -107,7 +92,7 @@ def doc_values(
         ),
     )
     rows = df.select(
-        F.col(id_col), F.explode_outer(counted(keys, "struct<entity_type:string,value:binary>")).alias("_v")
+        F.col(id_col), F.explode_outer(counted(keys)).alias("_v")
     ).where(F.col("_v").isNotNull())
     return rows.select(id_col, "_v.key.entity_type", "_v.key.value", F.col("_v.n").alias("n"))
 

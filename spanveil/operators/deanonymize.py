@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanveil.functions import replacing
-from spanveil.functions.arrays import let
+from spanveil.functions.arrays import once
 from spanveil.functions.spans import inside, merge_overlaps, rewrite
 from spanveil.operators.anonymize import DEFAULT, check_key, config_map, secrets
 
@@ -56,7 +56,7 @@ def deanonymize(
 
     def replace(s: Column, value: Column) -> Column:
         def opened(key: Column) -> Column:
-            return let(
+            return once(
                 replacing.decrypt(value, key, mode, base64_key),
                 lambda plain: F.struct(
                     F.when(key.isNull(), "missing_key").when(plain.isNull(), "bad_key").otherwise("decrypt").alias(
@@ -66,7 +66,7 @@ def deanonymize(
                 ),
             )
 
-        return let(F.coalesce(key_of(s["entity_type"]), key_of(F.lit(DEFAULT))), opened)
+        return once(F.coalesce(key_of(s["entity_type"]), key_of(F.lit(DEFAULT))), opened)
 
     ready = text.isNotNull() & items.isNotNull()
     done = F.when(ready, rewrite(text, merge_overlaps(inside(sealed, text)), replace))

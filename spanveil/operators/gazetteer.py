@@ -5,56 +5,33 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanveil.functions.arrays import let, scan
-from spanveil.functions.spans import SPAN_TYPE, WORD
-from spanveil.functions.arrays import empty
+from spanveil.functions.arrays import bind, empty, let
+from spanveil.functions.spans import SPAN_TYPE, WORD, located, pieces
 from spanveil.operators.analyze import combine_spans
 
-TOKEN_TYPE = "struct<start:int,end:int,value:string,glued:boolean>"
 # A phrase table up to this size is sent to every executor.
 BROADCAST_BYTES = 32 * 1024 * 1024
 
 
-def tokens(text: Column) -> Column:
-    """Words with offsets; ``glued`` tells that only white space precedes."""
-    word = F.lit(f"{WORD}+")
-    steps = F.zip_with(
-        F.regexp_extract_all(text, word, F.lit(0)),
-        F.split(text, word, -1),
-        lambda m, g: F.struct(m.alias("value"), g.alias("gap")),
-    )
-
-    def step(at: Column, s: Column) -> tuple[Column, Column]:
-        start = at + F.length(s["gap"])
-        end = start + F.length(s["value"])
-        token = F.struct(
-            start.alias("start"), end.alias("end"), s["value"].alias("value"), s["gap"].rlike(r"^\s+$").alias("glued")
-        )
-        return end, F.array(token)
-
-    return scan(F.filter(steps, lambda s: s["value"].isNotNull()), F.lit(0), step, TOKEN_TYPE)
-
-
 def phrases_in(text: Column, max_words: int) -> Column:
-    """All runs of 1 to ``max_words`` words that only white space separates."""
+    """All runs of 1 to ``max_words`` words that only white space separates.
 
-    def runs(t: Column) -> Column:
-        def at(token: Column, i: Column) -> Column:
-            out = [F.array(F.struct(token["start"].alias("start"), token["end"].alias("end"), token["value"].alias("phrase")))]
-            for n in range(2, max_words + 1):
-                part = F.slice(t, i + 1, F.lit(n))
-                whole = (F.size(part) == n) & F.forall(F.slice(part, 2, n - 1), lambda x: x["glued"])
-                run = F.struct(
-                    token["start"].alias("start"),
-                    F.element_at(part, -1)["end"].alias("end"),
-                    F.array_join(F.transform(part, lambda x: x["value"]), " ").alias("phrase"),
-                )
-                out.append(F.when(whole, F.array(run)).otherwise(F.slice(F.array(run), 1, 0)))
-            return F.concat(*out) if len(out) > 1 else out[0]
-
-        return F.flatten(F.transform(t, at))
-
-    return let(tokens(text), runs)
+    Elements are looked up by position: slicing an array copies all of it.
+    """
+    token = (
+        "named_struct('start', get(_ends, _i) - length(_s.value), 'end', get(_ends, _i), 'value', _s.value, "
+        r"'glued', _s.gap RLIKE r'^\s+$')"
+    )
+    runs, values, whole = [], [], "true"
+    for n in range(max_words):
+        final = f"get(_t, _k + {n})"
+        values.append(f"{final}.value")
+        if n:
+            whole += f" AND coalesce({final}.glued, false)"
+        run = f"named_struct('start', _w.start, 'end', {final}.end, 'phrase', concat_ws(' ', {', '.join(values)}))"
+        runs.append(f"CASE WHEN {whole} THEN {run} END")
+    made = f"flatten(transform(_t, (_w, _k) -> array({', '.join(runs)})))"
+    return bind(text, let(located(pieces("v", f"r'{WORD}+'"), token), "_t", made))
 
 
 def gazetteer_spans(
