@@ -118,9 +118,10 @@ def candidates(
     return F.flatten(parts)
 
 
-EXPLANATION = """replace(concat('recognizer \'', _c.recognizer, '\', pattern \'', _c.pattern, '\', score ',
+# SQL: one line on how a span was found; v.q is a single quote
+EXPLANATION = """replace(concat('recognizer ', v.q, _c.recognizer, v.q, ', pattern ', v.q, _c.pattern, v.q, ', score ',
   format_number(_c.base_score, 2), if(-_c.minus_score > _c.base_score,
-  concat(', raised to ', format_number(-_c.minus_score, 2), ' by context'), '')), '"', '\'')"""
+  concat(', raised to ', format_number(-_c.minus_score, 2), ' by context'), '')), '"', v.q)"""
 
 
 def _plan(engine: EngineOptions, options: AnalyzeOptions):
@@ -159,7 +160,7 @@ def analyze(
     found = candidates(text, chosen, None if per_row else wanted, static, language if lang_col else None)
 
     keep = "-_c.minus_score >= v.least"
-    given = [first_of_each(found, KEY).alias("found"), limit.alias("least")]
+    given = [first_of_each(found, KEY).alias("found"), limit.alias("least"), F.lit("'").alias("q")]
     if per_row:
         given.append(wanted.alias("wanted"))
         keep += " AND (v.wanted IS NULL OR array_contains(v.wanted, _c.entity_type))"
