@@ -211,9 +211,10 @@ def frequency_change(df: DataFrame, text_col: str, spans_col: str = "spans", ite
 
 def leaks(df: DataFrame, id_col: str, out_col: str = "anonymized_text", spans_col: str = "spans") -> DataFrame:
     """Detected values that can still be read somewhere in the new text."""
-    values = F.array_distinct(
-        F.transform(F.col(spans_col), lambda s: F.struct(s["entity_type"].alias("entity_type"), s["text"].alias("text")))
+    keys = F.transform(
+        F.col(spans_col), lambda s: F.struct(s["entity_type"].alias("entity_type"), s["text"].alias("text"))
     )
+    values = F.transform(counted(keys), lambda v: v["key"])
     left = F.filter(values, lambda v: F.contains(F.col(out_col), v["text"]))
     return (
         df.select(F.col(id_col), F.explode_outer(left).alias("_v"))

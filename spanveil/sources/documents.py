@@ -81,6 +81,9 @@ def write_texts(df: DataFrame, path: str, id_col: str, text_col: str, mode: str
 
 
 def export_texts(df: DataFrame, path: str, id_col: str, text_col: str, suffix: str = "") -> None:
-    """Write one folder of text files per document, for hand-over of few documents."""
+    """Write one folder with a text file per document, for hand-over of few documents.
+
+    Text files end with a line break; :func:`write_texts` keeps texts exactly.
+    """
     named = df.select(F.concat(F.col(id_col).cast("string"), F.lit(suffix)).alias("name"), F.col(text_col).alias("value"))
-    named.write.partitionBy("name").option("lineSep", "\u0000").text(path)
+    named.write.partitionBy("name").text(path)
