@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 BLOCK = 4096
 # Elements per block of a running total are 2 ** SHIFT.
 SHIFT = 5
-LEVELS = 1
 NO_INTS = "cast(array() AS array<int>)"
 
 
@@ -26,6 +25,11 @@ def empty(element_type: str) -> Column:
     return F.expr(f"cast(array() as array<{element_type}>)")
 
 
+def literal(text: str) -> str:
+    """SQL: a string literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def let(value: str, name: str, body: str) -> str:
     """SQL: evaluate ``value`` once and use it as ``name`` in ``body``.
 
@@ -50,13 +54,13 @@ def positions(first: str, last: str) -> str:
     return f"(CASE WHEN {last} >= {first} THEN sequence({first}, {last}) ELSE {NO_INTS} END)"
 
 
-def running(values: str, greatest: bool = False, levels: int = LEVELS) -> str:
-    """SQL: the running sum of an integer array, or its running maximum from 0.
+def totals(values: str, body: Callable[[Callable[[str], str]], str], greatest: bool = False, levels: int = 1) -> str:
+    """SQL: look up running sums of an integer array (or running maxima from 0).
 
-    Totals of blocks, then totals of those, so that each element looks back
-    over a few blocks only.
+    ``body`` is given a function from a position to the total up to it. Totals
+    of whole blocks are kept, so that each lookup goes over one block only.
     """
-    v, totals, before = f"_v{levels}", f"_t{levels}", f"_b{levels}"
+    v, before = f"_v{levels}", f"_b{levels}"
 
     def combine(a: str, b: str) -> str:
         return f"greatest({a}, {b})" if greatest else f"{a} + {b}"
@@ -64,20 +68,27 @@ def running(values: str, greatest: bool = False, levels: int = LEVELS) -> str:
     def over(first: str, last: str) -> str:
         return f"aggregate({positions(first, last)}, 0, (_a, _j) -> cast({combine('_a', f'get({v}, _j)')} AS int))"
 
-    plain = f"transform({v}, (_x, _i) -> {over('0', '_i')})"
     if levels == 0:
-        return let(values, v, plain)
+        return let(values, v, body(lambda i: over("0", i)))
     last = f"(size({v}) - 1)"
-    blocks_of = positions("0", f"shiftright({last}, {SHIFT})")
     sums = (
-        f"transform({blocks_of}, _k -> "
+        f"transform({positions('0', f'shiftright({last}, {SHIFT})')}, _k -> "
         f"{over(f'shiftleft(_k, {SHIFT})', f'least(shiftleft(_k + 1, {SHIFT}) - 1, {last})')})"
     )
-    own = over(f"shiftleft(shiftright(_i, {SHIFT}), {SHIFT})", "_i")
-    earlier = f"get({before}, shiftright(_i, {SHIFT}) - 1)"
-    filled = f"transform({v}, (_x, _i) -> cast({combine(f'coalesce({earlier}, 0)', own)} AS int))"
-    blocked = let(sums, totals, let(running(totals, greatest, levels - 1), before, filled))
-    return let(values, v, f"CASE WHEN size({v}) <= {1 << SHIFT} THEN {plain} ELSE {blocked} END")
+    kept = f"CASE WHEN size({v}) <= {1 << SHIFT} THEN {NO_INTS} ELSE {running(sums, greatest, levels - 1)} END"
+
+    def at(i: str) -> str:
+        block = f"shiftright({i}, {SHIFT})"
+        earlier = f"coalesce(get({before}, {block} - 1), 0)"
+        return f"cast({combine(earlier, over(f'shiftleft({block}, {SHIFT})', i))} AS int)"
+
+    return let(values, v, let(kept, before, body(at)))
+
+
+def running(values: str, greatest: bool = False, levels: int = 1) -> str:
+    """SQL: the running sum of an integer array, or its running maximum from 0."""
+    array = f"_v{levels}"
+    return totals(values, lambda at: f"transform({array}, (_x, _i) -> {at('_i')})", greatest, levels)
 
 
 def groups(array: str, begins: str, body: str) -> str:

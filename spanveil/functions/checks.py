@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column
-from pyspark.sql import functions as F
 
 from spanveil.functions.arrays import bind, let
 
@@ -14,102 +13,87 @@ BASE58 = "123456789ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz"
 DAYS_IN_MONTH = [31, 29, 31, 30, 31, 30, 31, 31, 30, 31, 30, 31]
 
 
-def digits(value: Column) -> Column:
-    return F.regexp_replace(value, "[^0-9]", "")
+def _digit(text: str, position: int) -> str:
+    """SQL: the digit at a one-based position."""
+    return f"(ascii(substring({text}, {position}, 1)) - 48)"
 
 
-def digit(value: Column, position: int) -> Column:
-    """The digit at a one-based position."""
-    return F.ascii(F.substring(value, position, 1)) - 48
+def _weighted(text: str, weights: list[int], first: int = 1) -> str:
+    """SQL: the sum of digits from ``first`` on, each times its weight."""
+    return "(" + " + ".join(f"{w} * {_digit(text, first + i)}" for i, w in enumerate(weights)) + ")"
 
 
-def weighted_sum(value: Column, weights: list[int], first: int = 1) -> Column:
-    total = F.lit(0)
-    for i, w in enumerate(weights):
-        total = total + digit(value, first + i) * w
-    return total
+def _day_exists(year: str, month: str, day: str) -> str:
+    """SQL: whether a date is in the calendar."""
+    lengths = ", ".join(str(n) for n in DAYS_IN_MONTH)
+    leap = f"({year} % 4 = 0 AND {year} % 100 <> 0 OR {year} % 400 = 0)"
+    longest = f"get(array({lengths}), {month} - 1) - if({month} = 2 AND NOT {leap}, 1, 0)"
+    return f"coalesce({day} BETWEEN 1 AND {longest}, false)"
 
 
 def card(value: Column) -> Column:
-    return F.call_function("luhn_check", digits(value))
+    return bind(value, "luhn_check(regexp_replace(v, '[^0-9]', ''))")
 
 
 def iban(value: Column) -> Column:
     """Remainder 97 over the rearranged number, digit by digit."""
-    v = F.replace(value, F.lit(" "))
-    moved = F.concat(F.substring(v, 5, 40), F.substring(v, 1, 4))
-
-    def step(acc: Column, c: Column) -> Column:
-        code = F.ascii(c)
-        return F.when(code < 58, (acc * 10 + code - 48) % 97).otherwise((acc * 100 + code - 55) % 97)
-
-    return F.aggregate(F.split(moved, ""), F.lit(0), step) == 1
+    moved = "concat(substring(_n, 5), substring(_n, 1, 4))"
+    step = "if(ascii(_c) < 58, _a * 10 + ascii(_c) - 48, _a * 100 + ascii(_c) - 55) % 97"
+    return bind(value, let("replace(v, ' ', '')", "_n", f"aggregate(split({moved}, ''), 0, (_a, _c) -> {step}) = 1"))
 
 
 def ipv4(value: Column) -> Column:
-    return F.forall(F.split(value, r"\."), lambda o: o.cast("int") <= 255)
+    return bind(value, "forall(split(v, '[.]'), _o -> cast(_o AS int) <= 255)")
 
 
 def ipv6(value: Column) -> Column:
     """Eight groups, or fewer with one run of zeros left out."""
-    groups = F.split(value, ":")
-    filled = F.size(F.filter(groups, lambda g: g != ""))
-    short = (
-        value.contains("::")
-        & ~value.rlike("::.*::|:::|^:[^:]|[^:]:$")
-        & (filled <= 7) & (filled >= 1)
+    odd = "v RLIKE '::.*::|:::|^:[^:]|[^:]:$'"
+    return bind(
+        value,
+        let(
+            "size(filter(split(v, ':'), _g -> _g <> ''))", "_filled",
+            f"if(contains(v, '::'), _filled BETWEEN 1 AND 7 AND NOT {odd}, _filled = 8 AND size(split(v, ':')) = 8)",
+        ),
     )
-    return short | (~value.contains("::") & (filled == 8) & (F.size(groups) == 8))
 
 
 def nhs(value: Column) -> Column:
-    v = digits(value)
-    check = 11 - weighted_sum(v, list(range(10, 1, -1))) % 11
-    return F.when(check == 11, 0).otherwise(check) == digit(v, 10)
+    check = f"(11 - {_weighted('_d', list(range(10, 1, -1)))} % 11) % 11"
+    return bind(value, let("regexp_replace(v, '[^0-9]', '')", "_d", f"{check} = {_digit('_d', 10)}"))
 
 
 def nric(value: Column) -> Column:
-    head = F.substring(value, 1, 1)
-    shift = F.when(head.isin("T", "G"), 4).when(head == "M", 3).otherwise(0)
-    rest = (weighted_sum(value, NRIC_WEIGHTS, 2) + shift) % 11
-    letters = (
-        F.when(head.isin("S", "T"), NRIC_LETTERS["ST"])
-        .when(head.isin("F", "G"), NRIC_LETTERS["FG"])
-        .otherwise(NRIC_LETTERS["M"])
-    )
-    return F.substring(letters, rest + 1, F.lit(1)) == F.substring(value, 9, 1)
+    shift = "CASE WHEN v RLIKE '^[TG]' THEN 4 WHEN v RLIKE '^M' THEN 3 ELSE 0 END"
+    letters = "CASE " + " ".join(f"WHEN v RLIKE '^[{k}]' THEN '{x}'" for k, x in NRIC_LETTERS.items()) + " END"
+    rest = f"({_weighted('v', NRIC_WEIGHTS, 2)} + {shift}) % 11"
+    return bind(value, f"substring({letters}, {rest} + 1, 1) = substring(v, 9, 1)")
 
 
 def medical_licence(value: Column) -> Column:
-    return weighted_sum(value, [1, 2, 1, 2, 1, 2], 3) % 10 == digit(value, 9)
+    return bind(value, f"{_weighted('v', [1, 2, 1, 2, 1, 2], 3)} % 10 = {_digit('v', 9)}")
 
 
 def ssn(value: Column) -> Column:
-    v = digits(value)
-    area = F.substring(v, 1, 3)
-    return (
-        ~area.isin("000", "666")
-        & ~area.startswith("9")
-        & (F.substring(v, 4, 2) != "00")
-        & (F.substring(v, 6, 4) != "0000")
+    """Area, group and number as they are given out."""
+    return bind(
+        value,
+        "substring(v, 1, 3) NOT IN ('000', '666') AND substring(v, 1, 1) <> '9' "
+        "AND substring(v, 5, 2) <> '00' AND substring(v, 8, 4) <> '0000'",
     )
 
 
-def day_exists(year: Column, month: Column, day: Column) -> Column:
-    lengths = F.array(*[F.lit(n) for n in DAYS_IN_MONTH])
-    leap = ((year % 4 == 0) & (year % 100 != 0)) | (year % 400 == 0)
-    longest = F.get(lengths, month - 1) - F.when((month == 2) & ~leap, 1).otherwise(0)
-    return F.coalesce((day >= 1) & (day <= longest), F.lit(False))
-
-
 def iso_date(value: Column) -> Column:
-    return day_exists(*[F.substring(value, p, n).cast("int") for p, n in ((1, 4), (6, 2), (9, 2))])
+    parts = [f"cast(substring(v, {p}, {n}) AS int)" for p, n in ((1, 4), (6, 2), (9, 2))]
+    return bind(value, _day_exists(*parts))
 
 
 def slashed_date(value: Column) -> Column:
     """Day first or month first."""
-    year, first, second = [F.split_part(F.translate(value, ".-", "//"), F.lit("/"), F.lit(i)).cast("int") for i in (3, 1, 2)]
-    return day_exists(year, second, first) | day_exists(year, first, second)
+    one, two, year = (f"cast(get(_p, {i}) AS int)" for i in range(3))
+    return bind(
+        value, let("split(v, '[/.-]')", "_p", f"({_day_exists(year, two, one)} OR {_day_exists(year, one, two)})")
+    )
 
 
 def wallet(value: Column) -> Column:

@@ -8,7 +8,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanveil.functions.arrays import bind, empty, once
+from spanveil.functions.arrays import bind, empty, let, literal
 from spanveil.functions.spans import SPAN_TYPE, first_of_each, has_word, matches
 from spanveil.operators.recognizers import (
     Pattern,
@@ -52,16 +52,14 @@ def candidates(
 
     guards = sorted({g for _, p in chosen for g in p.guards})
 
-    def guard(g: str) -> Column:
-        return text.rlike(g) if g.startswith("[") else F.contains(text, F.lit(g))
+    def guard(g: str) -> str:
+        return f"v.text RLIKE {literal(g)}" if g.startswith("[") else f"contains(v.text, {literal(g)})"
 
-    def hit(r: Recognizer, p: Pattern, guarded: Column) -> Column:
-        test = text.rlike(p.regex)
-        for g in reversed(p.guards):
-            test = guarded[f"g{guards.index(g)}"] & test
+    def hit(r: Recognizer, p: Pattern) -> str:
+        tests = [f"_g.g{guards.index(g)}" for g in p.guards]
         if r.languages is not None and language is not None:
-            test = language.isin(*r.languages) & test
-        return test
+            tests.append(f"v.lang IN ({', '.join(literal(x) for x in r.languages)})")
+        return " AND ".join([*tests, f"v.text RLIKE {literal(p.regex)}"])
 
     def row(r: Recognizer, p: Pattern) -> dict:
         return {
@@ -106,14 +104,12 @@ def candidates(
 
         return F.transform(found, candidate)
 
-    if guards:
-        # every distinct guard is evaluated once per text
-        hits = once(
-            F.struct(*[guard(g).alias(f"g{i}") for i, g in enumerate(guards)]),
-            lambda guarded: F.array(*[hit(r, p, guarded) for r, p in chosen]),
-        )
-    else:
-        hits = F.array(*[hit(r, p, text) for r, p in chosen])
+    # every distinct guard is evaluated once per text
+    guarded = ", ".join(f"'g{i}', {guard(g)}" for i, g in enumerate(guards)) or "'none', true"
+    hits = bind(
+        F.struct(text.alias("text"), (F.lit("") if language is None else language).alias("lang")),
+        let(f"named_struct({guarded})", "_g", f"array({', '.join(hit(r, p) for r, p in chosen)})"),
+    )
     parts = F.zip_with(table, hits, lambda p, h: F.when(h, extract(p)).otherwise(empty(CANDIDATE_TYPE)))
     return F.flatten(parts)
 

@@ -2,36 +2,71 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanveil.functions.arrays import bind, empty, let
-from spanveil.functions.spans import SPAN_TYPE, WORD, located, pieces
+from spanveil.functions.arrays import bind, empty, let, positions, totals
+from spanveil.functions.spans import SPAN_TYPE, WORD, pieces
 from spanveil.operators.analyze import combine_spans
 
 # A phrase table up to this size is sent to every executor.
 BROADCAST_BYTES = 32 * 1024 * 1024
+# Bits in the bitmap of first words.
+BUCKETS = 1 << 20
+
+
+def _bucket(word: Column) -> Column:
+    return F.pmod(F.xxhash64(word), F.lit(BUCKETS)).cast("int")
+
+
+def first_words(table: DataFrame) -> Column:
+    """The first words of all phrases as a bitmap, as a scalar subquery.
+
+    The bitmap has a fixed size, whatever the size of the table. It lets some
+    other words pass, but never stops a first word.
+    """
+    bucket = _bucket(F.substring_index("_phrase", " ", 1))
+    bits = table.select(F.shiftright(bucket, 5).alias("slot"), F.expr("1").alias("one"), (bucket % 32).alias("bit"))
+    bits = bits.groupBy("slot").agg(F.bit_or(F.call_function("shiftleft", "one", "bit")).alias("bits"))
+    slots = table.sparkSession.range(BUCKETS // 32).join(bits, F.col("id") == F.col("slot"), "left")
+    ordered = F.array_sort(F.collect_list(F.struct("id", F.coalesce("bits", F.lit(0)).alias("bits"))))
+    return slots.agg(F.transform(ordered, lambda s: s["bits"]).alias("bitmap")).scalar()
 
 
-def phrases_in(text: Column, max_words: int) -> Column:
-    """All runs of 1 to ``max_words`` words that only white space separates.
+def phrases_in(text: Column, max_words: int, bitmap: Column, ignore_case: bool = False) -> Column:
+    """Runs of 1 to ``max_words`` words that only white space separates.
 
-    Elements are looked up by position: slicing an array copies all of it.
+    Only runs whose first word may begin a phrase are made, and only their
+    places in the text are worked out.
     """
-    token = (
-        "named_struct('start', get(_ends, _i) - length(_s.value), 'end', get(_ends, _i), 'value', _s.value, "
-        r"'glued', _s.gap RLIKE r'^\s+$')"
+    def value(at: str) -> str:
+        return f"lower(get(_steps, {at}).value)" if ignore_case else f"get(_steps, {at}).value"
+
+    bucket = f"cast(pmod(xxhash64({value('_k')}), {BUCKETS}) AS int)"
+    known = f"shiftright(get(v.bitmap, shiftright({bucket}, 5)), {bucket} % 32) & 1 = 1"
+    candidates = f"filter({positions('0', 'size(_steps) - 1')}, _k -> {known})"
+
+    def made(end_at: Callable[[str], str]) -> str:
+        runs, values, whole = [], [], "size(_steps) > _k"
+        for n in range(max_words):
+            at = f"_k + {n}"
+            values.append(value(at))
+            if n:
+                whole += rf" AND coalesce(get(_steps, {at}).gap RLIKE r'^\s+$', false)"
+            run = (
+                f"named_struct('start', {end_at('_k')} - length(get(_steps, _k).value), 'end', {end_at(at)}, "
+                f"'phrase', concat_ws(' ', {', '.join(values)}))"
+            )
+            runs.append(f"CASE WHEN {whole} THEN {run} END")
+        return f"flatten(transform(_hits, _k -> array({', '.join(runs)})))"
+
+    lengths = "transform(_steps, _s -> length(_s.gap) + length(_s.value))"
+    found = let(candidates, "_hits", totals(lengths, made))
+    return bind(
+        F.struct(text.alias("text"), bitmap.alias("bitmap")), let(pieces("v.text", f"r'{WORD}+'"), "_steps", found)
     )
-    runs, values, whole = [], [], "true"
-    for n in range(max_words):
-        final = f"get(_t, _k + {n})"
-        values.append(f"{final}.value")
-        if n:
-            whole += f" AND coalesce({final}.glued, false)"
-        run = f"named_struct('start', _w.start, 'end', {final}.end, 'phrase', concat_ws(' ', {', '.join(values)}))"
-        runs.append(f"CASE WHEN {whole} THEN {run} END")
-    made = f"flatten(transform(_t, (_w, _k) -> array({', '.join(runs)})))"
-    return bind(text, let(located(pieces("v", f"r'{WORD}+'"), token), "_t", made))
 
 
 def gazetteer_spans(
@@ -46,10 +81,11 @@ def gazetteer_spans(
 ) -> DataFrame:
     """Spans ``<id, entity_type, start, end, score>`` of the phrases in a table.
 
-    ``phrases`` has ``phrase`` and ``entity_type``. Its size is measured
-    first: a small table is broadcast and the texts stay where they are. For
-    a large one the words are shuffled, without the texts; frequent words are
-    spread over ``salts`` parts, each of which sees the whole table.
+    ``phrases`` has ``phrase`` and ``entity_type``. Words that begin no phrase
+    are dropped where they are. The size of the table is measured first: a
+    small one is broadcast and nothing is shuffled. For a large one the
+    candidate runs are shuffled, without the texts; frequent ones are spread
+    over ``salts`` parts, each of which sees the whole table.
     """
     fold = F.lower if ignore_case else (lambda c: c)
     spaced = F.array_join(F.regexp_extract_all(fold(F.col("phrase")), F.lit(f"{WORD}+"), F.lit(0)), " ")
@@ -60,9 +96,13 @@ def gazetteer_spans(
     ).first()
     max_words = size["words"] or 1
 
-    found = F.explode_outer(phrases_in(F.col(text_col), max_words))
-    runs = df.select(F.col(id_col), found.alias("_r")).where(F.col("_r").isNotNull()).select(
-        id_col, "_r.start", "_r.end", fold(F.col("_r.phrase")).alias("_phrase")
+    found = F.explode_outer(phrases_in(F.col(text_col), max_words, F.col("_bitmap"), ignore_case))
+    runs = (
+        df.select(id_col, text_col)
+        .withColumn("_bitmap", first_words(table))
+        .select(F.col(id_col), found.alias("_r"))
+        .where(F.col("_r").isNotNull())
+        .select(id_col, "_r.start", "_r.end", F.col("_r.phrase").alias("_phrase"))
     )
     if (size["bytes"] or 0) <= broadcast_bytes:
         joined = runs.join(F.broadcast(table), "_phrase")

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from spanveil.functions import checks
 from spanveil.functions.spans import WORD, WORD_END, WORD_START, after_boundary
-from spanveil.operators.recognizers import Pattern, Recognizer, terms_regex
+from spanveil.operators.recognizers import Pattern, Recognizer, alternatives, terms_regex
 
 DIGIT = after_boundary("[0-9]")
 UPPER = after_boundary("[A-Z]")
@@ -47,15 +47,11 @@ def _names(words: list[str]) -> str:
     return "(?=[A-Z])" + terms_regex(words)
 
 
-def _either(words: list[str]) -> str:
-    return "|".join(sorted(words, key=lambda w: (-len(w), w)))
-
-
 def _one(name: str, regex: str, score: float, *guards: str) -> tuple[Pattern, ...]:
     return (Pattern(name, regex, score, guards),)
 
 
-_MONTH = f"(?:{_either(MONTHS)})"
+_MONTH = f"(?:{alternatives(MONTHS)})"
 _SURNAME = rf"(?:[ ]\p{{Lu}}\p{{L}}+){{0,2}}"
 
 PREDEFINED: tuple[Recognizer, ...] = (
@@ -105,8 +101,8 @@ PREDEFINED: tuple[Recognizer, ...] = (
         _one(
             "dotted labels",
             rf"[A-Za-z0-9](?<![\p{{L}}\p{{N}}_@.%+-][A-Za-z0-9])[A-Za-z0-9-]{{0,62}}"
-            rf"(?:\.[A-Za-z0-9-]{{1,63}}){{0,125}}\.(?:{_either(TLDS)})(?![\p{{L}}\p{{N}}_@-])(?!\.[A-Za-z0-9_@-])", 0.5,
-            ".", rf"[.](?:{_either(TLDS)})(?![\p{{L}}\p{{N}}_@-])",
+            rf"(?:\.[A-Za-z0-9-]{{1,63}}){{0,125}}\.(?:{alternatives(TLDS)})(?![\p{{L}}\p{{N}}_@-])(?!\.[A-Za-z0-9_@-])", 0.5,
+            ".", rf"[.](?:{alternatives(TLDS)})(?![\p{{L}}\p{{N}}_@-])",
         ),
     ),
     Recognizer(
@@ -148,10 +144,10 @@ PREDEFINED: tuple[Recognizer, ...] = (
     Recognizer(
         "names", "PERSON",
         (
-            Pattern("given name", rf"(?=[A-Z]){WORD_START}(?:{_either(GIVEN_NAMES)}){_SURNAME}{WORD_END}", 0.85),
+            Pattern("given name", rf"(?=[A-Z]){WORD_START}(?:{alternatives(GIVEN_NAMES)}){_SURNAME}{WORD_END}", 0.85),
             Pattern(
                 "after a title",
-                rf"\p{{Lu}}(?<={WORD_START}(?:{_either(TITLES)})\.? \p{{Lu}})\p{{L}}+{_SURNAME}", 0.85,
+                rf"\p{{Lu}}(?<={WORD_START}(?:{alternatives(TITLES)})\.? \p{{Lu}})\p{{L}}+{_SURNAME}", 0.85,
             ),
         ),
     ),

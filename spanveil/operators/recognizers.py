@@ -106,10 +106,23 @@ def regex_recognizer(
     )
 
 
+def alternatives(terms: Iterable[str]) -> str:
+    """Literal terms, longest first, under their first letters.
+
+    A matcher tries alternatives one by one; this way it tries one per first
+    letter, and then only the terms that begin with it.
+    """
+    by_letter: dict[str, list[str]] = {}
+    for term in sorted(set(terms), key=lambda t: (-len(t), t)):
+        by_letter.setdefault(term[0], []).append(re.escape(term[1:]))
+    return "|".join(
+        re.escape(letter) + (rest[0] if len(rest) == 1 else f"(?:{'|'.join(rest)})") for letter, rest in by_letter.items()
+    )
+
+
 def terms_regex(terms: Iterable[str]) -> str:
-    """Literal terms as one expression: longest first, whole words only."""
-    ordered = sorted(set(terms), key=lambda t: (-len(t), t))
-    return f"{WORD_START}(?:{'|'.join(re.escape(t) for t in ordered)}){WORD_END}"
+    """Literal terms as one expression, whole words only."""
+    return f"{WORD_START}(?:{alternatives(terms)}){WORD_END}"
 
 
 def deny_list_recognizer(
