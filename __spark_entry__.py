@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import sys
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -61,6 +62,10 @@ def docs(spark: SparkSession, sf: str, *more: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", "text", *more)
 
 
+def _fresh(s: SparkSession, name: str) -> str:
+    return f"{shared_folder(s)}/{name}-{uuid.uuid4().hex}"
+
+
 def only(*types: str, **engine) -> EngineOptions:
     return EngineOptions(recognizers=tuple(recognizers_for(*types)), **engine)
 
@@ -379,7 +384,6 @@ def decision_audit(s, sf):
     options = analyze_options(correlation_id="run-1", score_threshold=0.5)
     phones = recognizers_for("PHONE_NUMBER")[0]
     engine = EngineOptions((*recognizers_for("EMAIL_ADDRESS"), phones))
-    # the threshold would drop the phone patterns before they are tried, were it not for their context words
     log = decision_log(docs(s, sf), "doc_id", options, engine)
     return log.select("correlation_id", "doc_id", "recognizer", "pattern", "start", "base_score", "final_score", "kept")
 
@@ -526,16 +530,16 @@ def config_latest(s, sf):
 @query(f"WITH {MAIN_SQL} SELECT doc_id, entity_type, start, \"end\", score FROM spans")
 def results_roundtrip(s, sf):
     """Spans written in the exchange form and read back."""
-    path = f"{shared_folder(s)}/results"
-    results.write_results(analyze(docs(s, sf), engine=only(*MAIN)), path, "doc_id", mode="overwrite")
+    path = _fresh(s, "results")
+    results.write_results(analyze(docs(s, sf), engine=only(*MAIN)), path, "doc_id")
     return span_rows(results.read_results(s, path, "doc_id", "long"), "doc_id").drop("explanation")
 
 
 @query(f"WITH {sql_rewrite('md5(value)', EMAIL, 'hash', 'EMAIL_ADDRESS')} SELECT * FROM items")
 def items_roundtrip(s, sf):
-    path = f"{shared_folder(s)}/items"
+    path = _fresh(s, "items")
     done = analyze_and_anonymize(docs(s, sf), "doc_id", {"EMAIL_ADDRESS": Hash("md5")}, engine=only("EMAIL_ADDRESS"))
-    results.write_items(done, path, "doc_id", mode="overwrite")
+    results.write_items(done, path, "doc_id")
     return span_rows(results.read_items(s, path, "doc_id", "long"), "doc_id", spans_col="items")
 
 
@@ -678,12 +682,6 @@ def external_spans(s, sf):
     return span_rows(attach_spans(mine, rows, "doc_id"), "doc_id").drop("explanation")
 
 
-def _fresh(s: SparkSession, name: str) -> str:
-    import uuid
-
-    return f"{shared_folder(s)}/{name}-{uuid.uuid4().hex}"
-
-
 @query(f"SELECT doc_id, regexp_replace(text, '{EMAIL}', '<EMAIL_ADDRESS>', 'g') AS anonymized_text FROM documents")
 def stream_anonymize(s, sf):
     path = _fresh(s, "stream")

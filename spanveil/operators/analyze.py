@@ -132,6 +132,10 @@ def _plan(engine: EngineOptions, options: AnalyzeOptions):
     return chosen, limit, static, wanted
 
 
+def _spoken(recognizers: Iterable[Recognizer], language: str) -> list[Recognizer]:
+    return [r for r in recognizers if r.languages is None or language in r.languages]
+
+
 def analyze(
     df: DataFrame,
     options: AnalyzeOptions | None = None,
@@ -152,7 +156,7 @@ def analyze(
     language = F.lower(F.col(lang_col)) if lang_col else F.lit(options.language)
     per_row = isinstance(wanted, Column)
     if not lang_col:
-        chosen = [r for r in chosen if r.languages is None or options.language in r.languages]
+        chosen = _spoken(chosen, options.language)
     found = candidates(text, chosen, None if per_row else wanted, static, language if lang_col else None)
 
     keep = "-_c.minus_score >= v.least"
@@ -234,12 +238,20 @@ def decision_log(
     options: AnalyzeOptions | None = None,
     engine: EngineOptions | None = None,
     text_col: str = "text",
+    lang_col: str | None = None,
 ) -> DataFrame:
-    """Every candidate with its scores and whether it was kept."""
+    """Every candidate with its scores and whether it was kept.
+
+    Patterns that cannot reach the threshold are not tried, so they are not
+    in the log.
+    """
     engine, options = engine or EngineOptions(), options or AnalyzeOptions()
-    chosen, limit, _, wanted = _plan(engine, options)
+    chosen, limit, least, wanted = _plan(engine, options)
     static = None if isinstance(wanted, Column) else wanted
-    found = candidates(F.col(text_col), chosen, static)
+    language = F.lower(F.col(lang_col)) if lang_col else None
+    if not lang_col:
+        chosen = _spoken(chosen, options.language)
+    found = candidates(F.col(text_col), chosen, static, least, language)
 
     given = [F.array_sort(found).alias("found"), limit.alias("least")]
     again = " AND ".join(f"get(v.found, _i - 1).{k} = _c.{k}" for k in KEY)

@@ -145,12 +145,17 @@ def link_documents(values: DataFrame, id_col: str, salts: int = SALTS) -> DataFr
 
 
 def type_sets(df: DataFrame, spans_col: str = "spans") -> DataFrame:
-    """Which entity types occur together: documents per set of types."""
+    """Which entity types occur together: documents per set of types.
+
+    Documents without spans are dropped after counting, by an aggregate: a
+    filter on the array would be pushed down and detect everything twice.
+    """
     types = F.array_sort(F.array_distinct(F.transform(F.col(spans_col), lambda s: s["entity_type"])))
     return (
-        df.where(F.size(spans_col) > 0)
-        .groupBy(types.alias("types"))
-        .agg(F.count(F.lit(1)).alias("documents"))
+        df.groupBy(types.alias("types"))
+        .agg(F.count(F.lit(1)).alias("documents"), F.max(F.size(spans_col)).alias("_spans"))
+        .where(F.col("_spans") > 0)
+        .drop("_spans")
     )
 
 
@@ -162,7 +167,7 @@ def type_cooccurrence(df: DataFrame, entity_types: Iterable[str], spans_col: str
     """
     wanted = list(entity_types)
     sets = type_sets(df, spans_col)
-    rows = sets.select("types", "documents", F.explode("types").alias("entity_type"))
+    rows = sets.select("types", "documents", F.explode_outer("types").alias("entity_type"))
     return (
         rows.where(F.col("entity_type").isin(*wanted))
         .groupBy("entity_type")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,8 +35,8 @@ def first_words(table: DataFrame) -> Column:
     return slots.agg(F.transform(ordered, lambda s: s["bits"]).alias("bitmap")).scalar()
 
 
-def phrases_in(text: Column, max_words: int, bitmap: Column, ignore_case: bool = False) -> Column:
-    """Runs of 1 to ``max_words`` words that only white space separates.
+def phrases_in(text: Column, lengths: Iterable[int], bitmap: Column, ignore_case: bool = False) -> Column:
+    """Runs of words that only white space separates, of the given ``lengths``.
 
     Only runs whose first word may begin a phrase are made, and only their
     places in the text are worked out.
@@ -49,12 +49,12 @@ def phrases_in(text: Column, max_words: int, bitmap: Column, ignore_case: bool =
     candidates = f"filter({positions('0', 'size(_steps) - 1')}, _k -> {known})"
 
     def made(end_at: Callable[[str], str]) -> str:
-        runs, values, whole = [], [], "size(_steps) > _k"
-        for n in range(max_words):
-            at = f"_k + {n}"
-            values.append(value(at))
-            if n:
-                whole += rf" AND coalesce(get(_steps, {at}).gap RLIKE r'^\s+$', false)"
+        runs = []
+        for n in sorted(lengths):
+            at = f"_k + {n - 1}"
+            values = [value(f"_k + {i}") for i in range(n)]
+            glued = [rf"coalesce(get(_steps, _k + {i}).gap RLIKE r'^\s+$', false)" for i in range(1, n)]
+            whole = " AND ".join(glued) or "true"
             run = (
                 f"named_struct('start', {end_at('_k')} - length(get(_steps, _k).value), 'end', {end_at(at)}, "
                 f"'phrase', concat_ws(' ', {', '.join(values)}))"
@@ -62,8 +62,8 @@ def phrases_in(text: Column, max_words: int, bitmap: Column, ignore_case: bool =
             runs.append(f"CASE WHEN {whole} THEN {run} END")
         return f"flatten(transform(_hits, _k -> array({', '.join(runs)})))"
 
-    lengths = "transform(_steps, _s -> length(_s.gap) + length(_s.value))"
-    found = let(candidates, "_hits", totals(lengths, made))
+    advance = "transform(_steps, _s -> length(_s.gap) + length(_s.value))"
+    found = let(candidates, "_hits", totals(advance, made))
     return bind(
         F.struct(text.alias("text"), bitmap.alias("bitmap")), let(pieces("v.text", f"r'{WORD}+'"), "_steps", found)
     )
@@ -92,11 +92,11 @@ def gazetteer_spans(
     table = phrases.select(spaced.alias("_phrase"), "entity_type").where(F.col("_phrase") != "").distinct()
     size = table.agg(
         F.sum(F.octet_length("_phrase") + F.octet_length("entity_type") + 32).alias("bytes"),
-        F.max(F.size(F.split("_phrase", " "))).alias("words"),
+        F.collect_set(F.size(F.split("_phrase", " "))).alias("lengths"),
     ).first()
-    max_words = size["words"] or 1
+    lengths = size["lengths"] or [1]
 
-    found = F.explode_outer(phrases_in(F.col(text_col), max_words, F.col("_bitmap"), ignore_case))
+    found = F.explode_outer(phrases_in(F.col(text_col), lengths, F.col("_bitmap"), ignore_case))
     runs = (
         df.select(id_col, text_col)
         .withColumn("_bitmap", first_words(table))

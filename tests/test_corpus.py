@@ -158,3 +158,24 @@ def test_engine_registry_adds():
 
     extra = deny_list_recognizer("T", "a,b")
     assert len(EngineOptions(deny_list=(extra,)).registry()) == len(PREDEFINED) + 1
+
+
+def test_reports_detect_once(spark, sf):
+    """Each report goes over the texts once and shuffles small rows only."""
+    from spanveil import analyze, recognizers_for
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang")
+    found = analyze(docs, engine=EngineOptions(tuple(recognizers_for("EMAIL_ADDRESS"))), with_text=True)
+    values = corpus.doc_values(found, "doc_id")
+    reports = {
+        "summary": corpus.entity_summary(found, "lang"), "values": corpus.link_values(values, "doc_id"),
+        "sets": corpus.type_sets(found), "matrix": corpus.type_cooccurrence(found, ["EMAIL_ADDRESS"]),
+        "histogram": corpus.score_histogram(found), "leaks": corpus.leaks(anonymize(found), "doc_id"),
+        "frequencies": corpus.frequency_change(anonymize(found), "text"),
+    }
+    for name, df in reports.items():
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("RLIKE") == 1, name
+        for line in plan.splitlines():
+            if "Exchange" in line:
+                assert "text#" not in line, name
