@@ -33,6 +33,11 @@ def key_bytes(key: Column, base64_key: bool) -> Column:
     return F.unbase64(key) if base64_key else F.encode(key, "UTF-8")
 
 
+def fits(key: Column, base64_key: bool = False) -> Column:
+    """Whether a key has 128, 192 or 256 bits."""
+    return F.octet_length(key_bytes(key, base64_key)).isin(16, 24, 32)
+
+
 def encrypt(value: Column, key: Column, salt: Column, mode: str = "CBC", base64_key: bool = False) -> Column:
     """AES, as base64 text of initial vector and ciphertext.
 

@@ -182,7 +182,10 @@ def _by_table(ops: Column, doc: Column, mode: str, base64_key: bool):
                     ),
                 )
                 .when(kind == "hash", hashes)
-                .when(kind == "encrypt", replacing.encrypt(value, op["key"], place, mode, base64_key))
+                .when(
+                    (kind == "encrypt") & replacing.fits(op["key"], base64_key),
+                    replacing.encrypt(value, op["key"], place, mode, base64_key),
+                )
                 .when(kind == "replace", op["new_value"])
             )
             # a config line that cannot be carried out never leaves the value as it is

@@ -52,6 +52,7 @@ def _one(name: str, regex: str, score: float, *guards: str) -> tuple[Pattern, ..
 
 
 _MONTH = f"(?:{alternatives(MONTHS)})"
+_LOCAL = r"[0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}"
 _SURNAME = rf"(?:[ ]\p{{Lu}}\p{{L}}+){{0,2}}"
 
 PREDEFINED: tuple[Recognizer, ...] = (
@@ -154,7 +155,11 @@ PREDEFINED: tuple[Recognizer, ...] = (
     Recognizer(
         "phone", "PHONE_NUMBER",
         (
-            Pattern("national", rf"(?:(?<!{WORD})\+?1[ .-])?\([0-9]{{3}}\) ?[0-9]{{3}}[ .-][0-9]{{4}}{WORD_END}", 0.4, ("[0-9]", "(")),
+            # two patterns: an optional part in front would be tried at every position
+            Pattern("national", rf"\((?<!{WORD_START}1[ .-]\(){_LOCAL}{WORD_END}", 0.4, ("[0-9]", "(")),
+            Pattern(
+                "national", rf"[+1](?<!{WORD}[+1])(?:(?<=[+])1|(?<=1))[ .-]\({_LOCAL}{WORD_END}", 0.4, ("[0-9]", "(")
+            ),
             Pattern("dashed", rf"{DIGIT}[0-9]{{2}}([.-])[0-9]{{3}}\1[0-9]{{4}}{WORD_END}", 0.4, ("[0-9]",)),
             Pattern("international", rf"\+[0-9]{{1,3}}(?:[ .-]?[0-9]{{2,4}}){{2,5}}{WORD_END}", 0.4, ("[0-9]", "+")),
         ),

@@ -38,7 +38,7 @@ def read_results(spark: SparkSession, path: str, id_col: str, id_type: str = "st
             r["entity_type"].alias("entity_type"),
             r["start"].alias("start"),
             r["end"].alias("end"),
-            r["score"].cast("double").alias("score"),
+            r["score"].try_cast("double").alias("score"),
             F.when(r["analysis_explanation"] != "None", r["analysis_explanation"]).alias("explanation"),
         ),
     )

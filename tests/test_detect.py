@@ -157,6 +157,16 @@ def test_each_entity_type_at_each_place(spark):
             assert r.spans == [], r
 
 
+def test_phone_prefixes(spark):
+    """The leading 1 belongs to the number, unless it is the end of another one."""
+    engine = EngineOptions(tuple(recognizers_for("PHONE_NUMBER")))
+    for text, start in (
+        ("a +1 (212) 555-1234", 2), ("a 1-(212) 555-1234", 2), ("a 21 (212) 555-1234", 5), ("x+1 (212) 555-1234", 2),
+        ("(212) 555-1234", 0), ("+1 (212) 555-1234", 0), ("1 (212) 555-1234", 0), ("2+ (212) 555-1234", 3),
+    ):
+        assert [s[1:3] for s in found(spark, text, engine)] == [(start, len(text))], text
+
+
 def test_context_lifts_scores(spark):
     for text, score in (("call me at (212) 555-1234", 0.75), ("(212) 555-1234", 0.4), ("CALL (212) 555-1234", 0.75)):
         assert found(spark, text, EngineOptions(tuple(recognizers_for("PHONE_NUMBER"))))[0][3] == score

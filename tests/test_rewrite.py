@@ -103,14 +103,15 @@ def test_default_operator(spark):
 def test_config_table(spark):
     rows = [("A", "mask", None, None, None, "*", 2, True), ("B", "hash", None, "md5", None, None, None, None),
             ("C", "encrypt", None, None, KEY, None, None, None), ("D", "nonsense", None, None, None, None, None, None),
-            ("E", "replace", "n", None, None, None, None, None), ("F", "redact", None, None, None, None, None, None)]
+            ("E", "replace", "n", None, None, None, None, None), ("F", "redact", None, None, None, None, None, None),
+            ("H", "encrypt", None, None, "too short", None, None, None)]
     config = spark.createDataFrame(rows, "entity_type string, type string, new_value string, hash_type string, key string, "
                                          "masking_char string, chars_to_mask int, from_end boolean")
-    spans = [(e, i * 5, i * 5 + 4, 1.0) for i, e in enumerate("ABCDEFG")]
-    df = given(spark, " ".join(f"val{i}" for i in range(7)), spans)
+    spans = [(e, i * 5, i * 5 + 4, 1.0) for i, e in enumerate("ABCDEFGH")]
+    df = given(spark, " ".join(f"val{i}" for i in range(8)), spans)
     done = anonymize(df, config, id_col="id")
     out = done.first().anonymized_text.split(" ")
-    assert out[:2] == ["va**", hashlib.md5(b"val1").hexdigest()] and out[3:] == ["<D>", "n", "", "<G>"]
+    assert out[:2] == ["va**", hashlib.md5(b"val1").hexdigest()] and out[3:] == ["<D>", "n", "", "<G>", "<H>"]
     assert deanonymize(done, config.where("type = 'encrypt'")).first().restored_text.split(" ")[2] == "val2"
 
 
