@@ -14,6 +14,8 @@ from spanveil.functions.arrays import once
 from spanveil.functions.spans import inside, merge_overlaps, rewrite
 
 DEFAULT = "DEFAULT"
+# Rows of a config table: one per entity type, so a handful.
+MAX_CONFIG = 10_000
 OPERATOR_NAMES = ("replace", "redact", "mask", "hash", "encrypt", "custom", "pseudonym")
 PARAMS_TYPE = (
     "struct<type:string,new_value:string,hash_type:string,key:string,masking_char:string,"
@@ -120,7 +122,11 @@ def config_map(config: DataFrame) -> Column:
         "entity_type", *[F.lit(None).alias(c) if c in absent else F.col(c) for c in params]
     )
     entry = F.struct("entity_type", F.struct(*params).cast(PARAMS_TYPE).alias("params"))
-    return full.agg(F.map_from_entries(F.collect_list(entry))).scalar()
+    # a column of the plan must stay small: one row too many is enough to tell
+    few = full.limit(MAX_CONFIG + 1)
+    too_many = F.raise_error(F.lit(f"an operator config has at most {MAX_CONFIG} rows"))
+    made = F.map_from_entries(F.collect_list(entry))
+    return few.agg(F.when(F.count(F.lit(1)) > MAX_CONFIG, too_many).otherwise(made)).scalar()
 
 
 def _outcome(operator: Column, text: Column) -> Column:

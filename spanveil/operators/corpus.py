@@ -53,15 +53,12 @@ def entity_summary(df: DataFrame, by: str, spans_col: str = "spans") -> DataFram
         .select(by, "_t.*")
     )
     return (
-        rows.rollup("entity_type", by)
+        rows.groupingSets([["entity_type", by], ["entity_type"]], "entity_type", by)
         .agg(
             F.sum("n").alias("spans"),
             F.count(F.lit(1)).alias("documents"),
             F.round(F.sum("score") / F.sum("n"), 6).alias("mean_score"),
-            F.grouping_id().alias("_level"),
         )
-        .where(F.col("_level") < 3)
-        .drop("_level")
     )
 
 

@@ -115,6 +115,13 @@ def test_config_table(spark):
     assert deanonymize(done, config.where("type = 'encrypt'")).first().restored_text.split(" ")[2] == "val2"
 
 
+def test_config_tables_must_be_small(spark):
+    rows = spark.range(10_001).select(F.col("id").cast("string").alias("entity_type"), F.lit("redact").alias("type"))
+    with pytest.raises(Exception, match="at most 10000"):
+        anonymize(one(spark), rows).collect()
+    assert "Kate" not in anonymize(one(spark), rows.limit(100)).first().anonymized_text
+
+
 def test_overlaps_become_islands(spark):
     spans = [("A", 0, 5, 0.5), ("B", 3, 8, 0.9), ("C", 8, 10, 0.1), ("D", 12, 20, 0.5), ("E", 13, 15, 0.5), ("F", 12, 20, 0.5)]
     row = anonymize(given(spark, "abcdefghijklmnopqrstuvw", spans)).first()
