@@ -79,7 +79,7 @@ def flat(df: DataFrame, id_col: str = "doc_id") -> DataFrame:
 # One note per customer; the same SQL text runs in both engines.
 NOTE_SQL = """
 concat(
- CASE c_custkey % 4 WHEN 0 THEN 'Kate' WHEN 1 THEN 'Robert Miller' WHEN 2 THEN 'Xqzt' ELSE 'Dear Mr. Plum' END,
+ CASE c_custkey % 4 WHEN 0 THEN 'Emma' WHEN 1 THEN 'Robert Miller' WHEN 2 THEN 'Xqzt' ELSE 'Dear Mr. Gray' END,
  ' gave the social security number ', lpad(cast(c_custkey * 7919 % 1000 AS varchar(20)), 3, '0'), '-',
  lpad(cast(c_custkey * 31 % 100 AS varchar(20)), 2, '0'), '-', lpad(cast(c_custkey * 17 % 10000 AS varchar(20)), 4, '0'),
  '. The driver license is ', lpad(cast(c_custkey * 7 AS varchar(20)), 7, '0'), substr('ABCDEFGHJK', cast(c_custkey % 10 + 1 AS int), 1),
@@ -282,7 +282,7 @@ _NOTE_TYPES = (
     ("detect_crypto", "CRYPTO", [(r"\b1[A-Za-z0-9]{25,34}\b", "1.0", "c_custkey % 2 = 0")]),
     ("detect_ipv6", "IP_ADDRESS", [(r"2001:db8::ff00:42:[0-9]{2}\b", "0.6", "true")]),
     ("detect_person", "PERSON", [
-        (r"\bKate\b", "0.85", "true"), (r"\bRobert Miller\b", "0.85", "true"), (r"\bPlum\b", "0.85", "true")]),
+        (r"\bEmma\b", "0.85", "true"), (r"\bRobert Miller\b", "0.85", "true"), (r"\bGray\b", "0.85", "true")]),
     ("detect_location", "LOCATION", [(r"\b(?:New York|Paris)\b", "0.85", "true")]),
     ("detect_nrp", "NRP", [(r"\b(?:French|Jewish)\b", "0.85", "true")]),
 )

@@ -23,7 +23,7 @@ from spanveil.operators.analyze import combine_spans
 from spanveil.operators.predefined import PREDEFINED, SUPPORTED_ENTITIES
 from spanveil.operators.recognizers import create_patterns, deny_list_recognizers, prune
 
-SSN_TEXT = "Kate's social security number is 078-05-1126.  Her driver license? it is 1234567A."
+SSN_TEXT = "Emma's new social security card: 123-45-6789.  A driver license today is 7654321B."
 
 
 def texts(spark, *values):
@@ -45,7 +45,7 @@ def test_names_numbers_and_licences(spark):
 
 def test_deny_list_with_dots(spark):
     engine = engine_options(deny_list=[deny_list_recognizer("TITLE", "Mr.,Miss.,Mrs.")])
-    text = "I suspect Mr. Plum, in the Dining Room, with the candlestick"
+    text = "Ask about Mr. Gray near the big gate"
     assert found(spark, text, engine) == [("TITLE", 10, 13, 1.0), ("PERSON", 14, 18, 0.85)]
 
 
@@ -55,8 +55,8 @@ def test_regex_with_context(spark):
         r'"regex": "(\\b\\d{5}(?:\\-\\d{4})?\\b)", "score": "0.01"}], "context": "zip,zipcode"}'
     )
     engine = engine_options(regex=spec)
-    assert found(spark, "My zip code is 90210", engine) == [("US_ZIP_CODE", 15, 20, 0.4)]
-    assert found(spark, "Nothing known of 90210", engine) == [("US_ZIP_CODE", 17, 22, 0.01)]
+    assert found(spark, "Your zip code: 60614", engine) == [("US_ZIP_CODE", 15, 20, 0.4)]
+    assert found(spark, "Nothing known of 60614", engine) == [("US_ZIP_CODE", 17, 22, 0.01)]
 
 
 def test_two_deny_lists(spark):
@@ -67,9 +67,9 @@ def test_two_deny_lists(spark):
 
 
 def test_offsets_are_code_points(spark):
-    assert found(spark, "x 😀 é 078-05-1126") == [("US_SSN", 6, 17, 0.5)]
-    assert found(spark, "078-05-1126") == [("US_SSN", 0, 11, 0.5)]
-    assert found(spark, "é078-05-1126") == []
+    assert found(spark, "x 😀 é 219-09-9998") == [("US_SSN", 6, 17, 0.5)]
+    assert found(spark, "219-09-9998") == [("US_SSN", 0, 11, 0.5)]
+    assert found(spark, "é219-09-9998") == []
 
 
 def test_missing_and_empty_texts(spark):
@@ -79,10 +79,10 @@ def test_missing_and_empty_texts(spark):
 
 # value, entity type, whether it is one
 VALUES = [
-    ("4095-2609-9393-4932", "CREDIT_CARD", True),
-    ("4095-2609-9393-4931", "CREDIT_CARD", False),
-    ("16Yeky6GMjeNkAiNcBY7ZhrLoMSgg1BoyZ", "CRYPTO", True),
-    ("16Yeky6GMjeNkAiNcBY7ZhrLoMSgg1BoyY", "CRYPTO", False),
+    ("4111-1111-1111-1111", "CREDIT_CARD", True),
+    ("4111-1111-1111-1112", "CREDIT_CARD", False),
+    ("1A1zP1eP5QGefi2DMPTfTL5SLmv7DivfNa", "CRYPTO", True),
+    ("1A1zP1eP5QGefi2DMPTfTL5SLmv7DivfNb", "CRYPTO", False),
     ("3J98t1WpEZ73CNmQviecrnyiWrnqRhWNLy", "CRYPTO", True),
     ("2024-02-29", "DATE_TIME", True),
     ("2023-02-29", "DATE_TIME", False),
@@ -95,8 +95,8 @@ VALUES = [
     ("shop.example.nothing", "DOMAIN_NAME", False),
     ("a.b+c@mail.example.org", "EMAIL_ADDRESS", True),
     ("a.b at mail.example.org", "EMAIL_ADDRESS", False),
-    ("IL150120690000003111111", "IBAN_CODE", True),
-    ("IL150120690000003111112", "IBAN_CODE", False),
+    ("GB82WEST12345698765432", "IBAN_CODE", True),
+    ("GB82WEST12345698765433", "IBAN_CODE", False),
     ("DE89 3704 0044 0532 0130 00", "IBAN_CODE", True),
     ("192.168.0.1", "IP_ADDRESS", True),
     ("192.168.0.256", "IP_ADDRESS", False),
@@ -111,7 +111,7 @@ VALUES = [
     ("catholicity", "NRP", False),
     ("Mr. Oddname", "PERSON", True),
     ("oddname", "PERSON", False),
-    ("(212) 555-1234", "PHONE_NUMBER", True),
+    ("(646) 555-0187", "PHONE_NUMBER", True),
     ("212-555-1234", "PHONE_NUMBER", True),
     ("+44 20 7946 0958", "PHONE_NUMBER", True),
     ("555-1234", "PHONE_NUMBER", False),
@@ -119,18 +119,18 @@ VALUES = [
     ("S1234567A", "SG_NRIC_FIN", False),
     ("943 476 5919", "UK_NHS", True),
     ("943 476 5918", "UK_NHS", False),
-    ("954567876544", "US_BANK_NUMBER", True),
-    ("9545678", "US_BANK_NUMBER", False),
+    ("880012345678", "US_BANK_NUMBER", True),
+    ("8800123", "US_BANK_NUMBER", False),
     ("1234567A", "US_DRIVER_LICENSE", True),
     ("123456A", "US_DRIVER_LICENSE", False),
     ("912-78-1234", "US_ITIN", True),
     ("912-48-1234", "US_ITIN", False),
-    ("191280345", "US_PASSPORT", True),
-    ("19128034", "US_PASSPORT", False),
-    ("078-05-1126", "US_SSN", True),
-    ("000-05-1126", "US_SSN", False),
-    ("666-05-1126", "US_SSN", False),
-    ("078-00-1126", "US_SSN", False),
+    ("340007237", "US_PASSPORT", True),
+    ("34000723", "US_PASSPORT", False),
+    ("219-09-9998", "US_SSN", True),
+    ("000-09-9998", "US_SSN", False),
+    ("666-09-9998", "US_SSN", False),
+    ("219-00-9998", "US_SSN", False),
 ]
 
 
@@ -161,14 +161,14 @@ def test_phone_prefixes(spark):
     """The leading 1 belongs to the number, unless it is the end of another one."""
     engine = EngineOptions(tuple(recognizers_for("PHONE_NUMBER")))
     for text, start in (
-        ("a +1 (212) 555-1234", 2), ("a 1-(212) 555-1234", 2), ("a 21 (212) 555-1234", 5), ("x+1 (212) 555-1234", 2),
-        ("(212) 555-1234", 0), ("+1 (212) 555-1234", 0), ("1 (212) 555-1234", 0), ("2+ (212) 555-1234", 3),
+        ("a +1 (646) 555-0187", 2), ("a 1-(646) 555-0187", 2), ("a 21 (646) 555-0187", 5), ("x+1 (646) 555-0187", 2),
+        ("(646) 555-0187", 0), ("+1 (646) 555-0187", 0), ("1 (646) 555-0187", 0), ("2+ (646) 555-0187", 3),
     ):
         assert [s[1:3] for s in found(spark, text, engine)] == [(start, len(text))], text
 
 
 def test_context_lifts_scores(spark):
-    for text, score in (("call me at (212) 555-1234", 0.75), ("(212) 555-1234", 0.4), ("CALL (212) 555-1234", 0.75)):
+    for text, score in (("call me at (646) 555-0187", 0.75), ("(646) 555-0187", 0.4), ("CALL (646) 555-0187", 0.75)):
         assert found(spark, text, EngineOptions(tuple(recognizers_for("PHONE_NUMBER"))))[0][3] == score
 
 

@@ -23,8 +23,8 @@ from spanveil import (
 )
 from spanveil.functions.spans import merge_overlaps, surfaces
 
-TEXT = "Kate's social security number is 078-05-1126.  Her driver license? it is 1234567A."
-KEY = "AAECAwQFBgcICQoLDA0ODw=="
+TEXT = "Emma's new social security card: 123-45-6789.  A driver license today is 7654321B."
+KEY = "MDEyMzQ1Njc4OWFiY2RlZg=="
 SPAN = "struct<entity_type:string,start:int,end:int,score:double>"
 
 
@@ -44,7 +44,7 @@ def test_encrypt_and_defaults(spark):
     row = anonymize(one(spark), {"PERSON": Encrypt(KEY)}, id_col="id").first()
     sealed = row.anonymized_text[:44]
     assert row.anonymized_text == (
-        f"{sealed}'s social security number is <US_SSN>.  Her driver license? it is <US_DRIVER_LICENSE>.")
+        f"{sealed}'s new social security card: <US_SSN>.  A driver license today is <US_DRIVER_LICENSE>.")
     assert items(row) == [
         ("replace", "US_DRIVER_LICENSE", 110, 129), ("replace", "US_SSN", 73, 81), ("encrypt", "PERSON", 0, 44)]
 
@@ -52,8 +52,8 @@ def test_encrypt_and_defaults(spark):
 def test_restore(spark):
     done = anonymize(one(spark), {"PERSON": Encrypt(KEY)}, id_col="id")
     row = deanonymize(done, {"PERSON": KEY}).first()
-    assert row.restored_text == "Kate's social security number is <US_SSN>.  Her driver license? it is <US_DRIVER_LICENSE>."
-    assert [tuple(i) for i in row.restored_items] == [("decrypt", "PERSON", 0, 4, "Kate")]
+    assert row.restored_text == "Emma's new social security card: <US_SSN>.  A driver license today is <US_DRIVER_LICENSE>."
+    assert [tuple(i) for i in row.restored_items] == [("decrypt", "PERSON", 0, 4, "Emma")]
     assert row.status == "ok"
 
 
@@ -67,7 +67,7 @@ def test_long_values_stay_on_one_line(spark, mode):
 
 def test_base64_keys(spark):
     done = anonymize(one(spark), {"PERSON": Encrypt(KEY, base64_key=True)}, id_col="id")
-    assert deanonymize(done, {"PERSON": KEY}, base64_key=True).first().restored_text.startswith("Kate")
+    assert deanonymize(done, {"PERSON": KEY}, base64_key=True).first().restored_text.startswith("Emma")
 
 
 def test_statuses(spark):
@@ -97,7 +97,7 @@ def test_every_operator(spark):
 
 def test_default_operator(spark):
     assert anonymize(one(spark), {"DEFAULT": Redact(), "US_SSN": Replace("N")}).first().anonymized_text == (
-        "'s social security number is N.  Her driver license? it is .")
+        "'s new social security card: N.  A driver license today is .")
 
 
 def test_config_table(spark):
@@ -119,7 +119,7 @@ def test_config_tables_must_be_small(spark):
     rows = spark.range(10_001).select(F.col("id").cast("string").alias("entity_type"), F.lit("redact").alias("type"))
     with pytest.raises(Exception, match="at most 10000"):
         anonymize(one(spark), rows).collect()
-    assert "Kate" not in anonymize(one(spark), rows.limit(100)).first().anonymized_text
+    assert "Emma" not in anonymize(one(spark), rows.limit(100)).first().anonymized_text
 
 
 def test_overlaps_become_islands(spark):

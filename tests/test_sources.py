@@ -9,8 +9,8 @@ from spanveil import Encrypt, EngineOptions, Hash, Mask, Redact, Replace, analyz
 from spanveil.plans.tables import stored
 from spanveil.sources import configs, documents, results
 
-TEXT = "Kate's social security number is 078-05-1126.  Her driver license? it is 1234567A."
-KEY = "AAECAwQFBgcICQoLDA0ODw=="
+TEXT = "Emma's new social security card: 123-45-6789.  A driver license today is 7654321B."
+KEY = "MDEyMzQ1Njc4OWFiY2RlZg=="
 
 
 def write(folder, files):
@@ -67,7 +67,7 @@ def test_results_and_items(spark, tmp_path):
     results.write_items(done, str(tmp_path / "i"), "name")
     stored_items = results.read_items(spark, str(tmp_path / "i"), "name")
     back = deanonymize(done.select("name", "anonymized_text").join(stored_items, "name"), {"PERSON": KEY}).first()
-    assert back.restored_text.startswith("Kate's") and back.restored_items[0].text == "Kate"
+    assert back.restored_text.startswith("Emma's") and back.restored_items[0].text == "Emma"
     results.write_items(
         deanonymize(done, {"PERSON": KEY}), str(tmp_path / "d"), "name", items_col="restored_items")
     assert results.read_items(spark, str(tmp_path / "d"), "name").first()["items"][0].operator == "decrypt"
@@ -118,7 +118,7 @@ def test_engine_and_analyze_options(spark, tmp_path):
         {"uuidClient": "a", "language": "en", "score_threshold": "0.1", "entities": "zip, person", "return_decision_process": "1"}, indent=1)})
     options = configs.load_analyze_options(configs.read_analyze_options(spark, path), "a")
     assert (options.entities, options.score_threshold, options.return_decision_process) == (("ZIP", "PERSON"), 0.1, True)
-    got = analyze(spark.createDataFrame([(1, "Kate at 90210")], "id long, text string"), options, engine).first().spans
+    got = analyze(spark.createDataFrame([(1, "Emma at 60614")], "id long, text string"), options, engine).first().spans
     assert [(s.entity_type, s.score) for s in got] == [("PERSON", 0.85), ("ZIP", 0.1)]
     path = write(tmp_path / "n", {"n.json": json.dumps({"uuidClient": "n", "entities": "none"})})
     assert configs.load_analyze_options(configs.read_analyze_options(spark, path), "n").entities is None
