@@ -727,9 +727,30 @@ def entry(spark: SparkSession) -> DataFrame:
     return corpus.entity_summary(done, "lang")
 
 
+def _training_data() -> tuple[dict, dict]:
+    """Queries and SQL of the training-data operators, where their folder is there."""
+    try:
+        from spanveil.llm import entries
+    except ModuleNotFoundError as e:
+        if not (e.name or "").startswith("spanveil.llm"):
+            raise
+        return {}, {}
+    made, sql = dict(entries.QUERIES), dict(entries.ORACLE)
+    try:
+        import corpus_pipeline
+    except ModuleNotFoundError as e:
+        if e.name != "corpus_pipeline":
+            raise
+        return made, sql
+    made["pipeline"] = corpus_pipeline.run
+    if corpus_pipeline.ORACLE_SQL is not None:
+        sql["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return made, sql
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(QUERIES)
+    return QUERIES | _training_data()[0]
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLE)
+    return ORACLE | _training_data()[1]
