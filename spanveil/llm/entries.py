@@ -5,8 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from spanveil.llm.line_dedup import line_dedup
 from spanveil.llm.quality_rules import quality_rules
+from spanveil.llm.shard_placement import SLOTS, place
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -59,3 +62,38 @@ def frequent_sql(line: str, share: float, docs: int) -> str:
 )
 def op10_quality_rules(s, sf):
     return quality_rules(table(s, sf, "documents"))
+
+
+@query(
+    f"""WITH {frequent_sql(f"trim(raw, {SPACES_SQL})", 0.1, 10)},
+    k AS (SELECT l.doc_id, l.i, raw, m.line IS NOT NULL AS gone FROM lines l
+      LEFT JOIN many m ON l.source IS NOT DISTINCT FROM m.source AND l.line = m.line)
+    SELECT doc_id, coalesce(string_agg(CASE WHEN NOT gone THEN raw END, chr(10) ORDER BY i), '') AS text, count(*) AS n_lines,
+      cast(sum(CASE WHEN gone THEN 1 ELSE 0 END) AS bigint) AS n_removed FROM k GROUP BY 1"""
+)
+def op7_line_dedup(s, sf):
+    return line_dedup(table(s, sf, "documents").select("doc_id", "source", "text")).select("doc_id", "text", "n_lines", "n_removed")
+
+
+SHARDS = tuple(f"shard-{k:02d}" for k in range(32))
+SLOT_SQL = "cast(('0x' || substr(md5({}), 1, 15))::BIGINT AS BIGINT)"
+
+
+@query(
+    f"""WITH RECURSIVE s AS (SELECT k, 'shard-' || lpad(cast(k AS varchar), 2, '0') AS name FROM range(32) AS t(k)),
+    n AS (SELECT list({SLOT_SQL.format("'offset ' || name")} % {SLOTS} ORDER BY k) AS starts,
+      list({SLOT_SQL.format("'step ' || name")} % {SLOTS - 1} + 1 ORDER BY k) AS steps FROM s),
+    fill AS (SELECT 0 AS turn, starts AS spot, list_transform(range({SLOTS}), lambda x: -1) AS owner, 0 AS claimed, steps FROM n
+      UNION ALL
+      SELECT CASE WHEN owner[spot[turn + 1] + 1] < 0 THEN (turn + 1) % 32 ELSE turn END,
+        CASE WHEN owner[spot[turn + 1] + 1] < 0 THEN spot
+          ELSE list_concat(spot[1:turn], [(spot[turn + 1] + steps[turn + 1]) % {SLOTS}], spot[turn + 2:32]) END,
+        CASE WHEN owner[spot[turn + 1] + 1] < 0 THEN list_concat(owner[1:spot[turn + 1]], [turn], owner[spot[turn + 1] + 2:{SLOTS}]) ELSE owner END,
+        CASE WHEN owner[spot[turn + 1] + 1] < 0 THEN claimed + 1 ELSE claimed END, steps FROM fill WHERE claimed < {SLOTS}),
+    done AS (SELECT owner FROM fill WHERE claimed = {SLOTS} LIMIT 1),
+    t AS (SELECT unnest(range({SLOTS})) AS slot, unnest(owner) AS k FROM done)
+    SELECT doc_id, t.slot, 'shard-' || lpad(cast(k AS varchar), 2, '0') AS shard
+    FROM documents JOIN t ON t.slot = {SLOT_SQL.format("'k' || doc_id")} % {SLOTS}"""
+)
+def op6_shard_placement(s, sf):
+    return place(table(s, sf, "documents").select("doc_id"), F.col("doc_id"), SHARDS)
