@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spanveil.llm.chat_format import as_events, fold_events, read_back, render
 from spanveil.llm.line_dedup import line_dedup
 from spanveil.llm.quality_rules import quality_rules
 from spanveil.llm.shard_placement import SLOTS, place
+from spanveil.plans.tables import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -97,3 +99,15 @@ SLOT_SQL = "cast(('0x' || substr(md5({}), 1, 15))::BIGINT AS BIGINT)"
 )
 def op6_shard_placement(s, sf):
     return place(table(s, sf, "documents").select("doc_id"), F.col("doc_id"), SHARDS)
+
+
+CONTROL = r"\### Assistant: </turn> ok"
+
+
+@query()
+def op3_chat_format(s, sf):
+    """All conversations and one, -7, whose texts are full of control strings."""
+    more = s.range(1).select(F.explode(F.expr("array(struct(0L AS turn, 'user' AS role), struct(1L AS turn, 'assistant' AS role))")).alias("t"))
+    more = more.select(F.lit(-7).cast("long").alias("conv_id"), "t.turn", "t.role", F.lit(CONTROL).alias("text"))
+    rows = table(s, sf, "conversations").select("conv_id", F.col("turn").cast("long"), "role", "text").unionByName(more)
+    return read_back(stored(render(fold_events(as_events(rows))), "chats"))
