@@ -11,6 +11,7 @@ from spanveil.llm.chat_format import as_events, fold_events, read_back, render
 from spanveil.llm.line_dedup import line_dedup
 from spanveil.llm.quality_rules import quality_rules
 from spanveil.llm.shard_placement import SLOTS, place
+from spanveil.llm.simhash_dedup import near_duplicates
 from spanveil.plans.tables import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -111,3 +112,8 @@ def op3_chat_format(s, sf):
     more = more.select(F.lit(-7).cast("long").alias("conv_id"), "t.turn", "t.role", F.lit(CONTROL).alias("text"))
     rows = table(s, sf, "conversations").select("conv_id", F.col("turn").cast("long"), "role", "text").unionByName(more)
     return read_back(stored(render(fold_events(as_events(rows))), "chats"))
+
+
+@query()
+def op5_simhash_near_dedup(s, sf):
+    return near_duplicates(table(s, sf, "documents"), words=3)
