@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from spanveil.llm.chat_format import as_events, fold_events, read_back, render
 from spanveil.llm.line_dedup import line_dedup
+from spanveil.llm.packing import pack
 from spanveil.llm.quality_rules import quality_rules
 from spanveil.llm.shard_placement import SLOTS, place
 from spanveil.llm.simhash_dedup import near_duplicates
-from spanveil.plans.tables import stored
+from spanveil.llm.token_files import read_token_files, write_token_files
+from spanveil.plans.tables import fresh_path, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -117,3 +119,21 @@ def op3_chat_format(s, sf):
 @query()
 def op5_simhash_near_dedup(s, sf):
     return near_duplicates(table(s, sf, "documents"), words=3)
+
+
+def tokenizer_file(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query()
+def op2_simple8b_ids(s, sf):
+    path = fresh_path(s, "ids")
+    write_token_files(table(s, sf, "documents"), path, tokenizer_file("word_bpe_49k.json"))
+    return read_token_files(s, path)
+
+
+@query()
+def op4_best_fit_packing(s, sf):
+    return pack(table(s, sf, "documents"), tokenizer_file("byte_bpe_50k.json"))
