@@ -49,23 +49,26 @@ def best_pattern(lengths: np.ndarray, weights: np.ndarray, capacity: int) -> Pat
     return tuple(sorted(found.items(), reverse=True))
 
 
-def solve(counts: dict[int, int], capacity: int, *, rounds: int = 1200, step: float = 0.125, rare: int = 8) -> dict[Pattern, float]:
-    """Fractional numbers of patterns. Lengths with fewer than ``rare`` pieces are left to the rounding."""
+def solve(counts: dict[int, int], capacity: int, *, rounds: int = 600, step: float = 0.3, rate: float = 1.0, rare: int = 8) -> dict[Pattern, float]:
+    """Fractional numbers of patterns, none over the histogram.
+
+    The weight of a length starts a little above its size, so that long pieces
+    go first and short ones stay to fill gaps with, and falls by the factor
+    exp(-rate) as the length gets covered. A round takes the pattern of most
+    weight for a ``step`` of what its scarcest length has left. Lengths with
+    fewer than ``rare`` pieces are left to the rounding.
+    """
     lengths = np.array(sorted(x for x, n in counts.items() if n >= rare), np.int64)
-    if not len(lengths):
-        return {}
     need = np.array([counts[x] for x in lengths.tolist()], float)
     have, place, found = np.zeros(len(need)), {x: i for i, x in enumerate(lengths.tolist())}, Counter()
-    rate = np.log(len(need) + 1) / step / 4
     for _ in range(rounds):
-        open_ = have < need
-        if not open_.any():
+        open_ = have + 1 <= need
+        pattern = best_pattern(lengths[open_], (lengths**1.1 * np.exp(-rate * have / need))[open_], capacity)
+        if not pattern:
             break
-        # longer pieces are worth more for the room they fill; covered ones little
-        pattern = best_pattern(lengths[open_], (lengths * np.exp(-rate * step * have / need))[open_], capacity)
         spots = [place[x] for x, _ in pattern]
         times = np.array([k for _, k in pattern], float)
-        much = max(1.0, step * float((need[spots] / times).min()))
+        much = max(1.0, step * float(((need - have)[spots] / times).min()))
         have[spots] += much * times
         found[pattern] += much
     return dict(found)
