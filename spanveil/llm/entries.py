@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanveil.llm.chat_format import as_events, fold_events, read_back, render
+from spanveil.llm.decontamination import verdicts
 from spanveil.llm.line_dedup import line_dedup
 from spanveil.llm.packing import pack
 from spanveil.llm.quality_rules import quality_rules
@@ -137,3 +138,8 @@ def op2_simple8b_ids(s, sf):
 @query()
 def op4_best_fit_packing(s, sf):
     return pack(table(s, sf, "documents"), tokenizer_file("byte_bpe_50k.json"))
+
+
+@query()
+def op9_benchmark_decontamination(s, sf):
+    return verdicts(table(s, sf, "documents"), table(s, sf, "benchmark"))
