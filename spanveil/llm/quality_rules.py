@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanveil.llm.common import SPACES, free_name, text_of, words_of
+from spanveil.llm.common import SPACES, text_of, words_of
 from spanveil.llm.lines import frequent_lines, normalised
 from spanveil.plans.tables import stored
 
@@ -59,10 +59,10 @@ def _measures(rows: DataFrame, keep: list[str]) -> DataFrame:
     return step.select(*kept, F.coalesce(covered, F.lit(0).cast("long")).alias("n_repeat_words"))
 
 
-def quality_rules(
+def _judged(
     docs: DataFrame,
+    carried: Column,
     *,
-    id_col: str = "doc_id",
     text_col: str = "text",
     host_col: str = "source",
     min_words: int = 20,
@@ -71,8 +71,29 @@ def quality_rules(
     line_docs: int = 10,
     max_lost: float = 0.7,
 ) -> DataFrame:
+    """``carried`` of each row with its counts and verdict."""
+    rows = docs.select(carried.alias("carried"), F.col(host_col).cast("string").alias("host"), text_of(text_col).alias("body"))
+    many = stored(frequent_lines(docs, host_col, text_col, _line_hashes, line_share, line_docs), "frequent-lines")
+    step = _measures(rows, ["carried", "host"]).join(many.withColumnRenamed("host", "host_"), F.col("host").eqNullSafe(F.col("host_")), "left")
+    # the lines of a text and their hashes stand at the same places
+    hit = F.filter(
+        F.zip_with(F.split("body", "\n"), _line_hashes(F.col("body")), lambda x, h: F.when(F.array_contains("lines", h), x)),
+        lambda x: x.isNotNull(),
+    )
+    loses = F.aggregate(hit, F.lit(0).cast("long"), lambda a, x: a + F.size(words_of(x)))
+    step = step.withColumn("removed_words", F.when(F.col("lines").isNull(), F.lit(0).cast("long")).otherwise(loses))
+    bad = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
+    step = step.withColumn("base_failed", bad)
+    kept = ~F.col("base_failed") & (F.col("removed_words") <= max_lost * F.col("n_words"))
+    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "removed_words"]
+    return step.select("carried", *names, kept.alias("kept"))
+
+
+def quality_rules(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
     """Counts and a verdict for each row; DataFrame functions only.
 
+    ``options``: ``text_col``, ``host_col``, and the limits of :func:`_judged`.
+
     Lines are normalised (numbers folded, outer spaces dropped) and
     hashed; a line in at least ``line_docs`` distinct documents and more than
     ``line_share`` of the documents of its host is removed. A document that
@@ -86,27 +107,11 @@ def quality_rules(
     count as one document. Other columns are not read. An empty table gives
     an empty result.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.col(host_col).cast("string").alias("host"), text_of(text_col).alias("body"))
-    many = stored(frequent_lines(docs, host_col, text_col, _line_hashes, line_share, line_docs), "frequent-lines")
-    step = _measures(rows, ["id", "host"]).join(many.withColumnRenamed("host", "host_"), F.col("host").eqNullSafe(F.col("host_")), "left")
-    # the lines of a text and their hashes stand at the same places
-    hit = F.filter(
-        F.zip_with(F.split("body", "\n"), _line_hashes(F.col("body")), lambda x, h: F.when(F.array_contains("lines", h), x)),
-        lambda x: x.isNotNull(),
-    )
-    loses = F.aggregate(hit, F.lit(0).cast("long"), lambda a, x: a + F.size(words_of(x)))
-    step = step.withColumn("removed_words", F.when(F.col("lines").isNull(), F.lit(0).cast("long")).otherwise(loses))
-    bad = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
-    step = step.withColumn("base_failed", bad)
-    kept = ~F.col("base_failed") & (F.col("removed_words") <= max_lost * F.col("n_words"))
-    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "removed_words"]
-    return step.select(F.col("id").alias(id_col), *names, kept.alias("kept"))
+    judged = _judged(docs, F.col(id_col), **options)
+    return judged.withColumnRenamed("carried", id_col)
 
 
 def keep_good(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that :func:`quality_rules` keeps, with all their columns."""
-    id_col, mark = options.get("id_col", "doc_id"), free_name(docs, "kept_")
-    judged = quality_rules(docs, **options).groupBy(id_col).agg(F.bool_or("kept").alias(mark)).where(mark)
-    key = free_name(docs, "id_")
-    judged = judged.withColumnRenamed(id_col, key).drop(mark)
-    return docs.join(judged, docs[id_col].eqNullSafe(judged[key]), "left_semi")
+    """The rows of ``docs`` that the rules keep, with all their columns; no row moves."""
+    judged = _judged(docs, F.struct(*[F.col(f"`{c}`") for c in docs.columns]), **options)
+    return judged.where("kept").select("carried.*")

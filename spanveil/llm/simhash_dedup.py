@@ -142,8 +142,13 @@ def near_duplicates(
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of its component, with all columns; rows with a NULL id stay."""
+    """One row of each component, that of its smallest id, with all columns; of
+    repeated rows of that id one. Rows with a NULL id stay."""
     id_col = options.get("id_col", "doc_id")
     key = free_name(docs, "id_")
-    first = near_duplicates(docs, **options).where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias(key))
-    return docs.where(F.col(id_col).isNull()).union(docs.join(first, docs[id_col] == first[key], "left_semi"))
+    found = stored(near_duplicates(docs, **options), "near-duplicates")
+    first = found.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias(key))
+    kept = docs.join(first.distinct(), docs[id_col] == first[key], "left_semi")
+    if not first.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        kept = kept.dropDuplicates([id_col])
+    return docs.where(F.col(id_col).isNull()).union(kept)
