@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from spanveil.llm.chat_format import as_events, fold_events, read_back, render
 from spanveil.llm.decontamination import verdicts
+from spanveil.llm.hmm_lm import score_texts
 from spanveil.llm.line_dedup import line_dedup
 from spanveil.llm.packing import pack
 from spanveil.llm.quality_rules import quality_rules
@@ -143,3 +144,8 @@ def op4_best_fit_packing(s, sf):
 @query()
 def op9_benchmark_decontamination(s, sf):
     return verdicts(table(s, sf, "documents"), table(s, sf, "benchmark"))
+
+
+@query()
+def op8_hmm_lm(s, sf):
+    return score_texts(table(s, sf, "documents"))
