@@ -15,6 +15,7 @@ from spanveil.llm.packing import pack
 from spanveil.llm.quality_rules import quality_rules
 from spanveil.llm.shard_placement import SLOTS, place
 from spanveil.llm.simhash_dedup import near_duplicates
+from spanveil.llm.suffix_dedup import substring_dedup
 from spanveil.llm.token_files import read_token_files, write_token_files
 from spanveil.plans.tables import fresh_path, stored
 
@@ -149,3 +150,8 @@ def op9_benchmark_decontamination(s, sf):
 @query()
 def op8_hmm_lm(s, sf):
     return score_texts(table(s, sf, "documents"))
+
+
+@query()
+def op1_suffix_array_dedup(s, sf):
+    return substring_dedup(table(s, sf, "documents")).drop("starts", "stops")
