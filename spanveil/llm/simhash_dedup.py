@@ -7,7 +7,7 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanveil.llm.bktree import Groups, near
@@ -142,13 +142,15 @@ def near_duplicates(
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """One row of each component, that of its smallest id, with all columns; of
-    repeated rows of that id one. Rows with a NULL id stay."""
-    id_col = options.get("id_col", "doc_id")
-    key = free_name(docs, "id_")
-    found = stored(near_duplicates(docs, **options), "near-duplicates")
-    first = found.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias(key))
-    kept = docs.join(first.distinct(), docs[id_col] == first[key], "left_semi")
-    if not first.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
-        kept = kept.dropDuplicates([id_col])
+    """One row of each component, that of its smallest id, with all columns.
+
+    Where several rows have that id, the text of least hash stays, once. Rows with a NULL id stay.
+    """
+    id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
+    key, mark = free_name(docs, "id_"), free_name(docs, "mark_")
+    found = near_duplicates(docs, **options)
+    first = stored(found.where(F.col(id_col) == F.col("component_id")).groupBy(F.col(id_col).alias(key)).agg(F.count(F.lit(1)).alias("n")), "first")
+    kept = docs.join(first, docs[id_col] == first[key], "left_semi")
+    if not first.where("n > 1").isEmpty():
+        kept = kept.withColumn(mark, F.row_number().over(Window.partitionBy(id_col).orderBy(F.xxhash64(text_col), text_col))).where(F.col(mark) == 1).drop(mark)
     return docs.where(F.col(id_col).isNull()).union(kept)
