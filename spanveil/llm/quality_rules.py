@@ -114,4 +114,6 @@ def quality_rules(docs: DataFrame, *, id_col: str = "doc_id", **options) -> Data
 def keep_good(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that the rules keep, with all their columns; no row moves."""
     judged = _judged(docs, F.struct(*[F.col(f"`{c}`") for c in docs.columns]), **options)
-    return judged.where("kept").select("carried.*")
+    # a filter on the verdict would be pushed below the steps and repeat them all; one on an exploded row is not
+    rows = judged.select(F.explode_outer(F.when(F.col("kept"), F.array("carried"))).alias("row"))
+    return rows.where(F.col("row").isNotNull()).select("row.*")
