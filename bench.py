@@ -54,7 +54,7 @@ def main() -> None:
 
     def docs(*more: str):
         # the test corpus is one file with one row group; a real one is not
-        return read_documents(spark, path, ["doc_id", "text", *more], spread=int(CPUS))
+        return read_documents(spark, path, ["doc_id", "text", *more]).repartition(int(CPUS))
 
     sealed = stored(
         analyze_and_anonymize(docs(), "doc_id", {"DEFAULT": Encrypt(KEY)}, engine=MAIN).select(

@@ -6,11 +6,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 MODES = {"CBC": ("CBC", "PKCS", 16), "GCM": ("GCM", "DEFAULT", 12)}
+UNKNOWN = "UNKNOWN"  # the name of a span without a type
 HASHES = ("md5", "sha256", "sha512")
 
 
 def placeholder(entity_type: Column) -> Column:
-    return F.concat(F.lit("<"), entity_type, F.lit(">"))
+    return F.concat(F.lit("<"), F.coalesce(entity_type, F.lit(UNKNOWN)), F.lit(">"))
 
 
 def mask(value: Column, char: Column, count: Column, from_end: Column) -> Column:
@@ -60,9 +61,12 @@ def decrypt(value: Column, key: Column, mode: str = "CBC", base64_key: bool = Fa
     return plain.cast("string")
 
 
-def pseudonym(entity_type: Column, value: Column, salt: Column, length: int = 8) -> Column:
-    """Same value, same name across the corpus, without a table of names."""
+def pseudonym(entity_type: Column, value: Column, salt: Column, length: int = 32) -> Column:
+    """Same value, same name across the corpus, without a table of names.
+
+    128 bits by default: two values of a large corpus don't meet in one name.
+    """
     return F.concat(
-        F.lit("<"), entity_type, F.lit("_"),
+        F.lit("<"), F.coalesce(entity_type, F.lit(UNKNOWN)), F.lit("_"),
         F.substring(F.sha2(F.concat(salt, value), 256), 1, length), F.lit(">"),
     )

@@ -48,12 +48,11 @@ def words(text: str) -> str:
 
 def pieces(text: str, regex: str) -> str:
     """SQL: matches and the text before each, as ``array<struct<value,gap>>``."""
-    both = (
-        f"zip_with(regexp_extract_all({text}, {regex}, 0), split({text}, {regex}, -1), "
-        "(_m, _g) -> named_struct('value', _m, 'gap', _g))"
-    )
-    # there is one piece more than there are matches
-    return f"filter({both}, _s -> _s.value IS NOT NULL)"
+    # there is one gap more than there are matches, but none before an empty match at the very start
+    gaps = "if(size(_g) = size(_m), concat(array(''), _g), _g)"
+    both = f"zip_with(_m, {gaps}, (_v, _w) -> named_struct('value', _v, 'gap', _w))"
+    kept = f"filter({both}, _s -> _s.value IS NOT NULL)"
+    return let(f"regexp_extract_all({text}, {regex}, 0)", "_m", let(f"split({text}, {regex}, -1)", "_g", kept))
 
 
 def located(steps: str, body: str) -> str:
@@ -97,7 +96,8 @@ def matches(text: Column, regex: Column, words_before: Column | None = None) ->
         "named_struct('start', get(_ends, _i) - length(_s.value), 'end', get(_ends, _i), "
         f"'value', _s.value, 'before', {before})"
     )
-    return bind(F.struct(*fields), located(pieces("v.text", "v.regex"), body))
+    found = located(pieces("v.text", "v.regex"), body)
+    return bind(F.struct(*fields), f"filter({found}, _f -> _f.end > _f.start)")
 
 
 def regex_matches(text: Column, regex: str) -> Column:
@@ -144,7 +144,7 @@ def merge_overlaps(spans: Column) -> Column:
 def inside(spans: Column, text: Column) -> Column:
     """Clip spans to the text and drop the empty ones."""
     clipped = (
-        "transform(v.spans, _s -> named_struct('start', greatest(_s.start, 0), 'end', least(_s.end, v.n), "
+        "transform(filter(v.spans, _s -> _s.start IS NOT NULL AND _s.end IS NOT NULL), _s -> named_struct('start', greatest(_s.start, 0), 'end', least(_s.end, v.n), "
         "'entity_type', _s.entity_type, 'score', _s.score))"
     )
     return bind(

@@ -14,8 +14,6 @@ from spanveil.functions.arrays import once
 from spanveil.functions.spans import inside, merge_overlaps, rewrite
 
 DEFAULT = "DEFAULT"
-# Rows of a config table: one per entity type, so a handful.
-MAX_CONFIG = 10_000
 OPERATOR_NAMES = ("replace", "redact", "mask", "hash", "encrypt", "custom", "pseudonym")
 PARAMS_TYPE = (
     "struct<type:string,new_value:string,hash_type:string,key:string,masking_char:string,"
@@ -122,11 +120,8 @@ def config_map(config: DataFrame) -> Column:
         "entity_type", *[F.lit(None).alias(c) if c in absent else F.col(c) for c in params]
     )
     entry = F.struct("entity_type", F.struct(*params).cast(PARAMS_TYPE).alias("params"))
-    # a column of the plan must stay small: one row too many is enough to tell
-    few = full.limit(MAX_CONFIG + 1)
-    too_many = F.raise_error(F.lit(f"an operator config has at most {MAX_CONFIG} rows"))
-    made = F.map_from_entries(F.collect_list(entry))
-    return few.agg(F.when(F.count(F.lit(1)) > MAX_CONFIG, too_many).otherwise(made)).scalar()
+    named = full.where(F.col("entity_type").isNotNull())
+    return named.agg(F.map_from_entries(F.collect_list(entry))).scalar()
 
 
 def _outcome(operator: Column, text: Column) -> Column:
@@ -154,7 +149,8 @@ def _by_python(operators: Mapping[str, Operator], secret: Column | None, doc: Co
                 text = replacing.pseudonym(s["entity_type"], value, secret[name])
             case Custom():
                 text = op.function(value).cast("string")
-        return _outcome(F.lit(op.name), text)
+        # a replacement of NULL never deletes what stands around, nor leaves the value
+        return _outcome(F.lit(op.name), F.coalesce(text, replacing.placeholder(s["entity_type"])))
 
     def replace(s: Column, value: Column) -> Column:
         named = [(n, op) for n, op in operators.items() if n != DEFAULT]
@@ -247,7 +243,10 @@ def anonymize(
 
     text, spans = F.col(text_col), F.col(spans_col)
     islands = merge_overlaps(inside(spans, text))
-    outside = F.exists(spans, lambda s: (s["start"] < 0) | (s["end"] > F.length(text)) | (s["start"] >= s["end"]))
+    outside = F.exists(
+        spans,
+        lambda s: s["start"].isNull() | s["end"].isNull() | (s["start"] < 0) | (s["end"] > F.length(text)) | (s["start"] >= s["end"]),
+    )
     ready = text.isNotNull() & spans.isNotNull()
     status = F.when(text.isNull(), "missing_text").when(spans.isNull(), "missing_spans")
     if "status" in df.columns:

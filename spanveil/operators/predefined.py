@@ -53,7 +53,7 @@ def _one(name: str, regex: str, score: float, *guards: str) -> tuple[Pattern, ..
 
 _MONTH = f"(?:{alternatives(MONTHS)})"
 _LOCAL = r"[0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}"
-_SURNAME = rf"(?:[ ]\p{{Lu}}\p{{L}}+){{0,2}}"
+_SURNAME = rf"(?:[ ]\p{{Lu}}(?:\p{{L}}|['’-](?=\p{{L}}))+)*"
 
 PREDEFINED: tuple[Recognizer, ...] = (
     Recognizer(
@@ -110,7 +110,8 @@ PREDEFINED: tuple[Recognizer, ...] = (
         "e-mail", "EMAIL_ADDRESS",
         _one(
             "address",
-            r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,126}", 1.0, "@",
+            # from the first character on, without a way back: linear, and no part of an address is left
+            r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", 1.0, "@",
         ),
     ),
     Recognizer(

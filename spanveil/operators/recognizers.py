@@ -10,9 +10,6 @@ from pyspark.sql import Column
 
 from spanveil.functions.spans import WORD_END, WORD_START
 
-# Longer term lists belong in a gazetteer table, which is joined.
-MAX_TERMS = 200
-
 CONTEXT_BOOST = 0.35
 CONTEXT_FLOOR = 0.4
 
@@ -132,14 +129,10 @@ def deny_list_recognizer(
     ignore_case: bool = False,
     languages: Iterable[str] | None = None,
 ) -> Recognizer:
-    """Literal terms. Longer lists than ``MAX_TERMS`` go through a gazetteer table."""
+    """Literal terms, any number; a list that is itself a large table belongs in a gazetteer, which is joined."""
     wanted = parse_list(terms)
     if not wanted:
         raise ValueError(f"deny list for {entity_type!r} is empty")
-    if len(wanted) > MAX_TERMS:
-        raise ValueError(
-            f"deny list for {entity_type!r} has {len(wanted)} terms; use gazetteer_spans() beyond {MAX_TERMS}"
-        )
     regex = ("(?iu)" if ignore_case else "") + terms_regex(wanted)
     return Recognizer(
         f"{entity_type} deny list", entity_type, (Pattern("terms", regex, score),),

@@ -18,32 +18,31 @@ def read_texts(spark: SparkSession, path: str | list[str], stream: bool = False)
     return texts.select(name.alias("name"), F.col("value").alias("text"))
 
 
-def read_documents(
-    spark: SparkSession, path: str, columns: list[str] | None = None, spread: int | None = None
-) -> DataFrame:
-    """A stored corpus (parquet), only the columns asked for.
-
-    ``spread`` repartitions a corpus kept in fewer files than that; a few
-    large files with one row group each would otherwise keep few tasks busy.
-    """
+def read_documents(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
+    """A stored corpus (parquet), only the columns asked for."""
     df = spark.read.parquet(path)
-    if columns:
-        df = df.select(*columns)
-    if spread and len(df.inputFiles()) < spread:
-        df = df.repartition(spread)
-    return df
+    return df.select(*columns) if columns else df
 
 
 def split_chunks(df: DataFrame, id_col: str, text_col: str = "text", size: int = CHUNK) -> DataFrame:
-    """``<id, idx, chunk>`` with chunks of ``size`` code points, in one pass over each text."""
-    return df.select(F.col(id_col), F.posexplode(blocks(F.col(text_col), size)).alias("idx", "chunk"))
+    """``<id, idx, chunk>`` with chunks of ``size`` code points, in one pass over each text.
+
+    An empty text is one empty chunk, a NULL text one NULL chunk.
+    """
+    text = F.col(text_col)
+    cut = F.when(text.isNull() | (text == ""), F.array(text)).otherwise(blocks(text, size))
+    return df.select(F.col(id_col), F.posexplode(cut).alias("idx", "chunk"))
 
 
 def join_chunks(chunks: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
-    """Put chunks together in the order of ``idx``."""
+    """Put chunks together in the order of ``idx``; ``status`` says ``missing_chunks``,
+    and the text is NULL, where one before the last is not there."""
     ordered = F.array_sort(F.collect_list(F.struct("idx", "chunk")))
+    whole = F.countDistinct("idx") == F.max("idx") + 1
+    text = F.array_join(F.transform(ordered, lambda c: c["chunk"]), "")
     return chunks.groupBy(id_col).agg(
-        F.array_join(F.transform(ordered, lambda c: c["chunk"]), "").alias(text_col)
+        F.when(whole & (F.count("chunk") == F.count(F.lit(1))), text).alias(text_col),
+        F.when(whole, "ok").otherwise("missing_chunks").alias("status"),
     )
 
 

@@ -1,5 +1,6 @@
 """Spans: the worked examples, offsets, context, thresholds, checks."""
 
+import random
 import re
 
 import pytest
@@ -282,7 +283,6 @@ def test_plan_is_narrow_and_detects_once(spark, sf):
     lambda: create_patterns(["a"], ["a", "b"], [0.1]),
     lambda: deny_list_recognizers(["A", "B"], ["x"]),
     lambda: deny_list_recognizer("A", " , "),
-    lambda: deny_list_recognizer("A", [f"t{i}" for i in range(300)]),
     lambda: recognizers_for("NO_SUCH"),
     lambda: analyze_options(nothing="x"),
     lambda: engine_options(default_score_threshold="2"),
@@ -313,3 +313,32 @@ def test_wallet_check_against_hashlib(spark):
     bad = [a[:-1] + ("2" if a[-1] != "2" else "3") for a in good]
     df = spark.createDataFrame([(a, True) for a in good] + [(a, False) for a in bad], "a string, ok boolean")
     assert df.where(checks.wallet(F.col("a")) != F.col("ok")).count() == 0
+
+
+@pytest.mark.parametrize("regex", ["(?=a)|12", "[0-9]*", "12|(?=q)", "(?=abc)|c|12", "x*"])
+def test_zero_width_matches_shift_no_offset(spark, regex):
+    rng = random.Random(3)
+    texts = ["abc abc 12 x", "12", "", "a", "qq12q", *("".join(rng.choice("abc12 qx") for _ in range(12)) for _ in range(40))]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    got = {r.id: [(m.start, m.end, m.value) for m in r.m] for r in df.select("id", regex_matches(F.col("text"), regex).alias("m")).collect()}
+    for i, text in enumerate(texts):
+        assert got[i] == [(m.start(), m.end(), m.group()) for m in re.finditer(regex, text) if m.group()], text
+
+
+def test_addresses_of_any_length(spark):
+    texts = ["x" * 100 + "@ex.org", "a@" + "b" * 70 + "." + "c" * 70, "a@" + "b." * 20_000 + "com", "see a@b.c, and é.x@y.zz."]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    engine = EngineOptions(recognizers=tuple(recognizers_for("EMAIL_ADDRESS")))
+    got = {r.id: [(s.start, s.end) for s in r.spans] for r in analyze(df, engine=engine).collect()}
+    assert [got[i] for i in range(3)] == [[(0, len(t))] for t in texts[:3]]
+    assert [texts[3][a:b] for a, b in got[3]] == ["a@b.c", ".x@y.zz"]
+
+
+def test_whole_names_and_long_deny_lists(spark):
+    df = spark.createDataFrame([(1, "Mr. Kate McDonald-Smith Ann Lee O'Neil went; t299 t3")], "id long, text string")
+    engine = EngineOptions(recognizers=(*recognizers_for("PERSON"), deny_list_recognizer("T", [f"t{i}" for i in range(300)])))
+    spans = analyze(df, engine=engine).first().spans
+    text = "Mr. Kate McDonald-Smith Ann Lee O'Neil went; t299 t3"
+    assert [text[s.start : s.end] for s in spans if s.entity_type == "T"] == ["t299", "t3"]
+    left = set(range(4, 38)) - {i for s in spans for i in range(s.start, s.end)}
+    assert not left
