@@ -717,6 +717,49 @@ def stream_with_config(s, sf):
     return s.read.parquet(f"{path}/out").select("doc_id", "anonymized_text")
 
 
+# ---------------------------------------------------------------- inputs that once left values readable
+
+LONG_SQL = """SELECT doc_id, concat(repeat('longpart.', 12), regexp_extract(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+', 0),
+  repeat('.sub', 3), '.', repeat('end', 30)) AS text FROM documents WHERE contains(text, '@')
+  AND length(regexp_extract(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+', 0)) > 0"""
+
+
+@query(f"""WITH d AS ({LONG_SQL}) SELECT doc_id, 'EMAIL_ADDRESS' AS entity_type, 0 AS start, cast(length(text) AS int) AS "end",
+    1.0::double AS score, text FROM d""")
+def detect_long_addresses(s, sf):
+    long_ = s.sql(LONG_SQL.replace("FROM documents", "FROM {documents}"), documents=docs(s, sf))
+    return flat(analyze(long_, engine=only("EMAIL_ADDRESS"), with_text=True))
+
+
+@query(f"SELECT doc_id, regexp_replace(text, '{EMAIL}', '<EMAIL_ADDRESS>', 'g') AS anonymized_text FROM documents")
+def custom_null_replacement(s, sf):
+    """A custom operator that gives NULL: the placeholder stands in, and nothing around goes."""
+    found_ = analyze(docs(s, sf), engine=only("EMAIL_ADDRESS"))
+    nothing = Custom(lambda v: F.when(F.length(v) > 100_000, v))
+    return anonymize(found_, {"EMAIL_ADDRESS": nothing}, id_col="doc_id").select("doc_id", "anonymized_text")
+
+
+@query(
+    f"""WITH {sql_matches('m', '[0-9]+')} SELECT doc_id, 'NUMBER' AS entity_type, start, cast(start + length(value) AS int) AS "end",
+    0.5::double AS score, value AS text FROM m"""
+)
+def zero_width_regex(s, sf):
+    """Empty matches before each q between the numbers."""
+    numbers = regex_recognizer("NUMBER", [Pattern("numbers", "(?=q)|[0-9]+", 0.5)])
+    return flat(analyze(docs(s, sf), engine=EngineOptions(recognizers=(numbers,)), with_text=True))
+
+
+@query(
+    """SELECT doc_id, CASE WHEN length(text) = 0 THEN text ELSE '<UNKNOWN>' || substr(text, 4) END AS anonymized_text, 'clipped_spans' AS status
+    FROM documents"""
+)
+def external_spans_with_nulls(s, sf):
+    """Spans of another tool without a type, a start or an end."""
+    span = "struct<entity_type string, start int, end int, score double>"
+    spans = f"from_json('[{{\"start\":0,\"end\":3}},{{\"entity_type\":\"A\",\"end\":5}},{{\"entity_type\":\"B\",\"start\":4}}]', 'array<{span}>')"
+    return anonymize(docs(s, sf).withColumn("spans", F.expr(spans)), id_col="doc_id").select("doc_id", "anonymized_text", "status")
+
+
 # ---------------------------------------------------------------- contract
 
 
