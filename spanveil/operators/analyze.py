@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import json
 from collections.abc import Iterable
 
@@ -69,7 +71,7 @@ def candidates(
             "regex": p.regex,
             "base": p.score,
             "lifted": r.best_score(p),
-            "context": [w.lower() for w in r.context],
+            "context": [w for term in r.context for w in re.findall(r"\w+", term.lower())],
             "check": next((i for i, c in enumerate(checks) if c is r.check), -1),
         }
 
@@ -129,6 +131,10 @@ def _plan(engine: EngineOptions, options: AnalyzeOptions):
         limit = F.lit(static)
     wanted = options.entities
     chosen = registry(engine.registry(), options.ad_hoc_recognizers)
+    if wanted is not None and not isinstance(wanted, Column):
+        unknown = {e.upper() for e in wanted} - {r.entity_type.upper() for r in chosen}
+        if unknown:
+            raise ValueError(f"no recognizer for {sorted(unknown)}")
     return chosen, limit, static, wanted
 
 

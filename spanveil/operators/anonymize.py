@@ -116,7 +116,13 @@ def config_map(config: DataFrame) -> Column:
     """A config table (one row per entity type) as a scalar subquery."""
     params = [f.split(":")[0] for f in PARAMS_TYPE[len("struct<"):-1].split(",")]
     absent = [c for c in params if c not in config.columns]
-    full = config.select(
+    if "status" in config.columns:
+        config = config.where("status = 'ok'")
+    if "seq" in config.columns:  # the last one written wins
+        config = config.groupBy("entity_type").agg(
+            F.max_by(F.struct(*[c for c in config.columns if c not in ("entity_type", "seq")]), "seq").alias("_c")
+        ).select("entity_type", "_c.*")
+    full = config.dropDuplicates(["entity_type"]).select(
         "entity_type", *[F.lit(None).alias(c) if c in absent else F.col(c) for c in params]
     )
     entry = F.struct("entity_type", F.struct(*params).cast(PARAMS_TYPE).alias("params"))

@@ -159,11 +159,11 @@ def prune(
     recognizers: Iterable[Recognizer], entities: Iterable[str] | None = None, threshold: float = 0.0
 ) -> list[tuple[Recognizer, Pattern]]:
     """The patterns that can contribute a result, known before the job starts."""
-    wanted = None if entities is None else set(entities)
+    wanted = None if entities is None else {e.upper() for e in entities}
     return [
         (r, p)
         for r in recognizers
-        if wanted is None or r.entity_type in wanted
+        if wanted is None or r.entity_type.upper() in wanted
         for p in r.patterns
         if r.best_score(p) >= threshold
     ]

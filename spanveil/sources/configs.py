@@ -42,11 +42,17 @@ ANALYZE_TYPE = (
 def read_operator_config(spark: SparkSession, path: str) -> DataFrame:
     """JSON lines ``{entity_type, params}``, ``params`` being JSON text.
 
-    ``seq`` grows with the place in the file; ``status`` is ``malformed``
-    where a line or its parameters cannot be read.
+    ``seq`` orders lines by the time their file was written, its name and the
+    place in it, so that what is appended comes last; ``status`` is
+    ``malformed`` where a line or its parameters cannot be read.
     """
+    meta = F.col("_metadata")
+    place = F.struct(
+        meta["file_modification_time"].alias("written"), meta["file_name"].alias("file"),
+        meta["file_block_start"].alias("block"), F.monotonically_increasing_id().alias("line"),
+    )
     lines = spark.read.text(path).select(
-        F.monotonically_increasing_id().alias("seq"),
+        place.alias("seq"),
         F.from_json("value", "struct<entity_type:string,params:string>").alias("l"),
     )
     parsed = lines.select("seq", "l.entity_type", F.from_json("l.params", PARAMS_TYPE).alias("p"))
@@ -59,6 +65,8 @@ def read_operator_config(spark: SparkSession, path: str) -> DataFrame:
 def latest_config(config: DataFrame) -> DataFrame:
     """One row per entity type: the last one written wins, on the exact name."""
     fields = [c for c in config.columns if c not in ("entity_type", "seq")]
+    if "status" in config.columns:
+        config = config.where("status = 'ok'")
     return (
         config.groupBy("entity_type")
         .agg(F.max_by(F.struct(*fields), "seq").alias("_c"))

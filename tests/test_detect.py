@@ -342,3 +342,13 @@ def test_whole_names_and_long_deny_lists(spark):
     assert [text[s.start : s.end] for s in spans if s.entity_type == "T"] == ["t299", "t3"]
     left = set(range(4, 38)) - {i for s in spans for i in range(s.start, s.end)}
     assert not left
+
+
+def test_entity_types_fold_case_and_unknown_ones_are_refused(spark):
+    df = spark.createDataFrame([(1, "the zip code is 12345")], "id long, text string")
+    own = regex_recognizer("Zip", [Pattern("five", "[0-9]{5}", 0.01)], context="zip code")
+    engine = EngineOptions(recognizers=(own,))
+    spans = analyze(df, analyze_options(entities="zip"), engine).first().spans
+    assert [(s.entity_type, s.score) for s in spans] == [("Zip", 0.4)]
+    with pytest.raises(ValueError):
+        analyze(df, analyze_options(entities="EMAIL"), engine)

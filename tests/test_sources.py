@@ -135,3 +135,21 @@ def test_only_needed_columns_are_read(spark, sf):
     df = documents.read_documents(spark, f"{sf}/documents.parquet", ["doc_id", "text"])
     plan = anonymize(analyze(df, engine=EngineOptions(tuple(recognizers_for("US_SSN"))))).select("doc_id", "anonymized_text")
     assert "ReadSchema: struct<doc_id:bigint,text:string>" in plan._jdf.queryExecution().executedPlan().toString()
+
+
+def test_an_appended_config_line_wins_and_a_bad_one_ends_nothing(spark, tmp_path):
+    import time
+
+    path = str(tmp_path / "config")
+    line = lambda params: spark.createDataFrame([(f'{{"entity_type": "X", "params": "{params}"}}',)], "value string")
+    say = lambda v: '{\\"type\\": \\"replace\\", \\"new_value\\": \\"' + v + '\\"}'
+    line(say("old")).coalesce(1).write.text(path)
+    time.sleep(1.1)
+    line(say("a much longer new value")).coalesce(1).write.mode("append").text(path)
+    time.sleep(1.1)
+    spark.createDataFrame([("not json",)], "value string").write.mode("append").text(path)
+    config = configs.read_operator_config(spark, path)
+    assert {r.status for r in config.collect()} == {"ok", "malformed"}
+    assert [(r.entity_type, r.new_value) for r in configs.latest_config(config).collect()] == [("X", "a much longer new value")]
+    df = spark.createDataFrame([(1, "abc", [("X", 0, 1, 1.0)])], "id long, text string, spans array<struct<entity_type string, start int, end int, score double>>")
+    assert anonymize(df, config, id_col="id").first().anonymized_text == "a much longer new valuebc"
