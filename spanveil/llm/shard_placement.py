@@ -8,6 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spanveil.llm.common import free_name
+
 SLOTS = 4099  # prime, over a hundred times the usual number of shards
 
 
@@ -59,11 +61,12 @@ def place(
     owners = F.array(*[F.lit(x) for x in shards])
     numbers = F.split(F.lit(",".join(map(str, fill(shards, slots)))), ",")
     spark = df.sparkSession
-    table = spark.range(1).select(F.posexplode(numbers).alias("slot__", "owner__"))
-    table = table.select(F.col("slot__").cast("long").alias("slot__"), F.get(owners, F.col("owner__").cast("int")).alias("shard__"))
     placed = df.withColumn(slot_col, slot_of(key, slots))
-    joined = placed.join(F.broadcast(table), F.col(slot_col) == F.col("slot__"))
-    return joined.withColumn(shard_col, F.col("shard__")).drop("slot__", "shard__")
+    at, to = free_name(placed, "table_slot"), free_name(placed, "table_shard")
+    table = spark.range(1).select(F.posexplode(numbers).alias("at", "owner"))
+    table = table.select(F.col("at").cast("long").alias(at), F.get(owners, F.col("owner").cast("int")).alias(to))
+    joined = placed.join(F.broadcast(table), F.col(slot_col) == F.col(at))
+    return joined.withColumn(shard_col, F.col(to)).drop(at, to)
 
 
 def write_shards(placed: DataFrame, path: str, shard_col: str = "shard") -> None:
