@@ -685,9 +685,9 @@ def external_spans(s, sf):
 @query(f"SELECT doc_id, regexp_replace(text, '{EMAIL}', '<EMAIL_ADDRESS>', 'g') AS anonymized_text FROM documents")
 def stream_anonymize(s, sf):
     path = _fresh(s, "stream")
-    arriving = streams.read_stream(s, f"{sf}/documents*.parquet", DOC_SCHEMA).select("doc_id", "text")
+    arriving = streams.read_stream(s, f"{sf}/documents*.parquet", DOC_SCHEMA).select("doc_id", "text", "lang")
     streams.anonymize_stream(
-        arriving, f"{path}/out", f"{path}/state", "doc_id", engine=only("EMAIL_ADDRESS")
+        arriving, f"{path}/out", f"{path}/state", "doc_id", engine=only("EMAIL_ADDRESS"), lang_col="lang"
     ).awaitTermination()
     return s.read.parquet(f"{path}/out").select("doc_id", "anonymized_text")
 
@@ -707,9 +707,8 @@ def stream_deanonymize(s, sf):
 @query(f"SELECT doc_id, regexp_replace(text, '{EMAIL}', '', 'g') AS anonymized_text FROM documents")
 def stream_with_config(s, sf):
     path = _fresh(s, "stream")
-    config = lambda: table(s, sf, "region").where("r_regionkey = 0").select(
-        F.lit("EMAIL_ADDRESS").alias("entity_type"), F.lit("redact").alias("type")
-    )
+    kind = F.when(F.col("r_regionkey") == 0, "EMAIL_ADDRESS").otherwise(F.concat(F.lit("TYPE_"), "r_name"))
+    config = lambda: table(s, sf, "region").select(kind.alias("entity_type"), F.lit("redact").alias("type"))
     arriving = streams.read_stream(s, f"{sf}/documents*.parquet", DOC_SCHEMA).select("doc_id", "text")
     streams.anonymize_stream_with_config(
         arriving, config, f"{path}/out", f"{path}/state", "doc_id", engine=only("EMAIL_ADDRESS")

@@ -42,9 +42,11 @@ def anonymize_stream(
     options: AnalyzeOptions | None = None,
     engine: EngineOptions | None = None,
     available_now: bool = True,
+    text_col: str = "text",
+    lang_col: str | None = None,
 ) -> StreamingQuery:
-    """Analyze and anonymize arriving documents."""
-    done = analyze_and_anonymize(documents, id_col, operators, options, engine)
+    """Analyze and anonymize arriving documents, each in its own language if ``lang_col`` is given."""
+    done = analyze_and_anonymize(documents, id_col, operators, options, engine, text_col, lang_col)
     return write_stream(
         done.select(id_col, "anonymized_text", "spans", "items", "status"), path, checkpoint, available_now
     )
@@ -69,6 +71,8 @@ def anonymize_stream_with_config(
     options: AnalyzeOptions | None = None,
     engine: EngineOptions | None = None,
     available_now: bool = True,
+    text_col: str = "text",
+    lang_col: str | None = None,
 ) -> StreamingQuery:
     """Like :func:`anonymize_stream`, reading the config table anew per batch.
 
@@ -77,7 +81,7 @@ def anonymize_stream_with_config(
     """
 
     def batch(df: DataFrame, number: int) -> None:
-        done = analyze_and_anonymize(df, id_col, config(), options, engine)
+        done = analyze_and_anonymize(df, id_col, config(), options, engine, text_col, lang_col)
         done.select(id_col, "anonymized_text", "spans", "items", "status").write.mode("overwrite").parquet(
             f"{path}/batch={number}"
         )
