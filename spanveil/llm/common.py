@@ -26,3 +26,8 @@ def free_name(df: DataFrame, wanted: str) -> str:
     while wanted.lower() in taken:
         wanted += "_"
     return wanted
+
+
+def sent_if_small(table: DataFrame, most: int = 500_000) -> DataFrame:
+    """A stored table of a few narrow columns, to be broadcast if it has at most ``most`` rows, else to be shuffled."""
+    return F.broadcast(table) if table.count() <= most else table

@@ -14,7 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanveil.llm.common import free_name
+from spanveil.llm.common import free_name, sent_if_small
+from spanveil.plans.tables import stored
 
 Passage = tuple[int, str, int]  # item (its place in the list), text, error budget
 
@@ -186,7 +187,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
     key, digest = free_name(docs, "id_"), free_name(docs, "digest_")
     hits = contaminated(docs, items, **options).select(F.col("doc_id").alias(key), F.col("digest").alias(digest)).distinct()
-    return docs.join(hits, docs[id_col].eqNullSafe(hits[key]) & (F.xxhash64(docs[text_col]) == hits[digest]), "left_anti")
+    hits = stored(hits, "contaminated")
+    return docs.join(sent_if_small(hits), docs[id_col].eqNullSafe(hits[key]) & (F.xxhash64(docs[text_col]) == hits[digest]), "left_anti")
 
 
 def verdicts(docs: DataFrame, items: DataFrame, **options) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanveil.llm.bktree import Groups, near
-from spanveil.llm.common import free_name
+from spanveil.llm.common import free_name, sent_if_small
 from spanveil.llm.components import components
 from spanveil.plans.tables import stored
 
@@ -148,9 +148,15 @@ def one_of_each(docs: DataFrame, **options) -> DataFrame:
     """
     id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
     key, mark = free_name(docs, "id_"), free_name(docs, "mark_")
-    found = near_duplicates(docs, **options)
-    first = stored(found.where(F.col(id_col) == F.col("component_id")).groupBy(F.col(id_col).alias(key)).agg(F.count(F.lit(1)).alias("n")), "first")
-    kept = docs.join(first, docs[id_col] == first[key], "left_semi")
-    if not first.where("n > 1").isEmpty():
-        kept = kept.withColumn(mark, F.row_number().over(Window.partitionBy(id_col).orderBy(F.xxhash64(text_col), text_col))).where(F.col(mark) == 1).drop(mark)
-    return docs.where(F.col(id_col).isNull()).union(kept)
+    found = stored(near_duplicates(docs, **options).select(id_col, "component_id").where(F.col(id_col).isNotNull()), "near-duplicates")
+    ids = found.groupBy(F.col(id_col).alias(key)).agg(F.max(F.col(id_col) == F.col("component_id")).alias("first"), F.count(F.lit(1)).alias("n"))
+    ids = stored(ids.where(~F.col("first") | (F.col("n") > 1)), "not-alone")
+    # what goes is far less than what stays, and texts stay where they are if it is few
+    gone = stored(ids.where(~F.col("first")).select(key), "copies")
+    kept = docs.join(sent_if_small(gone), docs[id_col] == gone[key], "left_anti")
+    again = ids.where("first").select(key)
+    if again.isEmpty():
+        return kept
+    twice = kept.join(again, kept[id_col] == again[key], "left_semi")
+    one = twice.withColumn(mark, F.row_number().over(Window.partitionBy(id_col).orderBy(F.xxhash64(text_col), text_col))).where(F.col(mark) == 1)
+    return kept.join(again, kept[id_col] == again[key], "left_anti").union(one.drop(mark))
