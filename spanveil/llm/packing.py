@@ -141,8 +141,8 @@ def _pieces(path: str, end_id: int | None, capacity: int):
     def run(batches):
         for batch in batches:
             row, piece, start, length, crc = [], [], [], [], []
-            for k, text in enumerate(batch.column("body").to_pylist()):
-                ids = encoder(path).ids(text) + end
+            for k, ids in enumerate(encoder(path).ids(batch.column("body").to_pylist())):
+                ids += end
                 n = len(ids) // 4
                 cuts = [0, *range(n % capacity or capacity, n + 1, capacity)] if n else [0]
                 for i, (a, b) in enumerate(zip(cuts, cuts[1:])):

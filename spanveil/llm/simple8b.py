@@ -17,6 +17,7 @@ import numpy as np
 COUNTS = (1, 240, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1)
 BITS = (60, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60)
 BLOCK = 4096
+POWERS = 1 << np.arange(64, dtype=np.uint64)
 MAGIC = b"S8B1"
 HEAD = struct.Struct("<4sIQQQ")  # magic, ids of a block, ids, words, escapes
 
@@ -25,11 +26,16 @@ def _block(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Words and escaped ids of one block; the last word may have room left."""
     n = len(ids)
     choice = np.zeros(n, np.int64)
+    widths = np.searchsorted(POWERS, ids, "right")  # bits of each id
+    fit = np.cumsum(np.bincount(widths, minlength=65))
     for s in range(len(COUNTS) - 1, 0, -1):  # ever narrower; what fits last holds most
-        over = np.zeros(n + COUNTS[s] + 1, np.int64)
-        np.cumsum(ids >> np.uint64(BITS[s]) != 0, out=over[1 : n + 1])
-        over[n + 1 :] = over[n]
-        choice[over[COUNTS[s] : n + COUNTS[s]] == over[:n]] = s
+        if fit[BITS[s]] == n:
+            choice[:] = s
+        elif fit[BITS[s]]:
+            over = np.zeros(n + COUNTS[s] + 1, np.int32)
+            np.cumsum(widths > BITS[s], out=over[1 : n + 1])
+            over[n + 1 :] = over[n]
+            choice[over[COUNTS[s] : n + COUNTS[s]] == over[:n]] = s
     jumps = np.asarray(COUNTS)[choice].tolist()
     starts, i = [], 0
     while i < n:

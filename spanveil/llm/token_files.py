@@ -32,9 +32,9 @@ def _writer(path: str, end_id: int | None, kind: pa.DataType):
             return pa.RecordBatch.from_arrays(arrays, names=["part", "file", "docs", "lengths", "n_ids", "data"])
 
         for batch in batches:
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("body").to_pylist()):
+            for doc, found in zip(batch.column("doc_id").to_pylist(), encoder(path).ids(batch.column("body").to_pylist())):
                 docs.append(doc)
-                ids.append(encoder(path).ids(text) + end)
+                ids.append(found + end)
                 held += len(ids[-1]) // 4
                 if held >= IDS_PER_FILE:
                     yield close()
