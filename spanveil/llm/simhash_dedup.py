@@ -20,17 +20,28 @@ LARGE = 4096  # fingerprints of a bucket beyond which it is split further
 TREE_ROWS = 200_000  # fingerprints whose trees are built at once, if no single tree has more
 
 
-def fingerprint(text: bytes | None, words: int) -> int:
-    """A bit is 1 if set in over half the XXH64 hashes of the word shingles, repeats included."""
+def shingle_hashes(text: bytes | None, words: int) -> np.ndarray:
+    """XXH64 of each word shingle, repeats included."""
     found = (text or b"").lower().split()  # of bytes: A-Z, and the six ASCII spaces
     if not found:
-        return 0
+        return np.zeros(0, np.uint64)
     shingles = map(b" ".join, zip(*(found[k:] for k in range(words)))) if len(found) >= words else [b" ".join(found)]
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), np.uint64)
+    return np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), np.uint64)
+
+
+def print_of(hashes: np.ndarray) -> int:
+    """A bit is 1 if set in over half of the hashes."""
+    if not len(hashes):
+        return 0
     bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * bits > len(hashes), bitorder="little").view(np.int64)[0])
 
 
+def fingerprint(text: bytes | None, words: int) -> int:
+    """A bit is 1 if set in over half the XXH64 hashes of the word shingles, repeats included."""
+    return print_of(shingle_hashes(text, words))
+
+
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5) -> DataFrame:
     """(doc_id, print) of whole texts; where the rows lie."""
     kind = dict(docs.dtypes)[id_col]
@@ -147,8 +158,14 @@ def one_of_each(docs: DataFrame, **options) -> DataFrame:
     Where several rows have that id, the text of least hash stays, once. Rows with a NULL id stay.
     """
     id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
+    found = near_duplicates(docs, **options).select(id_col, "component_id").where(F.col(id_col).isNotNull())
+    return first_of_each(docs, found, id_col, text_col)
+
+
+def first_of_each(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """One row of each ``component_id`` of ``found``, that of its smallest id; rows with a NULL id stay."""
     key, mark = free_name(docs, "id_"), free_name(docs, "mark_")
-    found = stored(near_duplicates(docs, **options).select(id_col, "component_id").where(F.col(id_col).isNotNull()), "near-duplicates")
+    found = stored(found, "near-duplicates")
     ids = found.groupBy(F.col(id_col).alias(key)).agg(F.max(F.col(id_col) == F.col("component_id")).alias("first"), F.count(F.lit(1)).alias("n"))
     ids = stored(ids.where(~F.col("first") | (F.col("n") > 1)), "not-alone")
     # what goes is far less than what stays, and texts stay where they are if it is few
