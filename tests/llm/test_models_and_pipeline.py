@@ -144,6 +144,16 @@ def test_scores_of_an_empty_table(spark):
     assert score_texts(frame(spark, [])).count() == 0
 
 
+def test_all_rounds_read_all_training_texts(spark, monkeypatch):
+    """Expected counts of every round add up to the tokens of all training texts, also of many."""
+    seen, real = [], Model.from_counts
+    monkeypatch.setattr(Model, "from_counts", staticmethod(lambda emit, *rest: (seen.append(emit.sum()), real(emit, *rest))[1]))
+    docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.col("id") % 7, F.col("id") % 11).alias("text"))
+    train = docs.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 1).count()
+    score_texts(docs, settings=Settings(states=2, frequent=8, shared=4))
+    assert seen == [pytest.approx(3 * train, rel=1e-4)] * 10
+
+
 # ---------------------------------------------------------------- pipeline
 
 
