@@ -86,10 +86,15 @@ def _judged(
     step = step.withColumn("base_failed", bad)
     kept = ~F.col("base_failed") & (F.col("removed_words") <= max_lost * F.col("n_words"))
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "removed_words"]
-    return step.select("carried", *names, kept.alias("kept"))
+    stay = F.filter(
+        F.zip_with(F.split("body", "\n"), _line_hashes(F.col("body")), lambda x, h: F.when(~F.coalesce(F.array_contains("lines", h), F.lit(False)), x)),
+        lambda x: x.isNotNull(),
+    )
+    cleaned = F.when(F.col("removed_words") > 0, F.array_join(stay, "\n"))  # a line that goes has a word
+    return step.select("carried", *names, kept.alias("kept"), cleaned.alias("cleaned"))
 
 
-def quality_rules(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
+def quality_rules(docs: DataFrame, *, id_col: str = "doc_id", with_text: bool = False, **options) -> DataFrame:
     """Counts and a verdict for each row; DataFrame functions only.
 
     ``options``: ``text_col``, ``host_col``, and the limits of :func:`_judged`.
@@ -102,18 +107,24 @@ def quality_rules(docs: DataFrame, *, id_col: str = "doc_id", **options) -> Data
 
     One row per row of ``docs``, with the id, ``n_words``, ``word_chars``,
     ``n_symbols``, ``n_dup_lines``, ``n_repeat_words``, ``base_failed``,
-    ``removed_words``, ``kept``. NULL and empty texts have no words and fail.
+    ``removed_words``, ``kept``, and ``with_text`` also ``cleaned``, the text
+    without its removed lines, NULL where none is removed. NULL and empty texts have no words and fail.
     A NULL host is a host of its own. Repeated rows are judged alike and
     count as one document. Other columns are not read. An empty table gives
     an empty result.
     """
     judged = _judged(docs, F.col(id_col), **options)
-    return judged.withColumnRenamed("carried", id_col)
+    return (judged if with_text else judged.drop("cleaned")).withColumnRenamed("carried", id_col)
 
 
-def keep_good(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that the rules keep, with all their columns; no row moves."""
+def keep_good(docs: DataFrame, *, clean: bool = False, **options) -> DataFrame:
+    """The rows of ``docs`` that the rules keep, with all their columns; no row moves. With ``clean``, removed lines go from their texts."""
     judged = _judged(docs, F.struct(*[F.col(f"`{c}`") for c in docs.columns]), **options)
     # a filter on the verdict would be pushed below the steps and repeat them all; one on an exploded row is not
-    rows = judged.select(F.explode_outer(F.when(F.col("kept"), F.array("carried"))).alias("row"))
-    return rows.where(F.col("row").isNotNull()).select("row.*")
+    good = F.struct("carried", "cleaned") if clean else F.struct("carried")
+    rows = judged.select(F.explode_outer(F.when(F.col("kept"), F.array(good))).alias("row")).where(F.col("row").isNotNull())
+    if not clean:
+        return rows.select("row.carried.*")
+    text = options.get("text_col", "text").lower()
+    own = [(c, F.col(f"row.carried.`{c}`")) for c in docs.columns]
+    return rows.select(*[(F.coalesce("row.cleaned", x) if c.lower() == text else x).alias(c) for c, x in own])

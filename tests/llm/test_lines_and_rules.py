@@ -3,6 +3,7 @@ from collections import Counter, defaultdict
 
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from spanveil.llm.line_dedup import line_dedup
 from spanveil.llm.quality_rules import keep_good, quality_rules
 from tests.llm.helpers import bare, corpus, frame, prose
@@ -65,6 +66,20 @@ def test_keep_good_keeps_whole_rows(spark):
     assert want and bare(keep_good(frame(spark, rows)).collect()) == bare(want)
 
 
+def test_stage_removes_the_lines_that_the_rules_remove(spark):
+    """The footer's year differs in each document, so only the normalised lines agree."""
+    rows = [r for r in more_rows() if r[0] is not None]
+    clean = lambda x: re.sub("[0-9]+", "0", x).strip(SPACES)
+    many = frequent(rows, clean, 0.2, 10)
+    text = lambda r: "\n".join(x for x in (r[1] or "").split("\n") if clean(x) not in many[r[3]])
+    want = [(r[0], text(r), len(text(r))) for r, v in zip(rows, rules(rows, 0.2, 10, 0.7)) if v[-1]]
+    got = corpus_pipeline.quality(spark, frame(spark, rows), "")
+    assert got.columns == frame(spark).columns and sum("All rights" in r[1] for r in rows if r[1]) > 30
+    assert bare(got.select("doc_id", "text", "n_chars").collect()) == bare(want) and not any("All rights" in x[1] and x[0] in range(100, 125) for x in want)
+    mine = {r["doc_id"]: r["cleaned"] for r in quality_rules(frame(spark, rows), with_text=True).collect()}
+    assert all(mine[k] in (t, None) for k, t, _ in want if 100 <= k < 130) and mine[100] is not None
+
+
 def test_rules_of_an_empty_table(spark):
     assert quality_rules(frame(spark, [])).count() == 0 and keep_good(frame(spark, [])).columns == frame(spark).columns
 
