@@ -9,14 +9,17 @@ from pyspark.sql import functions as F
 
 from spanveil.llm.chat_format import as_events, fold_events, read_back, render
 from spanveil.llm.decontamination import verdicts
+from spanveil.llm.hard_negatives import hard_negatives, prepared
 from spanveil.llm.hmm_lm import score_texts
 from spanveil.llm.line_dedup import line_dedup
 from spanveil.llm.packing import pack
 from spanveil.llm.quality_rules import quality_rules
 from spanveil.llm.shard_placement import SLOTS, place
 from spanveil.llm.simhash_dedup import near_duplicates
+from spanveil.llm.source_divergence import source_divergence
 from spanveil.llm.suffix_dedup import substring_dedup
 from spanveil.llm.token_files import read_token_files, write_token_files
+from spanveil.llm.warc_zip import page_report, write_archives
 from spanveil.plans.tables import fresh_path, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -155,3 +158,56 @@ def op8_hmm_lm(s, sf):
 @query()
 def op1_suffix_array_dedup(s, sf):
     return substring_dedup(table(s, sf, "documents")).drop("starts", "stops")
+
+
+@query(
+    """WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+    f AS (SELECT html, min(page_id) AS first FROM p WHERE octet_length(encode(html)) >= 100 GROUP BY 1)
+    SELECT page_id, cast(octet_length(encode(p.html)) AS bigint) AS payload_bytes, sha256(p.html) AS payload_digest,
+      CASE WHEN page_id > first THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id > first THEN first END AS refers_to
+    FROM p LEFT JOIN f ON p.html = f.html"""
+)
+def op11_warc_zip(s, sf):
+    """Records read back from packages by ranges."""
+    report = page_report(write_archives(table(s, sf, "pages"), fresh_path(s, "warc")))
+    ids = {"page_id": F.col("id").cast("long"), "refers_to": F.col("refers_to").cast("long")}
+    return report.withColumns(ids).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query(
+    """WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, row_number() OVER () AS r,
+      list_transform(embedding, lambda x: floor(256 * cast(x AS double))) AS v FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    s AS (SELECT a.r AS anchor, a.vec_id AS anchor_id, a.label = b.label AS alike, b.vec_id, cast(list_dot_product(a.v, b.v) AS bigint) AS score
+      FROM v a JOIN v b ON a.r <> b.r WHERE a.vec_id % 100 = 0),
+    p AS (SELECT *, row_number() OVER (PARTITION BY anchor ORDER BY score DESC, vec_id) AS k FROM s WHERE alike QUALIFY k <= 5)
+    SELECT p.anchor_id, p.vec_id AS positive_id, cast(row_number() OVER (PARTITION BY p.anchor, k ORDER BY n.score DESC, n.vec_id) AS int) AS rank,
+      n.vec_id AS negative_id, p.score AS positive_score, n.score AS negative_score
+    FROM p JOIN s n ON p.anchor = n.anchor AND NOT n.alike AND 80 * p.score <= 100 * n.score AND n.score <= p.score QUALIFY rank <= 5"""
+)
+def op12_hard_negatives(s, sf):
+    label = F.expr("CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END")
+    rows = prepared(table(s, sf, "embeddings"), label=label)
+    return hard_negatives(rows, F.col("vec_id") % 100 == 0)
+
+
+@query(
+    r"""WITH d AS (SELECT row_number() OVER () AS doc, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+    t AS (SELECT doc, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+    k AS (SELECT lang, term, count(*) AS total FROM t GROUP BY ALL HAVING count(DISTINCT doc) >= 10),
+    l AS (SELECT lang, count(*) AS v, sum(total) AS n FROM k GROUP BY 1),
+    g AS (SELECT DISTINCT lang, source FROM d),
+    c AS (SELECT lang, source, term, count(*) AS n FROM t SEMI JOIN k USING (lang, term) GROUP BY ALL),
+    m AS (SELECT lang, source, sum(n) AS n FROM c GROUP BY ALL),
+    p AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, 1 + (1000000000::hugeint * (coalesce(c.n, 0) + 2)) // (coalesce(m.n, 0) + 2 * l.v) AS p,
+        1 + (1000000000::hugeint * (total + 2)) // (l.n + 2 * l.v) AS q
+      FROM g JOIN k USING (lang) JOIN l USING (lang) LEFT JOIN m USING (lang, source) LEFT JOIN c USING (lang, source, term)),
+    x AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, cast(coalesce(f, 0) AS bigint) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+      LEFT JOIN (SELECT a.lang AS lang_, a.source AS s, b.source AS o, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS f
+        FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL) ON a.lang = lang_ AND a.source = s AND b.source = o
+      UNION ALL SELECT lang, source, 'term', term, cast(((p - q) * (p - q)) // (p + q) AS bigint) FROM p WHERE n > 0 AND p > q)
+    SELECT *, cast(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS int) AS rank FROM x QUALIFY part = 'pair' OR rank <= 10"""
+)
+def op13_source_divergence(s, sf):
+    return source_divergence(table(s, sf, "documents"))
