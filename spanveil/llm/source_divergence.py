@@ -20,20 +20,105 @@ from spanveil.plans.tables import fresh_path, stored
 
 LEAST_DOCS = 10
 ALL = 2**31 - 1  # the largest vocabulary there can be
-SLICE_TERMS = 400_000  # distinct terms that one vectorizer sees, about; more are dealt over several
+SLICE_TERMS = 1_500_000  # distinct terms that one vectorizer sees, about; more are dealt over several
 SCALE = 1_000_000_000
 RANKS = 10
 TERMS_PER_BLOCK = 4096
 SOURCES_PER_TILE = 64
 PAIRS_HELD = 1 << 20  # (source, term) sums that a task holds before it passes them on
 
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+# ------------------------------------------------------------------- terms
 
+WINDOW = 4 << 20  # bytes that are cut into terms at once
+PROBE = 12  # of the terms' hashes, one in 2 ** PROBE is kept to count distinct terms by
 
-def terms_of(text: Column) -> Column:
-    """Runs of letters (A to Z and all beyond ASCII), A to Z in lower case."""
-    return F.regexp_extract_all(F.translate(text, UPPER, LOWER), F.lit(TERM), F.lit(0))
+# Bytes of terms: a to z, A to Z as these, all bytes of characters beyond ASCII; 0 for all others.
+_BYTES = np.zeros(256, np.uint8)
+_BYTES[0x80:] = np.arange(0x80, 0x100)
+_BYTES[ord("a") : ord("z") + 1] = _BYTES[ord("A") : ord("Z") + 1] = np.arange(ord("a"), ord("z") + 1)
+_BASE = 0x9E3779B97F4A7C15  # odd, so that its powers have inverses modulo 2^64
+_powers: list[np.ndarray] = []
+
+
+def _power_tables(n: int) -> list[np.ndarray]:
+    """Powers of the base and of its inverse, as long as the longest window so far."""
+    if not _powers or len(_powers[0]) < n:
+        size = 1 << max(16, int(n - 1).bit_length())
+        inverse = pow(_BASE, -1, 1 << 64)
+        _powers[:] = [np.cumprod(np.r_[np.uint64(1), np.full(size - 1, x, np.uint64)]) for x in (_BASE, inverse)]
+    return _powers
+
+
+def _hashes(mapped: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each run of bytes: polynomials by differences of one running sum, then mixed."""
+    up, down = _power_tables(len(mapped))
+    sums = np.cumsum((mapped.astype(np.uint64) + np.uint64(1)) * up[: len(mapped)])
+    before = np.where(starts > 0, sums[starts - 1], np.uint64(0))
+    h = (sums[ends - 1] - before) * down[starts]
+    h ^= h >> np.uint64(29)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(29))
+
+
+def cut(texts: pa.StringArray) -> tuple[pa.ListArray, pa.ListArray]:
+    """The terms of each text, and the hashes that are kept of them.
+
+    A term is a run of letters, A to Z in lower case, and of any characters
+    beyond ASCII. In UTF-8 these are whole runs of bytes, so terms are cut
+    without making a string of any.
+    """
+    offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    data = texts.buffers()[2]
+    data = np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8)
+    parts, sizes, places, probes, probe_places = [], [], [], [], []
+    at, stop = int(offsets[0]), int(offsets[-1])
+    while at < stop:
+        to = min(stop, at + WINDOW)
+        # a window ends at a text's end or where no term goes on, however long that one is
+        while to < stop and _BYTES[data[to]]:
+            more = np.flatnonzero(_BYTES[data[to : to + WINDOW]] == 0)
+            to = min(stop, to + (int(more[0]) if len(more) else WINDOW))
+        mapped = _BYTES[data[at:to]]
+        inside = mapped != 0
+        first = inside.copy()
+        first[1:] &= ~inside[:-1]
+        # texts follow each other without anything between
+        borders = offsets[np.searchsorted(offsets, at) : np.searchsorted(offsets, to)] - at
+        first[borders] |= inside[borders]
+        starts = np.flatnonzero(first)
+        last = inside.copy()
+        last[:-1] &= ~inside[1:] | first[1:]
+        ends = np.flatnonzero(last) + 1
+        parts.append(mapped[inside])
+        sizes.append(ends - starts)
+        places.append(starts + at)
+        if len(starts):
+            h = _hashes(mapped, starts, ends)
+            kept = h <= np.uint64((1 << (64 - PROBE)) - 1)
+            probes.append(h[kept].view(np.int64))
+            probe_places.append(starts[kept] + at)
+        at = to
+    none = np.zeros(0, np.int64)
+    join = lambda x: np.concatenate(x) if x else none
+    sizes, places, probe_places = join(sizes), join(places), join(probe_places)
+    values = np.concatenate(parts) if parts else np.zeros(0, np.uint8)
+    ends = np.r_[0, np.cumsum(sizes)].astype(np.int32)
+    words = pa.StringArray.from_buffers(len(sizes), pa.py_buffer(ends), pa.py_buffer(values))
+    lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(places, offsets).astype(np.int32)), words)
+    spots = pa.array(np.searchsorted(probe_places, offsets).astype(np.int32))
+    return lists, pa.ListArray.from_arrays(spots, pa.array(join(probes), pa.int64()))
+
+
+def _cutter(batches):
+    for b in batches:
+        body = b.column("body")
+        terms, probe = cut(body if pa.types.is_string(body.type) else body.cast(pa.string()))
+        yield pa.RecordBatch.from_arrays([b.column("lang_no"), b.column("group_no"), terms, probe], names=["lang_no", "group_no", "terms", "probe"])
+
+
+# -------------------------------------------------------------------- sums
 
 
 def _group_sums(batches):
@@ -159,7 +244,7 @@ def _counted(rows: DataFrame, lang_no: int, least_docs: int) -> DataFrame | None
 
 
 def term_counts(tokens: DataFrame, langs: DataFrame, least_docs: int = LEAST_DOCS, slice_terms: int = SLICE_TERMS) -> DataFrame:
-    """Occurrences of each kept term in each group, of a stored table ``lang_no, group_no, terms``.
+    """Occurrences of each kept term in each group, of a stored table ``lang_no, group_no, terms, probe``.
 
     One CountVectorizer for each language with enough documents; where a
     language has more distinct terms than ``slice_terms``, they are dealt by
@@ -168,13 +253,14 @@ def term_counts(tokens: DataFrame, langs: DataFrame, least_docs: int = LEAST_DOC
     """
     spark = tokens.sparkSession
     wanted = [r["lang_no"] for r in langs.where(F.col("n_docs") >= least_docs).select("lang_no").orderBy("lang_no").toLocalIterator()]
-    each = tokens.select("lang_no", F.explode("terms").alias("term")).groupBy("lang_no").agg(F.approx_count_distinct("term").alias("n"))
-    sizes = {r["lang_no"]: r["n"] for r in each.toLocalIterator()}
+    each = tokens.select("lang_no", F.explode("probe").alias("hash")).groupBy("lang_no").agg(F.count_distinct("hash").alias("n"))
+    # of all distinct terms those whose hashes are small; none seen means few
+    sizes = {r["lang_no"]: max(1, r["n"] << PROBE) for r in each.toLocalIterator()}
     out = spark.createDataFrame([], "lang_no int, group_no int, term string, count long")
     for lang_no in wanted:
         mine = tokens.where(F.col("lang_no") == lang_no).select("group_no", "terms")
-        slices = -(-sizes.get(lang_no, 0) // slice_terms)
-        parts = [mine] if slices == 1 else [_sliced(mine, slices)] if slices else []
+        slices = -(-sizes.get(lang_no, 1) // slice_terms)
+        parts = [mine] if slices == 1 else [_sliced(mine, slices)]
         if slices > 1:
             parts = [parts[0].where(F.col("slice") == k) for k in range(slices)]
         for part in parts:
@@ -214,9 +300,11 @@ def source_divergence(
     groups = stored(numbered.withColumn("group_no", F.row_number().over(Window.partitionBy("lang_no").orderBy("source")) - 1), "numbered-groups")
 
     path = fresh_path(spark, "terms")
-    cut = base.join(sent_if_small(groups), ["lang", "source"]).select("lang_no", "group_no", terms_of(F.col("body")).alias("terms"))
-    cut.where(F.size("terms") > 0).write.partitionBy("lang_no").option("compression", "lz4").parquet(path)
-    tokens = spark.read.schema("lang_no int, group_no int, terms array<string>").parquet(path)
+    placed = base.join(sent_if_small(groups), ["lang", "source"]).select("lang_no", "group_no", "body")
+    kind = "lang_no int, group_no int, terms array<string>, probe array<long>"
+    # every document stays, with or without terms
+    placed.mapInArrow(_cutter, kind).write.partitionBy("lang_no").option("compression", "lz4").parquet(path)
+    tokens = spark.read.schema(kind).parquet(path)
     counts = stored(term_counts(tokens, langs, least_docs, slice_terms), "all-term-counts")
 
     own = counts.groupBy("lang_no", "group_no").agg(F.sum("count").alias("n_terms"))

@@ -34,6 +34,7 @@ ARCHIVE_RECORDS = 500_000  # or when there are so many
 LEAST_PAYLOAD = 100  # shorter payloads are always written
 WINDOW = 8 << 20  # bytes of one read; a longer record is read at once
 HOT = 100_000  # records of one payload that a join brings together at most
+SENT = 200_000  # payloads with copies that are broadcast, 56 bytes each
 DATE = "1970-01-01T00:00:00Z"
 PREFIX = "urn:record:"
 
@@ -315,7 +316,7 @@ def _with_first(rows: DataFrame) -> DataFrame:
     size = copies.agg(F.count(F.lit(1)).alias("rows"), F.max("n").alias("most")).first()
     # short payloads have keys that no group has, each its own
     key = F.when(F.octet_length("payload") >= LEAST_PAYLOAD, F.unhex("digest")).otherwise(F.xxhash64("own", "url").cast("string").cast("binary"))
-    if size["rows"] <= 200_000:  # 56 bytes each
+    if size["rows"] <= SENT:
         joined = rows.withColumn("key_", key).join(F.broadcast(copies), F.col("key_") == F.col("key"), "left")
     else:
         # a payload of many pages is dealt over as many parts as it needs; rows without a copy by their own digest

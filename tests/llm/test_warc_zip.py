@@ -1,0 +1,179 @@
+import gzip
+import hashlib
+import io
+import json
+import struct
+import zipfile
+
+import pytest
+from pyspark.sql import functions as F
+
+from spanveil.llm import warc_zip
+from spanveil.llm.warc_zip import Ranges, data_start, members, page_report, parse_record, places, read_records, write_archives
+from spanveil.plans.tables import fresh_path
+from tests.llm.helpers import bare, prose
+
+SCHEMA = "page_id long, url string, html string, first string, id string, payload long, digest long"
+
+
+class Held:
+    """A file in memory; parts of it may be declared instead of being there."""
+
+    def __init__(self, data: bytes, at: int = 0):
+        self.data, self.at, self.size = data, at, at + len(data)
+
+    def read(self, start: int, length: int) -> bytes:
+        assert start >= self.at and start + length <= self.size
+        return self.data[start - self.at : start - self.at + length]
+
+
+def expected(rows):
+    pages = [(i, (h or "").encode()) for i, _, h in rows]
+    least = {}
+    for i, h in pages:
+        if i is not None and len(h) >= 100:
+            least[h] = min(least.get(h, i), i)
+    out = []
+    for i, h in pages:
+        first = least.get(h)
+        again = first is not None and (i is None or i > first)
+        text = lambda x: None if x is None else str(x)
+        out.append((text(i), len(h), hashlib.sha256(h).hexdigest(), "revisit" if again else "response", text(first) if again else None))
+    return out
+
+
+def pages():
+    long, other = prose(1, 60), "é" * 50  # 100 bytes
+    rows = [
+        (5, "http://a.example/x y?q=ü#z", long), (3, None, long), (9, "http://b.example/", long), (9, "http://c.example/", long),
+        (1, "u", None), (2, "u", ""), (4, "", "short"), (6, "u", "short"), (7, "u", other), (8, "u", other), (10, "u", other[:49]),
+        (11, "u", other[:49]), (None, "n", long), (None, "n", None), (12, "\r\nWARC-Type: x", "\r\n\r\nWARC/1.1\r\n" * 20), (13, "u", prose(5, 400_000)),
+        (3, None, long), (14, "u", "\x00" * 200), (-15, "u", "\x00" * 200),
+    ]
+    rows += [(None, "m", "only without ids " * 9), (None, "k", "only without ids " * 9)]
+    rows += [(100 + k, f"http://hot.example/{k}", prose(2, 50)) for k in range(300)]
+    return rows
+
+
+def frame(spark, rows):
+    return spark.createDataFrame([r + ("clash", "id", 1, 2) for r in rows], SCHEMA).repartition(5)
+
+
+@pytest.mark.parametrize("most", [warc_zip.ARCHIVE_BYTES, 2000])
+def test_records_come_back(spark, most):
+    packages = write_archives(frame(spark, pages()), fresh_path(spark, "warc"), most_bytes=most)
+    assert (packages.count() > 20) == (most == 2000)
+    assert packages.agg(F.sum("n_records")).first()[0] == len(pages())
+    assert bare(page_report(packages).collect()) == bare(expected(pages()))
+
+
+def test_joined_where_copies_are_many(spark, monkeypatch):
+    """The plan for more payloads than may be broadcast, and for a payload of many pages."""
+    monkeypatch.setattr(warc_zip, "SENT", -1)
+    monkeypatch.setattr(warc_zip, "HOT", 7)
+    packages = write_archives(frame(spark, pages()), fresh_path(spark, "warc"))
+    assert bare(page_report(packages).collect()) == bare(expected(pages()))
+
+
+def test_payloads_and_urls(spark):
+    rows = read_records(write_archives(frame(spark, pages()), fresh_path(spark, "warc")), payloads=True).collect()
+    texts = {r["id"]: r["payload"] for r in rows if r["record_type"] == "response"}
+    assert texts["13"].decode() == prose(5, 400_000) and texts["12"] == b"\r\n\r\nWARC/1.1\r\n" * 20
+    urls = {r["id"]: r["url"] for r in rows}
+    assert urls["5"] == "http://a.example/x%20y?q=%C3%BC#z" and urls["3"] is None and urls["12"] == "%0D%0AWARC-Type:%20x"
+
+
+def test_no_pages(spark):
+    packages = write_archives(frame(spark, []), fresh_path(spark, "warc"))
+    assert packages.count() == 0 and page_report(packages).count() == 0
+
+
+def test_package_is_a_plain_zip(spark):
+    packages = write_archives(frame(spark, pages()).coalesce(1), fresh_path(spark, "warc")).collect()
+    system, at = warc_zip.file_at(packages[0]["path"])
+    with zipfile.ZipFile(io.BytesIO(system.open_input_file(at).read())) as z:
+        assert z.namelist() == ["archive/data.warc.gz", "indexes/index.cdxj", "datapackage.json"] and z.testzip() is None
+        assert all(x.compress_type == zipfile.ZIP_STORED for x in z.infolist())
+        lines = z.read("indexes/index.cdxj").decode().splitlines()
+        data = z.read("archive/data.warc.gz")
+        for r in json.loads(z.read("datapackage.json"))["resources"]:
+            assert r["hash"] == "sha256:" + hashlib.sha256(z.read(r["path"])).hexdigest() and r["bytes"] == len(z.read(r["path"]))
+    assert lines == sorted(lines) and len(lines) == len(pages())
+    for line in lines:
+        e = json.loads(line[line.index("{") :])
+        headers, _ = parse_record(gzip.decompress(data[e["offset"] : e["offset"] + e["length"]]))
+        assert headers["warc-type"] == e["type"] and headers["warc-payload-digest"] == e["digest"]
+    assert gzip.decompress(data).count(b"WARC/1.1\r\nWARC-Type") == len(pages()) + 1
+
+
+def package(n: int = 3, comment: bytes = b"", **kind) -> bytes:
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        for k in range(n):
+            z.writestr(f"archive/é{k}.bin", b"%d" % k * 3, **kind)
+        z.comment = comment
+    return out.getvalue()
+
+
+@pytest.mark.parametrize("data", [package(), package(comment=b"PK\x05\x06 in a comment" * 3), b"#!/bin/sh\n" * 7 + package(), package(70_000), b"xx" + package(70_000, b"c")])
+def test_directories(data):
+    f = Held(data)
+    # the library itself takes the record in the comment for the end of the directory
+    with zipfile.ZipFile(io.BytesIO(data if b"in a comment" not in data else package())) as z:
+        want = [(i.filename, z.read(i)) for i in z.infolist()[:50]]
+        found = list(members(f, piece=100 if len(data) < 9999 else 1 << 20))
+        assert len(found) == len(z.infolist())
+    assert [(m["name"], f.read(data_start(f, m), m["bytes"])) for m in found[:50]] == want and all(m["stored"] for m in found)
+
+
+def test_sizes_beyond_32_bits():
+    """A package of 10 GB of which only the end is there."""
+    base, size, header = 10 << 30, 6 << 30, (9 << 30) + 5
+    name = b"archive/data.warc.gz"
+    wide = struct.pack("<HHQQQ", 1, 24, size, size, header)
+    other = struct.pack("<HH3s", 9, 3, b"xyz")
+    entry = b"PK\x01\x02" + struct.pack("<HHHHHHIIIHHHHHII", 45, 45, 0, 0, 0, 0, 0, 0xFFFFFFFF, 0xFFFFFFFF, len(name), len(wide + other), 0, 0, 0, 0, 0xFFFFFFFF)
+    directory = entry + name + other + wide
+    record = b"PK\x06\x06" + struct.pack("<QHHIIQQQQ", 44, 45, 45, 0, 0, 1, 1, len(directory), base)
+    locator = b"PK\x06\x07" + struct.pack("<IQI", 0, base + len(directory), 1)
+    end = b"PK\x05\x06" + struct.pack("<HHHHIIH", 0xFFFF, 0xFFFF, 0xFFFF, 0xFFFF, 0xFFFFFFFF, 0xFFFFFFFF, 0)
+    f = Held(b"\0" * 70_000 + directory + record + locator + end, base - 70_000)
+    assert list(members(f)) == [{"name": name.decode(), "stored": True, "bytes": size, "header": header}]
+
+
+def test_damaged_packages():
+    whole = package()
+    for bad in (b"", whole[:-30], whole[:-1], whole.replace(b"PK\x01\x02", b"PK\x01\x03", 1)):
+        with pytest.raises(ValueError):
+            list(members(Held(bad)))
+    with pytest.raises(ValueError, match="no index"):
+        list(places(Held(whole)))
+    with pytest.raises(ValueError, match="not stored"):
+        list(places(Held(package(compress_type=zipfile.ZIP_DEFLATED))))
+
+
+def test_gzipped_index():
+    out = io.BytesIO()
+    lines = [json.dumps({"filename": "d.warc.gz", "offset": k * 7, "length": 7}) for k in range(1000)]
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("indexes/i.cdx.gz", b"".join(gzip.compress((x + "\n").encode()) for x in lines))
+        z.writestr("archive/d.warc.gz", b"0123456" * 1000)
+    f = Held(out.getvalue())
+    assert [f.read(*p) for p in places(f)] == [b"0123456"] * 1000
+
+
+def test_damaged_payload_is_noticed(spark):
+    packages = write_archives(frame(spark, [(1, "u", prose(3, 50))]).coalesce(1), fresh_path(spark, "warc"))
+    path = packages.first()["path"]
+    system, at = warc_zip.file_at(path)
+    f = Ranges(path)
+    start, length = next(places(f))
+    data = gzip.decompress(f.read(start, length))
+    assert len(parse_record(data)[1]) > 100
+    whole = bytearray(f.read(0, f.size))
+    f.close()
+    whole[start + length // 2] ^= 1
+    with system.open_output_stream(at) as out:
+        out.write(bytes(whole))
+    with pytest.raises(Exception):
+        read_records(packages).collect()
