@@ -62,8 +62,8 @@ def _hashes(mapped: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
     return h ^ (h >> np.uint64(29))
 
 
-def cut(texts: pa.StringArray) -> tuple[pa.ListArray, pa.ListArray]:
-    """The terms of each text, and the hashes that are kept of them.
+def cut(texts: pa.StringArray) -> tuple[pa.StringArray, pa.ListArray]:
+    """The terms of each text with a space between them, and the hashes that are kept of them.
 
     A term is a run of letters, A to Z in lower case, and of any characters
     beyond ASCII. In UTF-8 these are whole runs of bytes, so terms are cut
@@ -72,8 +72,8 @@ def cut(texts: pa.StringArray) -> tuple[pa.ListArray, pa.ListArray]:
     offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
     data = texts.buffers()[2]
     data = np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8)
-    parts, sizes, places, probes, probe_places = [], [], [], [], []
-    at, stop = int(offsets[0]), int(offsets[-1])
+    parts, lengths, probes, probe_places = [], np.zeros(len(texts), np.int64), [], []
+    at, stop, last_text = int(offsets[0]), int(offsets[-1]), -1
     while at < stop:
         to = min(stop, at + WINDOW)
         # a window ends at a text's end or where no term goes on, however long that one is
@@ -91,24 +91,32 @@ def cut(texts: pa.StringArray) -> tuple[pa.ListArray, pa.ListArray]:
         last = inside.copy()
         last[:-1] &= ~inside[1:] | first[1:]
         ends = np.flatnonzero(last) + 1
-        parts.append(mapped[inside])
-        sizes.append(ends - starts)
-        places.append(starts + at)
+        # a space stands where a term of the same text is followed by another
+        text = np.searchsorted(offsets, starts + at, "right") - 1
+        more = np.r_[text[1:] == text[:-1], False] if len(text) else np.zeros(0, bool)
+        kept = np.zeros(len(mapped) + 1, bool)
+        kept[:-1] = inside
+        kept[ends[more]] = True
+        out = np.append(mapped, np.uint8(0))
+        out[ends[more]] = ord(" ")
+        lengths += np.bincount(text, ends - starts + more, len(texts)).astype(np.int64)
+        if parts and len(text) and text[0] == last_text:
+            parts.append(np.array([ord(" ")], np.uint8))
+            lengths[last_text] += 1
+        parts.append(out[kept])
+        last_text = text[-1] if len(text) else last_text
         if len(starts):
             h = _hashes(mapped, starts, ends)
-            kept = h <= np.uint64((1 << (64 - PROBE)) - 1)
-            probes.append(h[kept].view(np.int64))
-            probe_places.append(starts[kept] + at)
+            few = h <= np.uint64((1 << (64 - PROBE)) - 1)
+            probes.append(h[few].view(np.int64))
+            probe_places.append(starts[few] + at)
         at = to
-    none = np.zeros(0, np.int64)
-    join = lambda x: np.concatenate(x) if x else none
-    sizes, places, probe_places = join(sizes), join(places), join(probe_places)
+    ends = np.r_[0, np.cumsum(lengths)].astype(np.int32)
     values = np.concatenate(parts) if parts else np.zeros(0, np.uint8)
-    ends = np.r_[0, np.cumsum(sizes)].astype(np.int32)
-    words = pa.StringArray.from_buffers(len(sizes), pa.py_buffer(ends), pa.py_buffer(values))
-    lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(places, offsets).astype(np.int32)), words)
-    spots = pa.array(np.searchsorted(probe_places, offsets).astype(np.int32))
-    return lists, pa.ListArray.from_arrays(spots, pa.array(join(probes), pa.int64()))
+    none = np.zeros(0, np.int64)
+    spots = np.searchsorted(np.concatenate([none, *probe_places]), offsets).astype(np.int32)
+    hashes = pa.ListArray.from_arrays(pa.array(spots), pa.array(np.concatenate([none, *probes]), pa.int64()))
+    return pa.StringArray.from_buffers(len(texts), pa.py_buffer(ends), pa.py_buffer(values)), hashes
 
 
 def _cutter(batches):
@@ -123,7 +131,6 @@ def _cutter(batches):
 
 def _group_sums(batches):
     """Sparse vectors added up by source: rows (group, index, count)."""
-    held: dict[int, np.ndarray] = {}
     keys, sums, size = [], [], 0
 
     def passed():
@@ -244,7 +251,7 @@ def _counted(rows: DataFrame, lang_no: int, least_docs: int) -> DataFrame | None
 
 
 def term_counts(tokens: DataFrame, langs: DataFrame, least_docs: int = LEAST_DOCS, slice_terms: int = SLICE_TERMS) -> DataFrame:
-    """Occurrences of each kept term in each group, of a stored table ``lang_no, group_no, terms, probe``.
+    """Occurrences of each kept term in each group, of a stored table ``lang_no, group_no, terms, probe`` made by :func:`cut`.
 
     One CountVectorizer for each language with enough documents; where a
     language has more distinct terms than ``slice_terms``, they are dealt by
@@ -258,7 +265,8 @@ def term_counts(tokens: DataFrame, langs: DataFrame, least_docs: int = LEAST_DOC
     sizes = {r["lang_no"]: max(1, r["n"] << PROBE) for r in each.toLocalIterator()}
     out = spark.createDataFrame([], "lang_no int, group_no int, term string, count long")
     for lang_no in wanted:
-        mine = tokens.where(F.col("lang_no") == lang_no).select("group_no", "terms")
+        listed = F.when(F.col("terms") == "", F.array().cast("array<string>")).otherwise(F.split("terms", " "))
+        mine = tokens.where(F.col("lang_no") == lang_no).select("group_no", listed.alias("terms"))
         slices = -(-sizes.get(lang_no, 1) // slice_terms)
         parts = [mine] if slices == 1 else [_sliced(mine, slices)]
         if slices > 1:
@@ -301,7 +309,7 @@ def source_divergence(
 
     path = fresh_path(spark, "terms")
     placed = base.join(sent_if_small(groups), ["lang", "source"]).select("lang_no", "group_no", "body")
-    kind = "lang_no int, group_no int, terms array<string>, probe array<long>"
+    kind = "lang_no int, group_no int, terms string, probe array<long>"
     # every document stays, with or without terms
     placed.mapInArrow(_cutter, kind).write.partitionBy("lang_no").option("compression", "lz4").parquet(path)
     tokens = spark.read.schema(kind).parquet(path)
