@@ -11,8 +11,9 @@ import os
 import sys
 import uuid
 from collections.abc import Callable
+from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -24,11 +25,13 @@ from spanveil import (  # noqa: E402
     Hash,
     Mask,
     Pattern,
+    PhraseTable,
     Pseudonym,
     Redact,
     Replace,
     analyze,
     analyze_and_anonymize,
+    analyze_long,
     analyze_options,
     anonymize,
     attach_spans,
@@ -37,12 +40,14 @@ from spanveil import (  # noqa: E402
     deny_list_recognizer,
     engine_options,
     gazetteer_spans,
+    observe_decisions,
     recognizers_for,
     regex_recognizer,
+    reseal,
     span_rows,
 )
 from spanveil.functions.spans import merge_overlaps, surfaces  # noqa: E402
-from spanveil.operators import corpus  # noqa: E402
+from spanveil.operators import corpus, identity  # noqa: E402
 from spanveil.operators.analyze import filter_entities, filter_scores  # noqa: E402
 from spanveil.operators.recognizers import create_patterns, deny_list_recognizers  # noqa: E402
 from spanveil.plans.tables import shared_folder, stored  # noqa: E402
@@ -388,13 +393,14 @@ def decision_audit(s, sf):
     return log.select("correlation_id", "doc_id", "recognizer", "pattern", "start", "base_score", "final_score", "kept")
 
 
-@query(
-    """WITH s AS (SELECT l_orderkey, cast(l_partkey % 97 AS int) AS b, cast(l_partkey % 97 + l_quantity AS int) AS e,
+ISLANDS_SQL = """WITH s AS (SELECT l_orderkey, cast(l_partkey % 97 AS int) AS b, cast(l_partkey % 97 + l_quantity AS int) AS e,
       'T' || (l_suppkey % 5) AS t, l_discount AS sc FROM lineitem),
     x AS (SELECT *, max(e) OVER (PARTITION BY l_orderkey ORDER BY b, e, sc, t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM s),
     g AS (SELECT *, sum(CASE WHEN p IS NULL OR b >= p THEN 1 ELSE 0 END) OVER (PARTITION BY l_orderkey ORDER BY b, e, sc, t ROWS UNBOUNDED PRECEDING) AS grp FROM x)
     SELECT l_orderkey, min(b) AS start, max(e) AS "end", max_by(t, row(sc, e - b, t)) AS entity_type FROM g GROUP BY l_orderkey, grp"""
-)
+
+
+@query(ISLANDS_SQL)
 def merge_overlapping_spans(s, sf):
     start = (F.col("l_partkey") % 97).cast("int")
     span = F.struct(
@@ -550,8 +556,8 @@ def found(s: SparkSession, sf: str, *more: str) -> DataFrame:
 @query(
     f"""WITH {MAIN_SQL}, x AS (SELECT s.*, d.lang FROM spans s JOIN documents d USING (doc_id)),
     y AS (SELECT doc_id, lang, entity_type, score FROM x UNION ALL SELECT doc_id, lang, 'ALL', score FROM x)
-    SELECT entity_type, lang, count(*) AS spans, count(DISTINCT doc_id) AS documents, round(avg(score), 6) AS mean_score
-    FROM y GROUP BY GROUPING SETS ((entity_type, lang), (entity_type))"""
+    SELECT entity_type, lang, cast(grouping(lang) AS int) AS level, count(*) AS spans, count(DISTINCT doc_id) AS documents,
+      round(avg(score), 6) AS mean_score FROM y GROUP BY GROUPING SETS ((entity_type, lang), (entity_type))"""
 )
 def entity_summary(s, sf):
     return corpus.entity_summary(found(s, sf, "lang"), "lang")
@@ -759,6 +765,262 @@ def external_spans_with_nulls(s, sf):
     return anonymize(docs(s, sf).withColumn("spans", F.expr(spans)), id_col="doc_id").select("doc_id", "anonymized_text", "status")
 
 
+# Two words with a comma between them, the first such of each document, as a dictionary.
+COMMA = "[A-Za-z]+, [a-z]+"
+PHRASES_SQL = f"""{sql_matches('w', WORDS)},
+    n AS (SELECT doc_id, whole, value, start, lead(value) OVER o AS next, lead(start) OVER o AS spot,
+      list(lower(value)) OVER (PARTITION BY doc_id ORDER BY start ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS before
+      FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY start)),
+    g AS (SELECT DISTINCT regexp_extract(text, '{COMMA}', 0) AS phrase FROM documents WHERE regexp_matches(text, '{COMMA}')),
+    h AS (SELECT n.*, substr(whole, start + 1, spot + length(next) - start) AS value_text FROM n JOIN g
+      ON phrase = value || regexp_replace(substr(whole, start + length(value) + 1, spot - start - length(value)), '\\s+', ' ', 'g') || next)"""
+
+
+def comma_phrases(s: SparkSession, sf: str) -> DataFrame:
+    phrase = F.regexp_extract("text", COMMA, 0)
+    return docs(s, sf).select(phrase.alias("phrase"), F.lit("PAIR").alias("entity_type")).where("phrase <> ''")
+
+
+@query(f"""WITH {PHRASES_SQL} SELECT doc_id, 'PAIR' AS entity_type, start, cast(spot + length(next) AS int) AS "end" FROM h""")
+def gazetteer_punctuation(s, sf):
+    """Phrases with punctuation inside, of a dictionary made of the documents."""
+    return gazetteer_spans(docs(s, sf), comma_phrases(s, sf), "doc_id").drop("score")
+
+
+_PHRASES_FOUND = f"""WITH {PHRASES_SQL}, {sql_matches('em', EMAIL)}, {sql_matches('cc', CARD)}
+    SELECT doc_id, 'PAIR' AS entity_type, start, cast(spot + length(next) AS int) AS "end", 0.85::double AS score, value_text AS text
+    FROM h WHERE list_has_any(before, ['the', 'und', 'que'])
+    UNION ALL {sql_span('em', 'EMAIL_ADDRESS', '1.0')}"""
+
+
+def _with_phrases(s: SparkSession, sf: str, **more) -> DataFrame:
+    phrases = PhraseTable(comma_phrases(s, sf), score=0.5, context=("the", "und", "que"), **more)
+    engine = EngineOptions(tuple(recognizers_for("EMAIL_ADDRESS", "CREDIT_CARD")), phrase_tables=(phrases,))
+    options = analyze_options(entities="pair,email_address", score_threshold=0.6)
+    return flat(analyze(docs(s, sf), options, engine, with_text=True, id_col="doc_id"))
+
+
+@query(_PHRASES_FOUND)
+def analyze_with_phrase_table(s, sf):
+    """A dictionary table as a recognizer, with context words, threshold and entity filter."""
+    return _with_phrases(s, sf)
+
+
+@query(_PHRASES_FOUND)
+def analyze_with_large_phrase_table(s, sf):
+    """The same by the way of a table that is too large to be sent."""
+    return _with_phrases(s, sf, broadcast_bytes=0)
+
+
+@query(
+    f"""WITH {sql_matches('w', WORDS)}, g AS (SELECT value AS term FROM w GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 10000)
+    SELECT doc_id, 'TERM' AS entity_type, count(*) AS hits, cast(sum(start) AS bigint) AS starts, 1.0::double AS score
+    FROM w JOIN g ON term = value GROUP BY 1"""
+)
+def deny_list_of_10000(s, sf):
+    """The ten thousand most frequent words of the documents as one deny list."""
+    words = docs(s, sf).select(F.explode(F.regexp_extract_all("text", F.lit(WORDS), F.lit(0))).alias("term"))
+    terms = words.groupBy("term").count().orderBy(F.desc("count"), "term").limit(10_000)
+    engine = EngineOptions((), deny_list=(deny_list_recognizer("TERM", [r["term"] for r in terms.collect()]),))
+    spans = span_rows(analyze(docs(s, sf), engine=engine), "doc_id")
+    return spans.groupBy("doc_id", "entity_type").agg(
+        F.count(F.lit(1)).alias("hits"), F.sum("start").alias("starts"), F.max("score").alias("score")
+    )
+
+
+LONG = "long_texts AS (SELECT source, string_agg(text, chr(10) ORDER BY doc_id) AS text FROM documents GROUP BY 1)"
+LONG_CTES = ", ".join(
+    sql_matches(n, r, "long_texts", "source") for n, r in (("em", EMAIL), ("ip", IPV4), ("ph", PHONE), ("cc", CARD))
+)
+LONG_SPANS = " UNION ALL ".join(
+    sql_span(n, e, x, w, "source")
+    for n, e, x, w in (
+        ("em", "EMAIL_ADDRESS", "1.0", "true"), ("ip", "IP_ADDRESS", "0.6", OCTETS), ("ph", "PHONE_NUMBER", PHONE_SCORE, "true"),
+        ("cc", "CREDIT_CARD", "1.0", LUHN),
+    )
+)
+
+
+@query(f"WITH {LONG}, {LONG_CTES} {LONG_SPANS}")
+def analyze_long_texts(s, sf):
+    """All documents of a source as one text, detected in parallel by chunks."""
+    parts = table(s, sf, "documents").select("source", "doc_id", "text")
+    listed = F.array_sort(F.collect_list(F.struct("doc_id", "text")))
+    joined = parts.groupBy("source").agg(F.array_join(F.transform(listed, lambda x: x["text"]), "\n").alias("text"))
+    found = analyze_long(stored(joined, "long-texts"), "source", engine=only(*MAIN), with_text=True, chunk=1 << 15, halo=1 << 11)
+    return flat(found, "source")
+
+
+@query(
+    f"""WITH {sql_matches('cc', CARD)}, {sql_matches('ph', PHONE)}, {sql_matches('em', EMAIL)}
+    SELECT doc_id, 'card number' AS recognizer, start, {LUHN} AS kept, CASE WHEN NOT {LUHN} THEN 'check' END AS reason FROM cc
+    UNION ALL SELECT doc_id, 'phone', start, {PHONE_SCORE} >= 0.5, CASE WHEN {PHONE_SCORE} < 0.5 THEN 'score' END FROM ph
+    UNION ALL SELECT doc_id, 'e-mail', start, false, 'entity_type' FROM em"""
+)
+def decision_reasons(s, sf):
+    """Rejected candidates and why: from the column that the option adds to one pass of ``analyze``."""
+    phones = recognizers_for("PHONE_NUMBER")[0]
+    engine = engine_options(EngineOptions((*recognizers_for("CREDIT_CARD", "EMAIL_ADDRESS"), phones)), log_decision_process="true")
+    options = analyze_options(score_threshold=0.5, entities="credit_card,phone_number")
+    return decision_log(analyze(docs(s, sf), options, engine), "doc_id").select("doc_id", "recognizer", "start", "kept", "reason")
+
+
+@query(
+    f"""WITH {sql_matches('cc', CARD)}, {sql_matches('em', EMAIL)}
+    SELECT CASE WHEN {LUHN} THEN 'kept' ELSE 'check' END AS outcome, count(*) AS n FROM cc GROUP BY 1
+    UNION ALL SELECT 'kept in e-mails', count(*) FROM em"""
+)
+def decision_counters(s, sf):
+    """Counters that an Observation collects while the documents are written, against none of a second pass."""
+    def counts(entity: str) -> dict:
+        watched = Observation(f"decisions-{entity}")
+        traced = analyze(docs(s, sf), engine=replace(only(entity), log_decision_process=True))
+        stored(observe_decisions(traced, watched).select("doc_id", "spans"), "observed")
+        return watched.get
+
+    cards, mails = counts("CREDIT_CARD"), counts("EMAIL_ADDRESS")
+    rows = [("kept", cards["kept"]), ("check", cards["check"]), ("kept in e-mails", mails["kept"])]
+    return s.createDataFrame([r for r in rows if r[1]], "outcome string, n long")
+
+
+@query(
+    f"""WITH {sql_matches('em', EMAIL)}, {sql_matches('ip', IPV4)}, {sql_matches('ph', PHONE)}
+    SELECT doc_id, 'PSEUDONYM' AS how, '<EMAIL_ADDRESS_' || substr(sha256('pepper' || value), 1, 32) || '>' AS text FROM em
+    UNION ALL SELECT doc_id, 'OPENED', value FROM ip WHERE {OCTETS}
+    UNION ALL SELECT doc_id, 'OPENED', value FROM ph"""
+)
+def config_file_roundtrip(s, sf):
+    """Operators written to a file and read back keep mode, form of key, key id and salt."""
+    path, keys = _fresh(s, "config"), _fresh(s, "keys")
+    phone_key = "Y" * 32
+    config = {
+        "EMAIL_ADDRESS": Pseudonym("pepper"), "IP_ADDRESS": Encrypt("c2l4dGVlbiBieXRlcyAhIQ==", "GCM", True),
+        "PHONE_NUMBER": Encrypt(phone_key, "CBC", key_id="p-1"),
+    }
+    configs.write_operator_config(s, config, path)
+    configs.write_operator_config(s, {"IP_ADDRESS": config["IP_ADDRESS"]}, keys, decrypt=True)
+    engine = only("EMAIL_ADDRESS", "IP_ADDRESS", "PHONE_NUMBER")
+    done = stored(analyze_and_anonymize(docs(s, sf), "doc_id", configs.read_operator_config(s, path), engine=engine))
+    names = span_rows(done, "doc_id", spans_col="items").where("entity_type = 'EMAIL_ADDRESS'")
+    opened = deanonymize(done, configs.read_operator_config(s, keys), key_table={"p-1": phone_key})
+    values = span_rows(opened, "doc_id", spans_col="restored_items")
+    return names.select("doc_id", F.lit("PSEUDONYM").alias("how"), "text").union(values.select("doc_id", F.lit("OPENED"), "text"))
+
+
+def _sealed_by_two_keys(s: SparkSession, sf: str) -> DataFrame:
+    """Even documents under one key and GCM, odd ones under another and CBC."""
+    found_ = analyze(docs(s, sf), engine=only(*MAIN))
+    parts = [
+        anonymize(found_.where(F.col("doc_id") % 2 == k), {"DEFAULT": op, "PHONE_NUMBER": Redact()}, id_col="doc_id")
+        for k, op in enumerate((Encrypt(KEY, "GCM", key_id="a"), Encrypt(KEY[::-1] * 2, "CBC", key_id="b")))
+    ]
+    return parts[0].unionByName(parts[1])
+
+
+RESTORED_SQL = f"SELECT doc_id, regexp_replace(text, '{PHONE}', '', 'g') AS restored_text, 'ok' AS status FROM documents"
+
+
+@query(RESTORED_SQL)
+def deanonymize_mixed_modes(s, sf):
+    """One call opens values of two keys and two modes; the texts tell which."""
+    opened = deanonymize(_sealed_by_two_keys(s, sf), key_table={"a": KEY, "b": KEY[::-1] * 2})
+    return opened.select("doc_id", "restored_text", "status")
+
+
+@query(RESTORED_SQL)
+def rotate_keys(s, sf):
+    """Sealed anew under a third key, after which that key alone restores everything."""
+    new = Encrypt("third key, 24 bytes long", "GCM", key_id="c")
+    old = s.createDataFrame([("a", KEY), ("b", KEY[::-1] * 2), ("unused", KEY)], "key_id string, key string")
+    moved = stored(reseal(_sealed_by_two_keys(s, sf).drop("status"), new, old, id_col="doc_id"), "resealed")
+    return deanonymize(moved, key_table={"c": new.key}).select("doc_id", "restored_text", "status")
+
+
+DIMS_SQL = f"""WITH {MAIN_SQL}, x AS (SELECT s.*, nullif(d.lang, 'es') AS lang, d.source FROM spans s JOIN documents d USING (doc_id)),
+    y AS (SELECT doc_id, lang, source, entity_type, score, text FROM x UNION ALL SELECT doc_id, lang, source, 'ALL', score, text FROM x)"""
+
+
+def found_by_dims(s: SparkSession, sf: str) -> DataFrame:
+    """Documents with their spans, one language made NULL."""
+    return found(s, sf, "lang", "source").withColumn("lang", F.expr("nullif(lang, 'es')"))
+
+
+@query(
+    f"""{DIMS_SQL} SELECT entity_type, lang, source, cast(2 * grouping(lang) + grouping(source) AS int) AS level, count(*) AS spans,
+    count(DISTINCT doc_id) AS documents, round(avg(score), 6) AS mean_score
+    FROM y GROUP BY GROUPING SETS ((entity_type, lang, source), (entity_type, lang), (entity_type, source), (entity_type))"""
+)
+def entity_cube(s, sf):
+    """Two dimensions, one with NULLs; the level tells them from totals."""
+    return corpus.entity_summary(found_by_dims(s, sf), ["lang", "source"])
+
+
+@query(
+    f"""{DIMS_SQL} SELECT entity_type, lang, count(*) AS spans, true AS documents_close, true AS values_close FROM y
+    WHERE entity_type <> 'ALL' GROUP BY 1, 2"""
+)
+def entity_sketches(s, sf):
+    """Sketches by language and source, stored, merged over sources, and held against exact counts."""
+    docs_ = stored(found_by_dims(s, sf).select("doc_id", "lang", "source", "spans"), "spans")
+    fine = stored(corpus.entity_sketches(docs_, "doc_id", ["lang", "source"]), "sketches")
+    near = corpus.read_sketches(corpus.merge_sketches(fine, "lang"))
+    rows = span_rows(docs_, "doc_id", "lang").groupBy("entity_type", F.col("lang").alias("lang_")).agg(
+        F.count_distinct("doc_id").alias("exact_documents"), F.count_distinct(corpus.default_normal(F.col("text"))).alias("exact_values")
+    ).withColumnRenamed("entity_type", "type_")
+    both = near.join(rows, (F.col("entity_type") == F.col("type_")) & F.col("lang").eqNullSafe(F.col("lang_")))
+    close = lambda c: (F.abs(F.col(c) - F.col(f"exact_{c}")) <= 1 + 0.06 * F.col(f"exact_{c}")).alias(f"{c}_close")
+    return both.select("entity_type", "lang", "spans", close("documents"), close("values"))
+
+
+GROUPS_SQL = f"""WITH RECURSIVE {VALUES_SQL}, hubs AS (SELECT entity_type, value_hash, min(doc_id) AS hub FROM v GROUP BY 1, 2),
+    one AS (SELECT DISTINCT hub, doc_id FROM v JOIN hubs USING (entity_type, value_hash)),
+    e AS (SELECT hub AS a, doc_id AS b FROM one UNION SELECT doc_id, hub FROM one),
+    r AS (SELECT DISTINCT doc_id AS id, doc_id AS g FROM v UNION SELECT e.b, r.g FROM r JOIN e ON r.id = e.a),
+    c AS (SELECT id AS doc_id, min(g) AS group_id FROM r GROUP BY 1)"""
+
+
+@query(f"{GROUPS_SQL} SELECT doc_id, group_id, count(*) OVER (PARTITION BY group_id) AS documents FROM c")
+def identity_groups(s, sf):
+    """Documents that a chain of shared values connects."""
+    return identity.identity_groups(stored(corpus.doc_values(found(s, sf), "doc_id")), "doc_id")
+
+
+@query(
+    f"""{GROUPS_SQL}, p AS (SELECT entity_type, value_hash, min(doc_id) AS doc_id, count(*) AS n FROM v GROUP BY 1, 2)
+    SELECT group_id, entity_type, count(*) AS values, cast(sum(n) AS bigint) AS occurrences FROM p JOIN c USING (doc_id) GROUP BY 1, 2"""
+)
+def identity_values(s, sf):
+    values = stored(corpus.doc_values(found(s, sf), "doc_id"))
+    return identity.value_groups(values, identity.identity_groups(values, "doc_id"), "doc_id")
+
+
+@query(ISLANDS_SQL)
+def span_islands_long(s, sf):
+    """Overlapping spans of a long table merged, by pieces of a document."""
+    rows = table(s, sf, "lineitem").select(
+        "l_orderkey", (F.col("l_partkey") % 97).cast("int").alias("start"), (F.col("l_partkey") % 97 + F.col("l_quantity")).cast("int").alias("end"),
+        F.concat(F.lit("T"), (F.col("l_suppkey") % 5).cast("string")).alias("entity_type"), F.col("l_discount").alias("score"),
+    )
+    return identity.span_islands(rows, "l_orderkey", reach=32).drop("score")
+
+
+_EDGE = r"[^\p{L}\p{N}_]"
+
+
+@query(
+    f"""WITH {MAIN_SQL}, o AS (SELECT doc_id, regexp_replace(text, '{EMAIL}', '<EMAIL_ADDRESS>', 'g') AS t FROM documents),
+    w AS (SELECT DISTINCT entity_type, text, CASE WHEN regexp_matches(text, '^{_EDGE}') THEN '' ELSE '(?:^|{_EDGE})' END || regexp_escape(text)
+      || CASE WHEN regexp_matches(text, '{_EDGE}$') THEN '' ELSE '(?:$|{_EDGE})' END AS re FROM spans)
+    SELECT doc_id, entity_type, w.text FROM o JOIN w ON contains(t, w.text) AND regexp_matches(t, re)"""
+)
+def leaks_across_documents(s, sf):
+    """Only e-mails are rewritten: other values stay readable, in whatever document they stand."""
+    both = found(s, sf).withColumnRenamed("spans", "all_spans")
+    some = both.withColumn("spans", F.filter("all_spans", lambda x: x["entity_type"] == "EMAIL_ADDRESS"))
+    done = stored(anonymize(some, id_col="doc_id").select("doc_id", "anonymized_text", "all_spans"), "some")
+    return corpus.leaks_across(done, "doc_id", spans_col="all_spans").select("doc_id", "entity_type", "text").distinct()
+
+
 # ---------------------------------------------------------------- contract
 
 

@@ -165,18 +165,19 @@ def surfaces(text: Column, spans: Column, fields: list[str]) -> Column:
     return F.when(F.size(spans) > 0, full).otherwise(bind(spans, cut("slice(v, 1, 0)", "''")))
 
 
-def rewrite(text: Column, islands: Column, replace: Callable[[Column, Column], Column]) -> Column:
+def rewrite(text: Column, islands: Column, replace: Callable[[Column, Column], Column], more: tuple[str, ...] = ()) -> Column:
     """Replace every island of ``text``; gives ``struct<text, items>``.
 
     ``islands`` are ordered and do not overlap. ``replace(island, value)``
-    gives ``struct<operator, text>``. Items carry offsets in the new text and
+    gives ``struct<operator, text>``; it sees the island's fields named in
+    ``more`` as well. Items carry offsets in the new text and
     come last first.
     """
     # name the value of each island, replace it, then put the text together
     values = (
         "named_struct('b', v.b, 'n', v.n, 'islands', transform(v.islands, _s -> "
         "named_struct('start', _s.start, 'end', _s.end, 'entity_type', _s.entity_type, "
-        f"'value', {piece('v.b', '_s.start', '_s.end')})))"
+        f"'value', {piece('v.b', '_s.start', '_s.end')}{''.join(f', {chr(39)}{f}{chr(39)}, _s.{f}' for f in more)})))"
     )
     given = F.struct(blocks(text).alias("b"), F.length(text).alias("n"), islands.alias("islands"))
 

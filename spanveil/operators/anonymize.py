@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 
@@ -17,7 +18,7 @@ DEFAULT = "DEFAULT"
 OPERATOR_NAMES = ("replace", "redact", "mask", "hash", "encrypt", "custom", "pseudonym")
 PARAMS_TYPE = (
     "struct<type:string,new_value:string,hash_type:string,key:string,masking_char:string,"
-    "chars_to_mask:int,from_end:boolean>"
+    "chars_to_mask:int,from_end:boolean,mode:string,base64_key:boolean,key_id:string,salt:string>"
 )
 
 
@@ -68,14 +69,21 @@ def check_key(key: str, base64_key: bool = False) -> None:
 
 @dataclass(frozen=True)
 class Encrypt:
-    """AES. CBC, or GCM, which also notices a wrong key for sure."""
+    """AES. CBC, or GCM, which also notices a wrong key for sure.
+
+    With a ``key_id`` every sealed value names its key, mode and form of key,
+    so that values of several keys and modes can stand in one text.
+    """
 
     key: str = field(repr=False)
     mode: str = "CBC"
     base64_key: bool = False
+    key_id: str | None = None
     name: str = field(default="encrypt", init=False)
 
     def __post_init__(self):
+        if self.key_id is not None and not re.fullmatch(replacing.KEY_ID, self.key_id):
+            raise ValueError("a key id has 1 to 64 letters, digits, hyphens and underscores")
         if self.mode not in replacing.MODES:
             raise ValueError(f"mode must be one of {sorted(replacing.MODES)}")
         check_key(self.key, self.base64_key)
@@ -151,6 +159,8 @@ def _by_python(operators: Mapping[str, Operator], secret: Column | None, doc: Co
             case Encrypt():
                 place = F.concat_ws(":", doc, s["start"].cast("string"))
                 text = replacing.encrypt(value, secret[name], place, op.mode, op.base64_key)
+                if op.key_id is not None:
+                    text = replacing.in_envelope(text, op.key_id, op.mode, op.base64_key)
             case Pseudonym():
                 text = replacing.pseudonym(s["entity_type"], value, secret[name])
             case Custom():
@@ -171,16 +181,40 @@ def _by_python(operators: Mapping[str, Operator], secret: Column | None, doc: Co
     return replace
 
 
+def _of_type(ops: Column, entity_type: Column) -> Column:
+    return F.coalesce(F.try_element_at(ops, entity_type), F.try_element_at(ops, F.lit(DEFAULT)))
+
+
+def _form(op: Column, mode: str, base64_key: bool) -> tuple[Column, Column]:
+    """Mode and form of key of a config line; what it leaves open is given."""
+    return F.upper(F.coalesce(op["mode"], F.lit(mode))), F.coalesce(op["base64_key"], F.lit(base64_key))
+
+
+def _usable(op: Column, mode: str, base64_key: bool) -> Column:
+    """Whether a config line can be carried out."""
+    kind, (how, form) = op["type"], _form(op, mode, base64_key)
+    named = op["key_id"].isNull() | op["key_id"].rlike(f"^{replacing.KEY_ID}$")
+    return (
+        F.when(kind.isin("redact", "replace"), True)
+        .when(kind == "mask", (F.length(op["masking_char"]) == 1) & (op["chars_to_mask"] >= 0))
+        .when(kind == "hash", F.coalesce(op["hash_type"], F.lit("sha256")).isin(*replacing.HASHES))
+        .when(kind == "encrypt", replacing.fits(op["key"], form) & how.isin(*replacing.MODES) & named)
+        .when(kind == "pseudonym", op["salt"].isNotNull())
+        .otherwise(False)
+    )
+
+
 def _by_table(ops: Column, doc: Column, mode: str, base64_key: bool):
     """The replacement of one span, from a config table."""
 
     def replace(s: Column, value: Column) -> Column:
         def apply(op: Column) -> Column:
-            kind = op["type"]
+            kind, (how, form) = op["type"], _form(op, mode, base64_key)
             place = F.concat_ws(":", doc, s["start"].cast("string"))
             hashes = F.when(op["hash_type"] == "md5", replacing.hashed(value, "md5")).when(
                 op["hash_type"] == "sha512", replacing.hashed(value, "sha512")
             ).otherwise(replacing.hashed(value, "sha256"))
+            sealed = replacing.encrypt(value, op["key"], place, how, form)
             text = (
                 F.when(kind == "redact", F.lit(""))
                 .when(
@@ -191,21 +225,21 @@ def _by_table(ops: Column, doc: Column, mode: str, base64_key: bool):
                 )
                 .when(kind == "hash", hashes)
                 .when(
-                    (kind == "encrypt") & replacing.fits(op["key"], base64_key),
-                    replacing.encrypt(value, op["key"], place, mode, base64_key),
+                    kind == "encrypt",
+                    F.when(op["key_id"].isNull(), sealed).otherwise(replacing.in_envelope(sealed, op["key_id"], how, form)),
                 )
+                .when(kind == "pseudonym", replacing.pseudonym(s["entity_type"], value, op["salt"]))
                 .when(kind == "replace", op["new_value"])
             )
+            text = F.when(_usable(op, mode, base64_key), text)
             # a config line that cannot be carried out never leaves the value as it is
-            known = kind.isin("redact", "mask", "hash", "encrypt") & text.isNotNull()
+            known = kind.isin("redact", "mask", "hash", "encrypt", "pseudonym") & text.isNotNull()
             return _outcome(
                 F.when(known, kind).otherwise("replace"),
                 F.coalesce(text, replacing.placeholder(s["entity_type"])),
             )
 
-        return once(
-            F.coalesce(F.try_element_at(ops, s["entity_type"]), F.try_element_at(ops, F.lit(DEFAULT))), apply
-        )
+        return once(_of_type(ops, s["entity_type"]), apply)
 
     return replace
 
@@ -224,15 +258,26 @@ def anonymize(
     """Add the rewritten text, the items (last first) and a ``status``.
 
     ``operators`` maps entity types to operators, or is a config table with
-    one row per entity type; ``mode`` and ``base64_key`` are for the table's
-    encryption. Types without an operator get the ``DEFAULT`` one, which is
+    one row per entity type; ``mode`` and ``base64_key`` are for lines of the
+    table that don't say. A line that cannot be carried out (a ``custom``
+    operator, a bad key) gives the entity type in place of the value and the
+    status ``bad_operator``. Types without an operator get the ``DEFAULT`` one, which is
     replacement by the entity type. Overlapping spans are merged first, so no
     part of a detected value stays.
     """
     doc = F.col(id_col).cast("string") if id_col else F.lit("")
+    text, spans, failing = F.col(text_col), F.col(spans_col), None
     if isinstance(operators, DataFrame):
         df = df.withColumn("_ops", config_map(operators))
         replace = _by_table(F.col("_ops"), doc, mode, base64_key)
+
+        def unusable(s: Column) -> Column:
+            return once(
+                _of_type(F.col("_ops"), s["entity_type"]),
+                lambda op: op.isNotNull() & ~F.coalesce(_usable(op, mode, base64_key), F.lit(False)),
+            )
+
+        failing = F.exists(spans, unusable)
     else:
         operators = dict(operators or {})
         for name, op in operators.items():
@@ -247,7 +292,6 @@ def anonymize(
             df = df.withColumn("_ops", secrets(df.sparkSession, hidden))
         replace = _by_python(operators, F.col("_ops") if hidden else None, doc)
 
-    text, spans = F.col(text_col), F.col(spans_col)
     islands = merge_overlaps(inside(spans, text))
     outside = F.exists(
         spans,
@@ -257,6 +301,8 @@ def anonymize(
     status = F.when(text.isNull(), "missing_text").when(spans.isNull(), "missing_spans")
     if "status" in df.columns:
         status = status.when(F.col("status") != "ok", F.col("status"))
+    if failing is not None:
+        status = status.when(failing, "bad_operator")
     status = status.when(outside, "clipped_spans").otherwise("ok")
     return (
         df.withColumns({"_done": F.when(ready, rewrite(text, islands, replace)), "status": status})

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from spanveil.functions.arrays import bind, groups, let
 from spanveil.functions.spans import inside, merge_overlaps, surfaces
+from spanveil.operators.phrases import PhraseTable, hit_rows, joined_hits
 
 ALL = "ALL"
 # Parts over which one value's documents are spread when they are linked.
@@ -31,12 +32,8 @@ def counted(keys: Column) -> Column:
     return bind(keys, let("array_sort(v)", "_k", groups("_k", new, one)))
 
 
-def entity_summary(df: DataFrame, by: str, spans_col: str = "spans") -> DataFrame:
-    """Spans, documents and mean score per entity type and ``by`` value.
-
-    Type ``ALL`` counts documents with any span; a NULL ``by`` is the total.
-    """
-    spans = F.col(spans_col)
+def _per_type(spans: Column) -> Column:
+    """A document's spans and scores by entity type, and of type ``ALL``; NULL for a document without spans."""
 
     def one(name: Column, part: Column) -> Column:
         total = F.aggregate(part, F.lit(0.0), lambda a, s: a + s["score"])
@@ -44,17 +41,33 @@ def entity_summary(df: DataFrame, by: str, spans_col: str = "spans") -> DataFram
 
     per_type = F.transform(
         F.array_distinct(F.transform(spans, lambda s: s["entity_type"])),
-        lambda name: one(name, F.filter(spans, lambda s: s["entity_type"] == name)),
+        lambda name: one(name, F.filter(spans, lambda s: s["entity_type"].eqNullSafe(name))),
     )
-    condensed = F.when(F.size(spans) > 0, F.concat(per_type, F.array(one(F.lit(ALL), spans))))
+    return F.when(F.size(spans) > 0, F.concat(per_type, F.array(one(F.lit(ALL), spans))))
+
+
+def entity_summary(df: DataFrame, by: str | Iterable[str], spans_col: str = "spans") -> DataFrame:
+    """Spans, documents and mean score per entity type and value of ``by``.
+
+    Type ``ALL`` counts documents with any span. ``by`` is one dimension or
+    several: with several there is a row for every combination of dimensions,
+    those left out being totals. ``level`` tells totals from values that are
+    NULL: a bit for each dimension, the last one lowest, set where the row is
+    a total over it (so 0 is the finest).
+    """
+    dims = [by] if isinstance(by, str) else list(by)
+    if not 0 < len(dims) <= 10:
+        raise ValueError("one to ten dimensions, please")
     rows = (
-        df.select(F.col(by), F.explode_outer(condensed).alias("_t"))
+        df.select(*dims, F.explode_outer(_per_type(F.col(spans_col))).alias("_t"))
         .where(F.col("_t").isNotNull())
-        .select(by, "_t.*")
+        .select(*dims, "_t.*")
     )
+    sets = [["entity_type", *[d for k, d in enumerate(dims) if not bits >> (len(dims) - 1 - k) & 1]] for bits in range(1 << len(dims))]
     return (
-        rows.groupingSets([["entity_type", by], ["entity_type"]], "entity_type", by)
+        rows.groupingSets(sets, "entity_type", *dims)
         .agg(
+            F.grouping_id().cast("int").alias("level"),
             F.sum("n").alias("spans"),
             F.count(F.lit(1)).alias("documents"),
             F.round(F.sum("score") / F.sum("n"), 6).alias("mean_score"),
@@ -62,6 +75,37 @@ def entity_summary(df: DataFrame, by: str, spans_col: str = "spans") -> DataFram
     )
 
 
+# Registers of a sketch are 2 ** SKETCH_BITS: a standard error of about 1.6 %.
+SKETCH_BITS = 12
+
+
+def entity_sketches(df: DataFrame, id_col: str, by: str | Iterable[str], spans_col: str = "spans") -> DataFrame:
+    """Per entity type and dimensions: spans, and sketches of distinct documents and values.
+
+    Rows of several days, or of several corpora, are merged by
+    :func:`merge_sketches`; what is kept of a day does not grow with it.
+    """
+    dims = [by] if isinstance(by, str) else list(by)
+    values = F.transform(F.col(spans_col), lambda s: F.struct(s["entity_type"].alias("entity_type"), default_normal(s["text"]).alias("value")))
+    rows = df.select(*dims, F.col(id_col).cast("string").alias("_id"), F.explode_outer(counted(values)).alias("_v"))
+    rows = rows.where(F.col("_v").isNotNull()).select(*dims, "_id", "_v.key.entity_type", "_v.key.value", "_v.n")
+    return rows.groupBy("entity_type", *dims).agg(
+        F.sum("n").alias("spans"), F.hll_sketch_agg("_id", SKETCH_BITS).alias("documents"), F.hll_sketch_agg("value", SKETCH_BITS).alias("values")
+    )
+
+
+def merge_sketches(sketches: DataFrame, *by: str) -> DataFrame:
+    """Sketches of finer rows as those of coarser ones (``entity_type`` and ``by``)."""
+    return sketches.groupBy("entity_type", *by).agg(
+        F.sum("spans").alias("spans"), F.hll_union_agg("documents").alias("documents"), F.hll_union_agg("values").alias("values")
+    )
+
+
+def read_sketches(sketches: DataFrame) -> DataFrame:
+    """Sketches as estimated numbers of distinct documents and values."""
+    return sketches.withColumns({c: F.hll_sketch_estimate(c) for c in ("documents", "values")})
+
+
 def score_histogram(df: DataFrame, spans_col: str = "spans") -> DataFrame:
     """Spans per entity type and score bucket of a tenth (lower bound)."""
     rows = df.select(F.explode_outer(spans_col).alias("_s")).where(F.col("_s").isNotNull())
@@ -223,3 +267,18 @@ def leaks(df: DataFrame, id_col: str, out_col: str = "anonymized_text", spans_co
         .where(F.col("_v").isNotNull())
         .select(id_col, "_v.*")
     )
+
+
+def leaks_across(df: DataFrame, id_col: str, out_col: str = "anonymized_text", spans_col: str = "spans") -> DataFrame:
+    """``<id, entity_type, start, end, text>``: values detected in any document that can be read in a document's new text.
+
+    The distinct values of the corpus are a phrase table: a small one is sent
+    to the tasks, a large one goes through a Bloom filter of fixed size and a
+    join. Values are found as whole words, in their own case; values without
+    a letter or digit are not looked for.
+    """
+    keys = F.transform(F.col(spans_col), lambda s: F.struct(s["entity_type"].alias("entity_type"), s["text"].alias("phrase")))
+    rows = df.select(F.explode_outer(F.transform(counted(keys), lambda v: v["key"])).alias("_v")).where(F.col("_v").isNotNull())
+    table = PhraseTable(rows.select("_v.*"), name="detected values")
+    hits = (hit_rows if table.small else joined_hits)(df, id_col, out_col, table)
+    return hits.select(id_col, "entity_type", "start", "end", F.col("value").alias("text"))

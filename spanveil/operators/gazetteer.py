@@ -2,71 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanveil.functions.arrays import bind, empty, let, positions, totals
-from spanveil.functions.spans import SPAN_TYPE, WORD, pieces
+from spanveil.functions.arrays import empty
+from spanveil.functions.spans import SPAN_TYPE, surfaces
 from spanveil.operators.analyze import combine_spans
-
-# A phrase table up to this size is sent to every executor.
-BROADCAST_BYTES = 32 * 1024 * 1024
-# Bits in the bitmap of first words.
-BUCKETS = 1 << 20
-
-
-def _bucket(word: Column) -> Column:
-    return F.pmod(F.xxhash64(word), F.lit(BUCKETS)).cast("int")
-
-
-def first_words(table: DataFrame) -> Column:
-    """The first words of all phrases as a bitmap, as a scalar subquery.
-
-    The bitmap has a fixed size, whatever the size of the table. It lets some
-    other words pass, but never stops a first word.
-    """
-    bucket = _bucket(F.substring_index("_phrase", " ", 1))
-    bits = table.select(F.shiftright(bucket, 5).alias("slot"), F.expr("1").alias("one"), (bucket % 32).alias("bit"))
-    bits = bits.groupBy("slot").agg(F.bit_or(F.call_function("shiftleft", "one", "bit")).alias("bits"))
-    slots = table.sparkSession.range(BUCKETS // 32).join(bits, F.col("id") == F.col("slot"), "left")
-    ordered = F.array_sort(F.collect_list(F.struct("id", F.coalesce("bits", F.lit(0)).alias("bits"))))
-    return slots.agg(F.transform(ordered, lambda s: s["bits"]).alias("bitmap")).scalar()
-
-
-def phrases_in(text: Column, lengths: Iterable[int], bitmap: Column, ignore_case: bool = False) -> Column:
-    """Runs of words that only white space separates, of the given ``lengths``.
-
-    Only runs whose first word may begin a phrase are made, and only their
-    places in the text are worked out.
-    """
-    def value(at: str) -> str:
-        return f"lower(get(_steps, {at}).value)" if ignore_case else f"get(_steps, {at}).value"
-
-    bucket = f"cast(pmod(xxhash64({value('_k')}), {BUCKETS}) AS int)"
-    known = f"shiftright(get(v.bitmap, shiftright({bucket}, 5)), {bucket} % 32) & 1 = 1"
-    candidates = f"filter({positions('0', 'size(_steps) - 1')}, _k -> {known})"
-
-    def made(end_at: Callable[[str], str]) -> str:
-        runs = []
-        for n in sorted(lengths):
-            at = f"_k + {n - 1}"
-            values = [value(f"_k + {i}") for i in range(n)]
-            glued = [rf"coalesce(get(_steps, _k + {i}).gap RLIKE r'^\s+$', false)" for i in range(1, n)]
-            whole = " AND ".join(glued) or "true"
-            run = (
-                f"named_struct('start', {end_at('_k')} - length(get(_steps, _k).value), 'end', {end_at(at)}, "
-                f"'phrase', concat_ws(' ', {', '.join(values)}))"
-            )
-            runs.append(f"CASE WHEN {whole} THEN {run} END")
-        return f"flatten(transform(_hits, _k -> array({', '.join(runs)})))"
-
-    advance = "transform(_steps, _s -> length(_s.gap) + length(_s.value))"
-    found = let(candidates, "_hits", totals(advance, made))
-    return bind(
-        F.struct(text.alias("text"), bitmap.alias("bitmap")), let(pieces("v.text", f"r'{WORD}+'"), "_steps", found)
-    )
+from spanveil.operators.phrases import BROADCAST_BYTES, PhraseTable, hit_rows, joined_hits
 
 
 def gazetteer_spans(
@@ -77,49 +19,27 @@ def gazetteer_spans(
     score: float = 0.85,
     ignore_case: bool = False,
     broadcast_bytes: int = BROADCAST_BYTES,
-    salts: int = 16,
 ) -> DataFrame:
     """Spans ``<id, entity_type, start, end, score>`` of the phrases in a table.
 
-    ``phrases`` has ``phrase`` and ``entity_type``. Words that begin no phrase
-    are dropped where they are. The size of the table is measured first: a
-    small one is broadcast and nothing is shuffled. For a large one the
-    candidate runs are shuffled, without the texts; frequent ones are spread
-    over ``salts`` parts, each of which sees the whole table.
+    ``phrases`` has ``phrase`` and ``entity_type``. Its size is measured
+    first: a small one is sent to the tasks and nothing is shuffled. For a
+    large one the runs of words that pass a Bloom filter are shuffled, without
+    the texts.
     """
-    fold = F.lower if ignore_case else (lambda c: c)
-    spaced = F.array_join(F.regexp_extract_all(fold(F.col("phrase")), F.lit(f"{WORD}+"), F.lit(0)), " ")
-    table = phrases.select(spaced.alias("_phrase"), "entity_type").where(F.col("_phrase") != "").distinct()
-    size = table.agg(
-        F.sum(F.octet_length("_phrase") + F.octet_length("entity_type") + 32).alias("bytes"),
-        F.collect_set(F.size(F.split("_phrase", " "))).alias("lengths"),
-    ).first()
-    lengths = size["lengths"] or [1]
-
-    found = F.explode_outer(phrases_in(F.col(text_col), lengths, F.col("_bitmap"), ignore_case))
-    runs = (
-        df.select(id_col, text_col)
-        .withColumn("_bitmap", first_words(table))
-        .select(F.col(id_col), found.alias("_r"))
-        .where(F.col("_r").isNotNull())
-        .select(id_col, "_r.start", "_r.end", F.col("_r.phrase").alias("_phrase"))
-    )
-    if (size["bytes"] or 0) <= broadcast_bytes:
-        joined = runs.join(F.broadcast(table), "_phrase")
-    else:
-        salted = runs.withColumn("_salt", F.pmod(F.xxhash64(id_col), F.lit(salts)).cast("int"))
-        copies = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        joined = salted.join(copies, ["_phrase", "_salt"])
-    return joined.select(id_col, "entity_type", "start", "end", F.lit(float(score)).alias("score"))
+    table = PhraseTable(phrases, ignore_case=ignore_case, broadcast_bytes=broadcast_bytes)
+    rows = (hit_rows if table.small else joined_hits)(df, id_col, text_col, table)
+    return rows.select(id_col, "entity_type", "start", "end", F.lit(float(score)).alias("score"))
 
 
 def attach_spans(
-    df: DataFrame, rows: DataFrame, id_col: str, spans_col: str = "spans"
+    df: DataFrame, rows: DataFrame, id_col: str, spans_col: str = "spans", text_col: str = "text"
 ) -> DataFrame:
     """Add spans stored as rows (a model's output, say) to their documents.
 
     Exact duplicates keep their best score. Where ``df`` has spans already,
-    both are combined. A small span table is broadcast by Spark itself; keep
+    both are combined; if those carry the text they cover, so do the new ones,
+    cut from ``text_col``. A small span table is broadcast by Spark itself; keep
     large ones bucketed by the id, like the texts, to join without a shuffle.
     """
     explanation = F.col("explanation") if "explanation" in rows.columns else F.lit(None).cast("string")
@@ -134,6 +54,12 @@ def attach_spans(
         F.col("explanation").alias("explanation"),
     )
     grouped = best.groupBy(id_col).agg(F.collect_list(span).alias("_more"))
+    joined = df.join(grouped, id_col, "left")
     more = F.coalesce(F.col("_more"), empty(SPAN_TYPE))
-    own = [F.col(spans_col)] if spans_col in df.columns else []
-    return df.join(grouped, id_col, "left").withColumn(spans_col, combine_spans(*own, more)).drop("_more")
+    own, fields = [], ["explanation"]
+    if spans_col in df.columns:
+        own.append(F.col(spans_col))
+        if "text" in df.schema[spans_col].dataType.elementType.names:
+            fields.append("text")
+            more = surfaces(F.col(text_col), more, ["entity_type", "start", "end", "score", "explanation"])
+    return joined.withColumn(spans_col, combine_spans(*own, more, fields=fields)).drop("_more")

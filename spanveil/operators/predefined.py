@@ -14,14 +14,22 @@ DIGIT = after_boundary("[0-9]")
 UPPER = after_boundary("[A-Z]")
 
 # Word lists for dictionary matching.
-TLDS = "com org net edu gov mil int info biz io dev app site online shop xyz me tv co eu uk us de fr es it nl ch at be se no fi dk pl pt ie ca au nz jp cn in br mx ru za".split()
+TLDS = (
+    "com org net edu gov mil int info biz name pro jobs mobi travel museum app blog cloud dev io live link online shop site store tech tel "
+    "top website wiki xyz ac ae ai ar at au az ba bd be bg bo br by bz ca cc ch ci cl cm cn co cr cy cz de dk do dz ec ee eg es et eu fi "
+    "fm fr ge gg gh gr gt hk hn hr hu id ie il im in ir is it je jo jp ke kg kh kr kw kz lb li lk lt lu lv ly ma md me mk mm mn mt mu mx "
+    "my na ng ni nl no np nu nz om pa pe ph pk pl pr pt py qa ro rs ru sa se sg si sk sn su sv th tn to tr tt tv tw tz ua ug uk us uy uz "
+    "ve vn ws za zm zw"
+).split()
 MONTHS = "January February March April May June July August September October November December Jan Feb Mar Apr Jun Jul Aug Sep Sept Oct Nov Dec".split()
 TITLES = "Mr Mrs Ms Miss Dr Prof Sir Madam".split()
+PARTICLES = "da das de del della den der di do dos du el la las le los ten ter van vom von y zu zum zur".split()
 GIVEN_NAMES = (
     "Adam Alice Anna Anthony Barbara Benjamin Carlos Charles Christopher Daniel David Elena Elizabeth Emily Emma "
     "Eric Francesca George Giulia Hannah Henry Isabel James Jane Jennifer Jessica John Jonathan Joseph Julia Karen "
     "Kate Katherine Kevin Laura Linda Lisa Lucas Luca Marco Margaret Maria Mark Martin Mary Matthew Michael Michelle "
     "Nancy Nicholas Olivia Patricia Patrick Paul Peter Rachel Rebecca Richard Robert Ryan Samuel Sandra Sarah Simon "
+    "André Ana François Gonzalo Inês Jesús João Jorge José Juan Jürgen Luis Luís Manuel Miguel Pablo Pedro René Sofía Zoë "
     "Sofia Sophia Stephen Steven Susan Thomas Timothy Victoria William Winston"
 ).split()
 PLACES = (
@@ -53,7 +61,16 @@ def _one(name: str, regex: str, score: float, *guards: str) -> tuple[Pattern, ..
 
 _MONTH = f"(?:{alternatives(MONTHS)})"
 _LOCAL = r"[0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}"
-_SURNAME = rf"(?:[ ]\p{{Lu}}(?:\p{{L}}|['’-](?=\p{{L}}))+)*"
+# Names and addresses are taken from their first character on and never given back: linear in the text, whatever
+# its length, and no part of a value is left.
+_CAPITAL = r"(?:\p{L}{1,2}['’])?\p{Lu}(?:[\p{L}\p{M}]|['’‐-](?=\p{L}))++"
+_LINK = rf"(?:(?:{alternatives(PARTICLES)})\h++)"
+_SURNAME = rf"(?:\h++{_LINK}*+{_CAPITAL})*+"
+_TITLE = rf"(?:{alternatives(TITLES)})\.?"
+# what may stand in an address before the @: letters and digits of any script, and the marks that mail allows
+_ATOM = r"[\p{L}\p{M}\p{N}_%+.!#$&'*/=?^`{|}~-]"
+_CORE = r"[\p{L}\p{N}_%+.-]"
+_HOST = r"[\p{L}\p{M}\p{N}_-]++(?:\.[\p{L}\p{M}\p{N}_-]++)++"
 
 PREDEFINED: tuple[Recognizer, ...] = (
     Recognizer(
@@ -98,20 +115,20 @@ PREDEFINED: tuple[Recognizer, ...] = (
     ),
     Recognizer(
         "domain", "DOMAIN_NAME",
-        # not inside or next to an e-mail address
+        # not inside or next to an e-mail address; labels of any number and length, then a look back at the last
         _one(
             "dotted labels",
-            rf"[A-Za-z0-9](?<![\p{{L}}\p{{N}}_@.%+-][A-Za-z0-9])[A-Za-z0-9-]{{0,62}}"
-            rf"(?:\.[A-Za-z0-9-]{{1,63}}){{0,125}}\.(?:{alternatives(TLDS)})(?![\p{{L}}\p{{N}}_@-])(?!\.[A-Za-z0-9_@-])", 0.5,
-            ".", rf"[.](?:{alternatives(TLDS)})(?![\p{{L}}\p{{N}}_@-])",
+            rf"[\p{{L}}\p{{N}}_](?<![\p{{L}}\p{{M}}\p{{N}}_@.%+-].)[\p{{L}}\p{{M}}\p{{N}}_-]*+(?:\.[\p{{L}}\p{{M}}\p{{N}}_-]++)++"
+            rf"(?<=\.(?i:{alternatives(TLDS)}))(?!@)", 0.5,
+            ".", rf"[.](?i:{alternatives(TLDS)})(?![\p{{L}}\p{{N}}_@-])",
         ),
     ),
     Recognizer(
         "e-mail", "EMAIL_ADDRESS",
         _one(
             "address",
-            # from the first character on, without a way back: linear, and no part of an address is left
-            r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", 1.0, "@",
+            # marks in front of the first letter may be quotes around the address and are not part of it
+            rf"{_CORE}(?<=(?<!{_ATOM})[!#$&'*/=?^`{{|}}~]{{0,8}}{_CORE}){_ATOM}*+@{_HOST}(?:@{_HOST})*+", 1.0, "@",
         ),
     ),
     Recognizer(
@@ -149,7 +166,8 @@ PREDEFINED: tuple[Recognizer, ...] = (
             Pattern("given name", rf"(?=[A-Z]){WORD_START}(?:{alternatives(GIVEN_NAMES)}){_SURNAME}{WORD_END}", 0.85),
             Pattern(
                 "after a title",
-                rf"\p{{Lu}}(?<={WORD_START}(?:{alternatives(TITLES)})\.? \p{{Lu}})\p{{L}}+{_SURNAME}", 0.85,
+                rf"(?=\p{{L}})(?<={WORD_START}{_TITLE}\h{{1,8}}){_LINK}*+{_CAPITAL}{_SURNAME}", 0.85,
+                (rf"[{''.join(sorted({t[0] for t in TITLES}))}](?<!{WORD}.){alternatives({t[1:] for t in TITLES})}\.?\h",),
             ),
         ),
     ),

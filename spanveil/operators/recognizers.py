@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass, field
@@ -103,18 +104,43 @@ def regex_recognizer(
     )
 
 
+def _branch(tails: list[str]) -> str:
+    """An expression for sorted, distinct strings: what they have in common first, then one way per next letter.
+
+    Longer strings are tried before shorter ones that begin them.
+    """
+    ends, ways = tails[0] == "", []
+    rest = tails[1:] if ends else tails
+    at = 0
+    while at < len(rest):
+        to = at + 1
+        while to < len(rest) and rest[to][0] == rest[at][0]:
+            to += 1
+        head = os.path.commonprefix([rest[at], rest[to - 1]])  # of sorted strings, that of all between
+        ways.append((head, _branch([x[len(head) :] for x in rest[at:to]]) if to > at + 1 else ""))
+        at = to
+    single = [h for h, more in ways if not more and len(h) == 1]
+    parts = [re.escape(h) + more for h, more in ways if more or len(h) > 1]
+    if single:
+        parts.append(re.escape(single[0]) if len(single) == 1 else f"[{''.join(map(re.escape, single))}]")
+    if not parts:
+        return ""
+    whole = parts[0] if len(parts) == 1 else "|".join(parts)
+    if ends:
+        return f"(?:{whole})?"
+    return whole if len(parts) == 1 else f"(?:{whole})"
+
+
 def alternatives(terms: Iterable[str]) -> str:
-    """Literal terms, longest first, under their first letters.
+    """Literal terms as the expression of a prefix tree.
 
-    A matcher tries alternatives one by one; this way it tries one per first
-    letter, and then only the terms that begin with it.
+    A matcher tries one way per next letter, however many terms there are; of
+    terms that begin alike, the longest that fits is taken.
     """
-    by_letter: dict[str, list[str]] = {}
-    for term in sorted(set(terms), key=lambda t: (-len(t), t)):
-        by_letter.setdefault(term[0], []).append(re.escape(term[1:]))
-    return "|".join(
-        re.escape(letter) + (rest[0] if len(rest) == 1 else f"(?:{'|'.join(rest)})") for letter, rest in by_letter.items()
-    )
+    wanted = sorted(set(terms))
+    if not wanted or "" in wanted:
+        raise ValueError("literal terms must not be empty")
+    return _branch(wanted)
 
 
 def terms_regex(terms: Iterable[str]) -> str:
@@ -129,7 +155,7 @@ def deny_list_recognizer(
     ignore_case: bool = False,
     languages: Iterable[str] | None = None,
 ) -> Recognizer:
-    """Literal terms, any number; a list that is itself a large table belongs in a gazetteer, which is joined."""
+    """Literal terms, some ten thousands at most; a list that is itself a table is a phrase table."""
     wanted = parse_list(terms)
     if not wanted:
         raise ValueError(f"deny list for {entity_type!r} is empty")

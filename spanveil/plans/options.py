@@ -8,6 +8,7 @@ from typing import Any
 
 from pyspark.sql import Column
 
+from spanveil.operators.phrases import PhraseTable
 from spanveil.operators.predefined import PREDEFINED
 from spanveil.operators.recognizers import (
     Pattern,
@@ -63,7 +64,11 @@ def _deny(value: Any) -> list[Recognizer]:
 
 @dataclass(frozen=True)
 class EngineOptions:
-    """What a job can find, and its default threshold."""
+    """What a job can find, and its default threshold.
+
+    ``log_decision_process`` makes ``analyze`` add what became of every
+    candidate.
+    """
 
     recognizers: tuple[Recognizer, ...] = PREDEFINED
     regex: tuple[Recognizer, ...] = ()
@@ -71,6 +76,7 @@ class EngineOptions:
     log_decision_process: bool = False
     default_score_threshold: float = 0.0
     supported_languages: tuple[str, ...] | None = None
+    phrase_tables: tuple[PhraseTable, ...] = ()
 
     def registry(self) -> list[Recognizer]:
         return registry(self.recognizers, self.regex, self.deny_list)
@@ -105,6 +111,7 @@ _ENGINE = {
     "log_decision_process": _flag,
     "default_score_threshold": _score,
     "supported_languages": lambda v: tuple(x.lower() for x in parse_list(v)) or None,
+    "phrase_tables": lambda v: (v,) if isinstance(v, PhraseTable) else tuple(v),
 }
 _ANALYZE = {
     "language": lambda v: v.lower(),

@@ -17,12 +17,14 @@ from spanveil.operators.anonymize import (
     Hash,
     Mask,
     Operator,
+    Pseudonym,
     Redact,
     Replace,
 )
 from spanveil.plans.options import AnalyzeOptions, EngineOptions, analyze_options, engine_options
 
-PARAMS = ["type", "new_value", "hash_type", "key", "masking_char", "chars_to_mask", "from_end"]
+# A config that becomes Python operators has at most so many entity types.
+MOST_TYPES = 10_000
 STRICT = {"allowSingleQuotes": "false"}
 REGEX_TYPE = (
     "struct<supported_entity:string,pattern:array<struct<name_pattern:string,regex:string,score:string>>,"
@@ -56,7 +58,9 @@ def read_operator_config(spark: SparkSession, path: str) -> DataFrame:
         F.from_json("value", "struct<entity_type:string,params:string>").alias("l"),
     )
     parsed = lines.select("seq", "l.entity_type", F.from_json("l.params", PARAMS_TYPE).alias("p"))
-    known = F.col("p.type").isin(*OPERATOR_NAMES, "decrypt") & F.col("entity_type").isNotNull()
+    # a custom operator is a function; a line cannot name one
+    storable = [n for n in OPERATOR_NAMES if n != "custom"]
+    known = F.col("p.type").isin(*storable, "decrypt") & F.col("entity_type").isNotNull()
     return parsed.select(
         "seq", "entity_type", "p.*", F.when(known, "ok").otherwise("malformed").alias("status")
     )
@@ -75,9 +79,9 @@ def latest_config(config: DataFrame) -> DataFrame:
 
 
 def show_config(config: DataFrame) -> DataFrame:
-    """The table without its keys."""
-    hidden = F.when(F.col("key").isNotNull(), "***")
-    return config.withColumn("key", hidden) if "key" in config.columns else config
+    """The table without its keys and salts."""
+    hidden = {c: F.when(F.col(c).isNotNull(), "***") for c in ("key", "salt") if c in config.columns}
+    return config.withColumns(hidden) if hidden else config
 
 
 def upsert_operator(config: Mapping[str, Operator], entity_type: str, operator: Operator) -> dict[str, Operator]:
@@ -96,7 +100,9 @@ def operator_lines(config: Mapping[str, Operator], decrypt: bool = False) -> lis
             raise ValueError("a custom operator is a function and cannot be stored")
         params = {("type" if k == "name" else k): v for k, v in asdict(op).items() if v is not None}
         if decrypt:
-            params = {"type": "decrypt", "key": op.key}
+            if not isinstance(op, Encrypt):
+                raise ValueError(f"the operator of {entity_type!r} does not encrypt")
+            params["type"] = "decrypt"
         lines.append(json.dumps({"entity_type": entity_type, "params": json.dumps(params)}))
     return lines
 
@@ -112,7 +118,10 @@ def write_operator_config(
 def load_operators(config: DataFrame) -> dict[str, Operator]:
     """A (small) config table as Python operators, checked one by one."""
     made: dict[str, Operator] = {}
-    for r in latest_config(config).collect():
+    rows = latest_config(config).limit(MOST_TYPES + 1).collect()
+    if len(rows) > MOST_TYPES:
+        raise ValueError(f"a config of more than {MOST_TYPES} entity types stays a table")
+    for r in rows:
         if r["status"] != "ok":
             raise ValueError(f"operator config for {r['entity_type']!r} cannot be read")
         match r["type"]:
@@ -125,7 +134,9 @@ def load_operators(config: DataFrame) -> dict[str, Operator]:
             case "hash":
                 made[r["entity_type"]] = Hash(r["hash_type"] or "sha256")
             case "encrypt" | "decrypt":
-                made[r["entity_type"]] = Encrypt(r["key"])
+                made[r["entity_type"]] = Encrypt(r["key"], r["mode"] or "CBC", bool(r["base64_key"]), r["key_id"])
+            case "pseudonym":
+                made[r["entity_type"]] = Pseudonym(r["salt"])
             case other:
                 raise ValueError(f"operator {other!r} cannot be stored in a config")
     return made

@@ -133,7 +133,7 @@ def test_gazetteer(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
     want = {(i, *s) for i, t in enumerate(texts) for s in brute_phrases(t, phrases)}
     for limit in (1 << 20, 0):
-        got = gazetteer_spans(df, table, "id", broadcast_bytes=limit, salts=3)
+        got = gazetteer_spans(df, table, "id", broadcast_bytes=limit)
         rows = [(r.id, r.entity_type, r.start, r.end) for r in got.collect()]
         assert len(rows) == len(set(rows)) and set(rows) == want
     shouted = df.select("id", F.upper("text").alias("text"))

@@ -45,26 +45,30 @@ def test_names_numbers_and_licences(spark):
 
 
 def test_deny_list_with_dots(spark):
-    engine = engine_options(deny_list=[deny_list_recognizer("TITLE", "Mr.,Miss.,Mrs.")])
-    text = "Ask about Mr. Gray near the big gate"
-    assert found(spark, text, engine) == [("TITLE", 10, 13, 1.0), ("PERSON", 14, 18, 0.85)]
+    engine = engine_options(deny_list=[deny_list_recognizer("UNIT", "approx.,fig.,No.,No")])
+    text = "See fig. 4 or No. 7, approx. at Mr. Gray's, No more"
+    assert found(spark, text, engine) == [
+        ("UNIT", 4, 8, 1.0), ("UNIT", 14, 17, 1.0), ("UNIT", 21, 28, 1.0), ("PERSON", 36, 42, 0.85), ("UNIT", 44, 46, 1.0)
+    ]
 
 
 def test_regex_with_context(spark):
     spec = (
-        r'{"supported_entity": "US_ZIP_CODE", "pattern": [{"name_pattern": "zip", '
-        r'"regex": "(\\b\\d{5}(?:\\-\\d{4})?\\b)", "score": "0.01"}], "context": "zip,zipcode"}'
+        r'{"supported_entity": "LAB_SAMPLE", "pattern": [{"name_pattern": "sample number", '
+        r'"regex": "\\bQ[0-9]{3}/[0-9]{2}\\b", "score": "0.03"}], "context": "sample,specimen"}'
     )
     engine = engine_options(regex=spec)
-    assert found(spark, "Your zip code: 60614", engine) == [("US_ZIP_CODE", 15, 20, 0.4)]
-    assert found(spark, "Nothing known of 60614", engine) == [("US_ZIP_CODE", 17, 22, 0.01)]
+    assert found(spark, "the specimen was Q417/22 then", engine) == [("LAB_SAMPLE", 17, 24, 0.4)]
+    assert found(spark, "route Q417/22", engine) == [("LAB_SAMPLE", 6, 13, 0.03)]
 
 
 def test_two_deny_lists(spark):
-    lists = deny_list_recognizers(["TITLE", "PRONOUN"], ["Mr.,Mrs.,Miss", "he,He,his,His,she,She,hers,Hers"])
+    lists = deny_list_recognizers(["COLOUR", "METAL"], ["red,dark red,Red", "tin,iron,pig iron"])
     engine = EngineOptions((), deny_list=tuple(lists))
-    assert found(spark, "He saw Mr. Gray", engine) == [("PRONOUN", 0, 2, 1.0), ("TITLE", 7, 10, 1.0)]
-    assert found(spark, "The others hear her", engine) == []
+    assert found(spark, "Red tin, dark red pig iron", engine) == [
+        ("COLOUR", 0, 3, 1.0), ("METAL", 4, 7, 1.0), ("COLOUR", 9, 17, 1.0), ("METAL", 18, 26, 1.0)
+    ]
+    assert found(spark, "Redder tint, ironing", engine) == []
 
 
 def test_offsets_are_code_points(spark):
@@ -331,7 +335,7 @@ def test_addresses_of_any_length(spark):
     engine = EngineOptions(recognizers=tuple(recognizers_for("EMAIL_ADDRESS")))
     got = {r.id: [(s.start, s.end) for s in r.spans] for r in analyze(df, engine=engine).collect()}
     assert [got[i] for i in range(3)] == [[(0, len(t))] for t in texts[:3]]
-    assert [texts[3][a:b] for a, b in got[3]] == ["a@b.c", ".x@y.zz"]
+    assert [texts[3][a:b] for a, b in got[3]] == ["a@b.c", "é.x@y.zz"]
 
 
 def test_whole_names_and_long_deny_lists(spark):
@@ -352,3 +356,29 @@ def test_entity_types_fold_case_and_unknown_ones_are_refused(spark):
     assert [(s.entity_type, s.score) for s in spans] == [("Zip", 0.4)]
     with pytest.raises(ValueError):
         analyze(df, analyze_options(entities="EMAIL"), engine)
+
+
+@pytest.mark.parametrize(
+    "text, entity, values",
+    [
+        ("see " + "x" * 70 + ".example.com now", "DOMAIN_NAME", ["x" * 70 + ".example.com"]),
+        ("at " + "a." * 140 + "org, yes", "DOMAIN_NAME", ["a." * 140 + "org"]),
+        ("a." * 20_000 + "com", "DOMAIN_NAME", ["a." * 20_000 + "com"]),
+        ("EXAMPLE.COM, Site.Ai and a_b.com. End.No", "DOMAIN_NAME", ["EXAMPLE.COM", "Site.Ai", "a_b.com", "End.No"]),
+        ("bücher.de at https://www.a-b.co.uk/x.html?y=z.info", "DOMAIN_NAME", ["bücher.de", "www.a-b.co.uk", "z.info"]),
+        ("first.com@b.org, not 1.5 or e.g. this.thing", "DOMAIN_NAME", []),
+        ("öl@b.com and o'neil@b.com", "EMAIL_ADDRESS", ["öl@b.com", "o'neil@b.com"]),
+        ("a@bü.com a@b.com@c.com x", "EMAIL_ADDRESS", ["a@bü.com", "a@b.com@c.com"]),
+        ("'quoted@b.org' {k/v=x!y@b.org} <a+b@c_d.org>", "EMAIL_ADDRESS", ["quoted@b.org", "k/v=x!y@b.org", "a+b@c_d.org"]),
+        ("a'" * 50_000 + " " + "b" * 100_000 + "@" + "c." * 50_000 + "d", "EMAIL_ADDRESS", ["b" * 100_000 + "@" + "c." * 50_000 + "d"]),
+        ("Emma  Miller, Emma O'Brien-Smith", "PERSON", ["Emma  Miller", "Emma O'Brien-Smith"]),
+        ("José da Silva and Juan de la Cruz y Vega here", "PERSON", ["José da Silva", "Juan de la Cruz y Vega"]),
+        ("Mr. o'Brien, Dr.  van der Berg, Mrs d’Arcy", "PERSON", ["o'Brien", "van der Berg", "d’Arcy"]),
+        ("Emma" + " Abc" * 20_000, "PERSON", ["Emma" + " Abc" * 20_000]),
+        ("Mr. nobody and Mr. 5", "PERSON", []),
+    ],
+)
+def test_no_part_of_a_value_is_left(spark, text, entity, values):
+    engine = EngineOptions(tuple(recognizers_for(entity)))
+    spans = analyze(texts(spark, text), engine=engine, with_text=True).first().spans
+    assert [s.text for s in spans] == values

@@ -1,0 +1,76 @@
+"""Chunks with halos give what whole texts give."""
+
+import random
+
+import pytest
+
+from spanveil import EngineOptions, Pattern, analyze, analyze_long, analyze_options, deny_list_recognizer, recognizers_for, regex_recognizer
+from spanveil.operators import long_texts
+from spanveil.operators.long_texts import windows
+
+VALUES = ["a.b@example.org", "4111-1111-1111-1111", "4111-1111-1111-1112", "219-09-9998", "call (415) 555-0132", "10.0.0.7", "Emma O'Brien", "x" * 90, "12345678901"]
+
+
+def text(seed, n):
+    r = random.Random(seed)
+    return "".join(r.choice(VALUES) if r.random() < 0.3 else r.choice(["word", "é", "😀", "social security", "1"]) + r.choice([" ", ", ", "\n"]) for _ in range(n))
+
+
+def same(spark, rows, engine=None, options=None, chunk=300, halo=150, **more):
+    df = spark.createDataFrame(rows, "id long, text string, lang string")
+    got = {r.id: r for r in analyze_long(df, "id", options, engine, chunk=chunk, halo=halo, **more).collect()}
+    want = {r.id: r for r in analyze(df, options, engine, **more).collect()}
+    assert got.keys() == want.keys()
+    for k, r in want.items():
+        assert (got[k].spans, got[k].status) == (r.spans, r.status), k
+    return want
+
+
+@pytest.mark.parametrize("with_text", [False, True])
+def test_equals_whole_texts(spark, with_text):
+    rows = [(k, text(k, 30 + 20 * k), "en") for k in range(24)] + [(100, None, "en"), (101, "", "en"), (102, "a@b.org", "de")]
+    want = same(spark, rows, with_text=with_text, options=analyze_options(return_decision_process="1"))
+    assert sum(len(r.spans) for r in want.values()) > 500
+
+
+def test_values_across_every_border(spark):
+    engine = EngineOptions(tuple(recognizers_for("EMAIL_ADDRESS", "US_SSN", "CREDIT_CARD")))
+    rows = [(k, "-" * k + " ok " * 80 + "social a.b@example.org 219-09-9998, 4111 1111 1111 1111" + " no" * 300, "en") for k in range(60)]
+    same(spark, rows, engine, chunk=200, halo=100)
+
+
+def test_hits_that_follow_each_other_are_searched_whole(spark, monkeypatch):
+    """Where a search begins decides these hits; no stretch without any brings two searches together."""
+    seen = []
+    keep = long_texts._uncertain
+    monkeypatch.setattr(long_texts, "_uncertain", lambda *a: seen.append(keep(*a)) or seen[-1])
+    triples = EngineOptions((), regex=(regex_recognizer("TRIPLE", [Pattern("three", "[0-9]{3}", 0.5)]),))
+    same(spark, [(1, "1234567" * 700, "en"), (2, "12345 and so on " * 300, "en")], triples)
+    assert [r.id for r in seen[-1].collect()] == [1]
+    lots = EngineOptions((), regex=(regex_recognizer("RUN", [Pattern("run", "q+", 0.5)]),))
+    same(spark, [(1, "words here " * 60 + "q" * 400 + " more words" * 90, "en"), (2, "words q " * 200, "en")], lots)
+    assert [r.id for r in seen[-1].collect()] == [1]
+    context = EngineOptions((), regex=(regex_recognizer("N", [Pattern("n", "[0-9]{4}", 0.1)], "far"),))
+    same(spark, [(1, "far " + ("w" * 120 + " ") * 3 + "1234 " + "z" * 99 + " 77" * 300, "en")], context)
+    assert [r.id for r in seen[-1].collect()] == [1]
+
+
+def test_languages_and_entities(spark):
+    deny = EngineOptions(supported_languages=("en",), deny_list=(deny_list_recognizer("W", "word,é"),))
+    rows = [(1, text(1, 400), "en"), (2, text(2, 400), "fr"), (3, text(3, 400), None)]
+    same(spark, rows, deny, lang_col="lang")
+    same(spark, rows, deny, analyze_options(entities="w,us_ssn", score_threshold=0.6))
+
+
+def test_windows(spark):
+    df = spark.createDataFrame([(1, "abcdefghij"), (2, ""), (3, None)], "id long, text string")
+    got = [tuple(r) for r in windows(df, "id", "text", chunk=4, halo=2).orderBy("id", "chunk_no").collect()]
+    assert got == [(1, 0, 0, 4, "abcdef"), (1, 1, 2, 4, "cdefghij"), (1, 2, 2, 2, "ghij"), (2, 0, 0, 0, "")]
+    with pytest.raises(ValueError):
+        windows(df, "id", "text", chunk=4, halo=5)
+
+
+def test_chunks_of_one_text_go_to_many_tasks(spark):
+    df = spark.createDataFrame([(1, text(5, 4000))], "id long, text string")
+    parts = long_texts._dealt(windows(df, "id", "text", chunk=1000, halo=100), "id")
+    assert parts.rdd.glom().filter(len).count() > 3

@@ -104,7 +104,7 @@ def test_last_config_line_wins_on_the_exact_name(spark, tmp_path):
 def test_engine_and_analyze_options(spark, tmp_path):
     regex = {"supported_entity": "ZIP", "pattern": [{"name_pattern": "z", "regex": r"\b\d{5}\b", "score": "0.1"}], "context": ""}
     good = {"uuidClient": "a", "regex": json.dumps(regex), "default_score_threshold": "0.05",
-            "deny_list": json.dumps({"supported_entity": ["T"], "deny_list": ["Mr.,Mrs."]}), "supported_languages": "EN"}
+            "deny_list": json.dumps({"supported_entity": ["T"], "deny_list": ["fig.,No."]}), "supported_languages": "EN"}
     broken = {"uuidClient": "b", "regex": '{ "supported_entity": "ZIP", "pattern": [{\'name_pattern\': \'z\'}], "context": ""}'}
     uneven = {"uuidClient": "c", "deny_list": json.dumps({"supported_entity": ["T"], "deny_list": []})}
     path = write(tmp_path / "e", {f"{o['uuidClient']}.json": json.dumps(o, indent=1) for o in (good, broken, uneven)})
