@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanveil.llm.common import free_name, sent_if_small
+from spanveil.llm.tokens import released
 from spanveil.plans.tables import stored
 
 Passage = tuple[int, str, int]  # item (its place in the list), text, error budget
@@ -134,6 +135,10 @@ def _search(shared):
     return run
 
 
+def drop_matcher() -> None:
+    _HELD.clear()
+
+
 def item_blocks(items: DataFrame, item_col: str, text_col: str, block_chars: int):
     """The test items in blocks of about ``block_chars`` characters, one block at a time on the driver."""
     rows = items.select(F.col(item_col).cast("long").alias("item"), F.col(text_col).cast("string").alias("text")).where(F.length("text") > 0)
@@ -177,7 +182,7 @@ def contaminated(
     found = None
     for names, texts in item_blocks(items, item_col, item_text_col, block_chars):
         made = [p for i, text in enumerate(texts) for p in passages(i, text, size=size, errors=errors, least=least)]
-        part = rows.mapInArrow(_search(spark.sparkContext.broadcast((names, made))), schema)
+        part = rows.mapInArrow(released(_search(spark.sparkContext.broadcast((names, made))), drop_matcher), schema)
         found = part if found is None else found.union(part)
     return found
 

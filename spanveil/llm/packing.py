@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanveil.llm.common import text_of
-from spanveil.llm.tokens import encoder
+from spanveil.llm.tokens import drop_encoders, encoder, released
 from spanveil.plans.tables import stored
 
 Pattern = tuple[tuple[int, int], ...]  # (length, how often)
@@ -187,6 +187,7 @@ def pack(
     id_col: str = "doc_id",
     text_col: str = "text",
     group_rows: int = 200_000,
+    release: bool = False,
 ) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32, sequence_id, offset`` of each piece.
 
@@ -199,13 +200,18 @@ def pack(
     hashed salts, as many as keep a salt near ``group_rows`` pieces, so one
     length may hold all documents.
 
+    With ``release`` a worker gives up its tokenizer and the pieces it knows
+    when a task ends: less memory between tasks and for other stages, more
+    time in each task.
+
     NULL and empty texts have the end id alone (without one, no piece). NULL
     ids are ids like others. Repeated rows are packed as often. Other columns
     are not read. An empty table gives an empty result.
     """
     spark, kind = docs.sparkSession, docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("body"))
-    pieces = stored(rows.mapInArrow(_pieces(tokenizer, end_id, capacity), PIECES.format(kind)), "pieces")
+    cut = _pieces(tokenizer, end_id, capacity)
+    pieces = stored(rows.mapInArrow(released(cut, drop_encoders) if release else cut, PIECES.format(kind)), "pieces")
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # capacity rows at most
     table = spark.sparkContext.broadcast(slots(plan(counts, capacity)))
     salts = max(1, -(-max(counts.values(), default=0) // group_rows))

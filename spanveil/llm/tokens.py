@@ -109,3 +109,40 @@ def encoder(path: str) -> Encoder:
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
     return _ENCODERS[path]
+
+
+def released(run, drop):
+    """A task's function after which ``drop`` empties what its worker holds.
+
+    Workers outlive their tasks; what they hold is not there for other stages
+    of an executor, which may need the memory. ``drop`` is a function of a
+    module, since a task gets copies of anything else.
+    """
+
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            drop()
+            give_back()
+
+    return whole
+
+
+def give_back() -> None:
+    """Freed memory goes back to the system, where the C library can do that."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # another C library; it keeps what it likes
+
+
+def drop_encoders() -> None:
+    _ENCODERS.clear()
