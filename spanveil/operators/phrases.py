@@ -5,11 +5,12 @@ A phrase is looked up by its words and what is between them: ``St. Paul``,
 space. Marks in front of the first word or behind the last one (``Yahoo!``)
 have to stand there too.
 
-A bitmap of first words, of fixed size, drops most positions of a text. What
-is left is tested as a whole phrase before any offset is worked out: against
-the table itself, dealt over slots so that a lookup meets one entry or two, if
-the table is small; against a Bloom filter of fixed size, if it is not. The
-latter's hits meet the table in a join.
+Flags by hash, of words that are phrases and of pairs of words that begin one,
+drop most positions of a text; their number is bounded. What is left is tested
+as a whole phrase before any offset is worked out: against the table itself,
+dealt over slots so that a lookup meets one entry or two, if the table is
+small; against a Bloom filter of fixed size, if it is not. The latter's hits
+meet the table in a join.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from spanveil.plans.tables import stored
 
 # A phrase table up to this size is sent to every executor.
 BROADCAST_BYTES = 32 * 1024 * 1024
-FIRST_BITS = 20  # the bitmap of first words has 2 ** FIRST_BITS bits
+FLAG_BITS = (12, 24)  # there are 2 ** 12 to 2 ** 24 flags of a byte, by the number of phrases
 BLOOM_BITS = 25  # the Bloom filter of whole phrases has 2 ** BLOOM_BITS bits, 4 MB
 SLOTS = 1 << 20  # at most, for a table that is sent
 BLANKS = r"[\s\p{Z}]+"
@@ -51,11 +52,23 @@ def _other(word: str) -> str:
     return f"concat(chr(1), {word})"
 
 
+CHUNK = 1024
+
+
 def _dense(rows: DataFrame, size: int, filler: str) -> Column:
-    """Rows ``(slot, held)`` as one array of ``size`` elements, as a scalar subquery."""
-    slots = rows.sparkSession.range(size).join(rows, F.col("id") == F.col("slot"), "left")
-    ordered = F.array_sort(F.collect_list(F.struct("id", F.coalesce("held", F.expr(filler)).alias("held"))))
-    return slots.agg(F.transform(ordered, lambda s: s["held"]).alias("held")).scalar()
+    """Rows ``(slot, held)`` as one array of ``size`` elements, as a scalar subquery; put together by chunks.
+
+    Up to 2 ** 20 elements are the work of one task, without a shuffle.
+    """
+    spark = rows.sparkSession
+    if size <= 1 << 20:
+        ids, rows = spark.range(0, size, 1, 1), rows.coalesce(1)
+    else:
+        ids = spark.range(size)
+    slots = ids.join(rows, F.col("id") == F.col("slot"), "left")
+    inside = F.sort_array(F.collect_list(F.struct("id", F.coalesce("held", F.expr(filler)).alias("held"))))["held"]
+    chunks = slots.groupBy(F.floor(F.col("id") / F.lit(CHUNK)).alias("chunk")).agg(inside.alias("part"))
+    return chunks.agg(F.flatten(F.sort_array(F.collect_list(F.struct("chunk", "part")))["part"]).alias("held")).scalar()
 
 
 def bitmap_of(table: DataFrame, words: Iterable[str], bits: int) -> Column:
@@ -65,6 +78,18 @@ def bitmap_of(table: DataFrame, words: Iterable[str], bits: int) -> Column:
     return _dense(rows.groupBy("slot").agg(F.bit_or("one").alias("held")), (1 << bits) // 32, "0")
 
 
+def _flag(*words: str, bits: int) -> str:
+    return f"cast(pmod(xxhash64({', '.join(words)}), {1 << bits}) AS int)"
+
+
+def flags_of(table: DataFrame, bits: int) -> Column:
+    """Flags of single words that are phrases, and of the first two words of longer ones with what is between, as a scalar subquery."""
+    words = table.withColumns({"w": F.regexp_extract_all("core", F.lit(f"{WORD}+"), F.lit(0)), "g": F.split("core", f"{WORD}+", -1)})
+    words = words.coalesce(1) if bits <= 20 else words
+    slot = F.when(F.col("n") == 1, F.expr(_flag("w[0]", bits=bits))).otherwise(F.expr(_flag("w[0]", "g[1]", "w[1]", bits=bits)))
+    return _dense(words.select(slot.alias("slot")).distinct().withColumn("held", F.expr("1Y")), 1 << bits, "0Y")
+
+
 @dataclass(frozen=True, eq=False)
 class PhraseTable:
     """A table ``phrase, entity_type`` as a recognizer.
@@ -146,7 +171,8 @@ def add_hits(df: DataFrame, text: Column, table: PhraseTable, out_col: str) -> D
     size = table.size
     if not size["rows"]:
         return df.withColumn(out_col, empty(HIT_TYPE))
-    first = bitmap_of(table.rows, [f"regexp_extract(core, r'^{WORD}+', 0)"], FIRST_BITS)
+    bits = min(max(FLAG_BITS[0], int(size["rows"]).bit_length() + 6), FLAG_BITS[1])
+    first = flags_of(table.rows, bits)
     if table.small:
         count = 1
         while count < min(size["rows"], SLOTS):
@@ -154,7 +180,7 @@ def add_hits(df: DataFrame, text: Column, table: PhraseTable, out_col: str) -> D
         slot = F.pmod(F.xxhash64("core"), F.lit(count)).cast("int").alias("slot")
         entry = F.struct("core", "lead", "trail", "entity_type")
         known = _dense(
-            table.rows.groupBy(slot).agg(F.collect_list(entry).alias("held")), count,
+            table.rows.coalesce(1).groupBy(slot).agg(F.collect_list(entry).alias("held")), count,
             "cast(array() AS array<struct<core:string,lead:string,trail:string,entity_type:string>>)",
         )
         here = f"filter(get(v.known, cast(pmod(xxhash64(_key), {count}) AS int)), _p -> _p.core = _key)"
@@ -167,15 +193,19 @@ def add_hits(df: DataFrame, text: Column, table: PhraseTable, out_col: str) -> D
     fold = "lower({})" if table.ignore_case else "{}"
     word = lambda at: fold.format(f"get(_w, {at})")
     gap = lambda at: fold.format(f"get(_g, {at})")
-    space = f"if({gap('_k + _i')} = ' ', ' ', regexp_replace({gap('_k + _i')}, r'{BLANKS}', ' '))"
-    key = f"aggregate({positions('1', '_n - 1')}, {word('_k')}, (_a, _i) -> concat(_a, {space}, {word('_k + _i')}))"
+    # what is between words, its white space as one space
+    spaced = f"transform(_g, _x -> if(_x = ' ', _x, regexp_replace({fold.format('_x')}, r'{BLANKS}', ' ')))"
+    key = f"aggregate({positions('1', '_n - 1')}, {word('_k')}, (_a, _i) -> concat(_a, get(_s, _k + _i), {word('_k + _i')}))"
     lengths = ", ".join(map(str, sorted(size["lengths"])))
     # (position, words, phrase) of each phrase that is there with its marks
     marks = f"endswith({gap('_k')}, _p.lead) AND startswith({gap('_k + _n')}, _p.trail)"
     entries = f"transform(filter({here}, _p -> {marks}), _p -> named_struct('k', _k, 'n', _n, 'p', _p))"
     of_length = f"transform(filter(array({lengths}), _n -> _k + _n <= size(_w)), _n -> {let(key, '_key', entries)})"
-    begins = f"filter({positions('0', 'size(_w) - 1')}, _k -> {_is_set('v.first', _bit(word('_k'), FIRST_BITS))})"
-    found = f"flatten(flatten(transform({begins}, _k -> {of_length})))"
+    tests = [_flag(word("_k"), bits=bits)] * (min(size["lengths"]) == 1)
+    tests += [_flag(word("_k"), "get(_s, _k + 1)", word("_k + 1"), bits=bits)] * (max(size["lengths"]) > 1)
+    set_ = " OR ".join(f"get(v.first, {t}) = 1Y" for t in tests)
+    begins = f"filter({positions('0', 'size(_w) - 1')}, _k -> {set_})"
+    found = f"flatten(flatten(transform(_begins, _k -> {of_length})))"
 
     raw = (
         "array_join(transform(sequence(0, _h.n - 1), _i -> concat(if(_i = 0, '', get(_g, _h.k + _i)), get(_w, _h.k + _i))), '')"
@@ -200,7 +230,9 @@ def add_hits(df: DataFrame, text: Column, table: PhraseTable, out_col: str) -> D
     nothing = f"cast(array() AS array<{HIT_TYPE}>)"
     body = let(found, "_hits", f"CASE WHEN size(_hits) = 0 THEN {nothing} ELSE {totals(advance, placed)} END")
     words = f"r'{WORD}+'"
-    body = let(f"regexp_extract_all(v.text, {words}, 0)", "_w", let(f"split(v.text, {words}, -1)", "_g", body))
+    body = let(begins, "_begins", f"CASE WHEN size(_begins) = 0 THEN {nothing} ELSE {body} END")
+    body = let(f"split(v.text, {words}, -1)", "_g", let(spaced, "_s", body))
+    body = let(f"regexp_extract_all(v.text, {words}, 0)", "_w", body)
     names = {n: free_name(df, f"_{n}") for n in ("first", "known")}
     given = F.struct(text.alias("text"), *[F.col(c).alias(n) for n, c in names.items()])
     held = df.withColumns({names["first"]: first, names["known"]: known})
