@@ -49,7 +49,9 @@ from spanveil import (  # noqa: E402
 from spanveil.functions.spans import merge_overlaps, surfaces  # noqa: E402
 from spanveil.operators import corpus, identity  # noqa: E402
 from spanveil.operators.analyze import filter_entities, filter_scores  # noqa: E402
+from spanveil.operators.deanonymize import attach_items  # noqa: E402
 from spanveil.operators.recognizers import create_patterns, deny_list_recognizers  # noqa: E402
+from spanveil.plans import stores  # noqa: E402
 from spanveil.plans.tables import shared_folder, stored  # noqa: E402
 from spanveil.sources import configs, documents, results  # noqa: E402
 from spanveil.streaming import streams  # noqa: E402
@@ -1021,6 +1023,39 @@ def leaks_across_documents(s, sf):
     return corpus.leaks_across(done, "doc_id", spans_col="all_spans").select("doc_id", "entity_type", "text").distinct()
 
 
+@query("SELECT doc_id, text AS restored_text, 'ok' AS status FROM documents")
+def restore_from_stores(s, sf):
+    """Texts and items in stores of their own, joined by bucket, then restored."""
+    done = stored(sealed(s, sf, "GCM").select("doc_id", "anonymized_text", "items"), "sealed")
+    parts = {}
+    for name, column in (("texts", "anonymized_text"), ("items", "items")):
+        path = _fresh(s, name)
+        parts[name] = stores.write_store(done.select("doc_id", column), f"store_{uuid.uuid4().hex}", path, "doc_id", buckets=16)
+    opened = deanonymize(attach_items(parts["texts"], parts["items"], "doc_id"), {"EMAIL_ADDRESS": KEY, "IP_ADDRESS": KEY}, mode="GCM")
+    return opened.select("doc_id", "restored_text", "status")
+
+
+@query(
+    f"""SELECT doc_id, regexp_replace(text, '{EMAIL}', CASE WHEN doc_id % 3 = 2 THEN '<EMAIL_ADDRESS>' WHEN doc_id % 3 = 1 THEN '[second]' ELSE '[first]' END, 'g')
+    AS anonymized_text FROM documents"""
+)
+def stream_config_as_of(s, sf):
+    """Each document under the config of its time of arrival, also after later lines were added."""
+    path, config = _fresh(s, "stream"), _fresh(s, "config")
+    when = "CASE doc_id % 3 WHEN 0 THEN '2024-01-05' WHEN 1 THEN '2024-03-05' ELSE '2023-01-01' END"
+    arrived = docs(s, sf).withColumn("arrived", F.expr(f"cast({when} AS timestamp)"))
+    arrived.write.parquet(f"{path}/in")
+    lines = [("2024-01-01", "[first]"), ("2024-03-01", "[second]"), ("2024-05-01", "[later]")]
+    for k, (day, value) in enumerate(lines):
+        row = s.createDataFrame([("EMAIL_ADDRESS", "replace", value, day, k)], "entity_type string, type string, new_value string, valid_from string, seq int")
+        row.write.mode("append").parquet(config)
+    stream = streams.read_stream(s, f"{path}/in", arrived.schema)
+    streams.anonymize_stream_with_config(
+        stream, lambda: s.read.parquet(config), f"{path}/out", f"{path}/state", "doc_id", engine=only("EMAIL_ADDRESS"), as_of="arrived"
+    ).awaitTermination()
+    return s.read.parquet(f"{path}/out").select("doc_id", "anonymized_text")
+
+
 # ---------------------------------------------------------------- contract
 
 

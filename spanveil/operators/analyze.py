@@ -154,6 +154,26 @@ def _plan(engine: EngineOptions, options: AnalyzeOptions):
     return chosen, limit, static, wanted
 
 
+_COMPILED: set[str] = set()
+
+
+def check_expressions(spark, recognizers: Iterable[Recognizer]) -> None:
+    """Try every expression in the session's Java, so that a bad one fails before the job starts."""
+    jvm = getattr(spark, "_jvm", None)
+    if jvm is None:
+        return  # a remote session: the expression fails in the job
+    for r in recognizers:
+        for p in r.patterns:
+            if p.regex in _COMPILED:
+                continue
+            try:
+                jvm.java.util.regex.Pattern.compile(p.regex)
+            except Exception as e:
+                reason = str(getattr(e, "java_exception", e)).splitlines()[0]
+                raise ValueError(f"pattern {p.name!r} of {r.name!r} is no Java expression: {reason}") from None
+            _COMPILED.add(p.regex)
+
+
 def _spoken(recognizers: Iterable, language: str) -> list:
     return [r for r in recognizers if r.languages is None or language in r.languages]
 
@@ -242,6 +262,7 @@ def analyze(
     """
     engine, options = engine or EngineOptions(), options or AnalyzeOptions()
     chosen, limit, static, wanted = _plan(engine, options)
+    check_expressions(df.sparkSession, chosen)
     tables = list(engine.phrase_tables)
     text = F.col(text_col)
     language = F.lower(F.col(lang_col)) if lang_col else F.lit(options.language)

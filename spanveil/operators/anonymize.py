@@ -138,6 +138,34 @@ def config_map(config: DataFrame) -> Column:
     return named.agg(F.map_from_entries(F.collect_list(entry))).scalar()
 
 
+def config_versions(config: DataFrame) -> Column:
+    """A config table with ``valid_from``: a map from entity type to its versions in order, as a scalar subquery.
+
+    Of lines that are valid from the same time the one with the largest
+    ``seq`` counts, where there is such a column. A line without a time is
+    valid always.
+    """
+    params = [f.split(":")[0] for f in PARAMS_TYPE[len("struct<"):-1].split(",")]
+    if "status" in config.columns:
+        config = config.where("status = 'ok'")
+    fields = F.struct(*[F.col(c) if c in config.columns else F.lit(None).alias(c) for c in params]).cast(PARAMS_TYPE)
+    start = F.coalesce(F.col("valid_from").cast("timestamp"), F.to_timestamp(F.lit("0001-01-01 00:00:00"))).alias("valid_from")
+    rows = config.where("entity_type IS NOT NULL").select("entity_type", start, fields.alias("params"), *(["seq"] if "seq" in config.columns else []))
+    latest = F.max_by("params", "seq") if "seq" in config.columns else F.first("params")
+    one = rows.groupBy("entity_type", "valid_from").agg(latest.alias("params"))
+    versions = one.groupBy("entity_type").agg(F.sort_array(F.collect_list(F.struct("valid_from", "params"))).alias("versions"))
+    return versions.agg(F.map_from_entries(F.collect_list(F.struct("entity_type", "versions")))).scalar()
+
+
+def _version(ops: Column, entity_type: Column, time: Column) -> Column:
+    """The last version of an entity type, or else of the default, that was valid at ``time``."""
+    def of(name: Column) -> Column:
+        known = F.filter(F.try_element_at(ops, name), lambda v: v["valid_from"] <= time)
+        return F.try_element_at(known, F.lit(-1))["params"]
+
+    return F.coalesce(of(entity_type), of(F.lit(DEFAULT)))
+
+
 def _outcome(operator: Column, text: Column) -> Column:
     return F.struct(operator.alias("operator"), text.alias("text"))
 
@@ -204,8 +232,8 @@ def _usable(op: Column, mode: str, base64_key: bool) -> Column:
     )
 
 
-def _by_table(ops: Column, doc: Column, mode: str, base64_key: bool):
-    """The replacement of one span, from a config table."""
+def _by_table(of: Callable[[Column], Column], doc: Column, mode: str, base64_key: bool):
+    """The replacement of one span, from a config table; ``of`` gives the line of an entity type."""
 
     def replace(s: Column, value: Column) -> Column:
         def apply(op: Column) -> Column:
@@ -239,7 +267,7 @@ def _by_table(ops: Column, doc: Column, mode: str, base64_key: bool):
                 F.coalesce(text, replacing.placeholder(s["entity_type"])),
             )
 
-        return once(_of_type(ops, s["entity_type"]), apply)
+        return once(of(s["entity_type"]), apply)
 
     return replace
 
@@ -254,6 +282,7 @@ def anonymize(
     items_col: str = "items",
     mode: str = "CBC",
     base64_key: bool = False,
+    as_of: str | None = None,
 ) -> DataFrame:
     """Add the rewritten text, the items (last first) and a ``status``.
 
@@ -262,23 +291,32 @@ def anonymize(
     table that don't say. A line that cannot be carried out (a ``custom``
     operator, a bad key) gives the entity type in place of the value and the
     status ``bad_operator``. Types without an operator get the ``DEFAULT`` one, which is
-    replacement by the entity type. Overlapping spans are merged first, so no
+    replacement by the entity type. With ``as_of``, a column of times, every
+    document gets the lines of the table that were valid then (their
+    ``valid_from``), whatever was added later. Overlapping spans are merged first, so no
     part of a detected value stays.
     """
     doc = F.col(id_col).cast("string") if id_col else F.lit("")
     text, spans, failing = F.col(text_col), F.col(spans_col), None
     if isinstance(operators, DataFrame):
-        df = df.withColumn("_ops", config_map(operators))
-        replace = _by_table(F.col("_ops"), doc, mode, base64_key)
+        if as_of is None:
+            df = df.withColumn("_ops", config_map(operators))
+            of = lambda entity: _of_type(F.col("_ops"), entity)
+        else:
+            df = df.withColumn("_ops", config_versions(operators))
+            of = lambda entity: _version(F.col("_ops"), entity, F.col(as_of))
+        replace = _by_table(of, doc, mode, base64_key)
 
         def unusable(s: Column) -> Column:
             return once(
-                _of_type(F.col("_ops"), s["entity_type"]),
+                of(s["entity_type"]),
                 lambda op: op.isNotNull() & ~F.coalesce(_usable(op, mode, base64_key), F.lit(False)),
             )
 
         failing = F.exists(spans, unusable)
     else:
+        if as_of is not None:
+            raise ValueError("only the lines of a config table have a time")
         operators = dict(operators or {})
         for name, op in operators.items():
             if not isinstance(op, Operator):

@@ -11,13 +11,17 @@ from spanveil.functions import replacing
 from spanveil.functions.arrays import once
 from spanveil.functions.spans import inside, merge_overlaps, rewrite
 from spanveil.operators.anonymize import DEFAULT, Encrypt, check_key, config_map, secrets
+from spanveil.plans.stores import join_stores
 
 FAILED = ("missing_key", "bad_key")
 
 
 def attach_items(texts: DataFrame, items: DataFrame, id_col: str) -> DataFrame:
-    """Join texts with items stored apart; one row per document on each side."""
-    return texts.join(items, id_col, "left")
+    """Join texts with items stored apart; one row per document on each side, or it is an error.
+
+    Stores written with :func:`write_store` join without a shuffle.
+    """
+    return join_stores(texts, items, id_col)
 
 
 def _ring(df: DataFrame, key_table: Mapping[str, str] | DataFrame | None) -> Column | None:

@@ -21,10 +21,11 @@ def analyze_and_anonymize(
     text_col: str = "text",
     lang_col: str | None = None,
     with_text: bool = False,
+    as_of: str | None = None,
 ) -> DataFrame:
     """Spans, new text and items side by side; a narrow plan for batch and stream."""
     found = analyze(df, options, engine, text_col, lang_col, with_text=with_text)
-    return anonymize(found, operators, text_col, id_col=id_col)
+    return anonymize(found, operators, text_col, id_col=id_col, as_of=as_of)
 
 
 def anonymize_corpus(

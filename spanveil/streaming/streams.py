@@ -73,15 +73,18 @@ def anonymize_stream_with_config(
     available_now: bool = True,
     text_col: str = "text",
     lang_col: str | None = None,
+    as_of: str | None = None,
 ) -> StreamingQuery:
     """Like :func:`anonymize_stream`, reading the config table anew per batch.
 
     Every batch overwrites its own folder, so a repeated batch writes the
-    same data again and nothing twice.
+    same data again and nothing twice. With ``as_of``, the documents' time of
+    arrival, and a config of lines that are added with their ``valid_from``,
+    a batch that is repeated after later lines were added gives the same texts.
     """
 
     def batch(df: DataFrame, number: int) -> None:
-        done = analyze_and_anonymize(df, id_col, config(), options, engine, text_col, lang_col)
+        done = analyze_and_anonymize(df, id_col, config(), options, engine, text_col, lang_col, as_of=as_of)
         done.select(id_col, "anonymized_text", "spans", "items", "status").write.mode("overwrite").parquet(
             f"{path}/batch={number}"
         )

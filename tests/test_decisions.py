@@ -73,3 +73,12 @@ def test_per_document_entities_and_thresholds(spark):
     both = analyze(df, options, traced).orderBy("id").collect()
     plain = analyze(df, options, ENGINE).orderBy("id").collect()
     assert [r.spans for r in both] == [r.spans for r in plain]
+
+
+def test_bad_java_expressions_fail_before_the_job(spark):
+    import pytest
+
+    for regex in ("(?P<n>a)", "[a", "a{2,1}"):
+        bad = EngineOptions((), regex=(regex_recognizer("X", [Pattern("bad", regex, 0.5)]),))
+        with pytest.raises(ValueError, match="no Java expression"):
+            analyze(docs(spark), engine=bad)

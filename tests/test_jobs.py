@@ -71,3 +71,32 @@ def test_corpus_job(spark, sf, tmp_path):
 def test_entry_and_names(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_a_repeated_batch_gets_the_config_of_its_time(spark, tmp_path):
+    kind = "entity_type string, type string, new_value string, valid_from string, seq int"
+    config = f"{tmp_path}/config"
+
+    def add(seq, day, value, entity="EMAIL_ADDRESS"):
+        spark.createDataFrame([(entity, "replace", value, day, seq)], kind).write.mode("append").parquet(config)
+
+    rows = [(1, "a@b.org", "2024-02-01"), (2, "a@b.org 10.0.0.1", "2024-06-01"), (3, "a@b.org", "2023-06-01"), (4, "a@b.org", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, day string").withColumn("at", F.col("day").cast("timestamp")).drop("day")
+    df.write.parquet(f"{tmp_path}/in")
+    engine = EngineOptions(tuple(recognizers_for("EMAIL_ADDRESS", "IP_ADDRESS")))
+
+    def run(name):
+        streams.anonymize_stream_with_config(
+            streams.read_stream(spark, f"{tmp_path}/in", df.schema), lambda: spark.read.parquet(config), f"{tmp_path}/{name}",
+            f"{tmp_path}/{name}-state", "doc_id", engine=engine, as_of="at",
+        ).awaitTermination()
+        return {r.doc_id: r.anonymized_text for r in spark.read.parquet(f"{tmp_path}/{name}").collect()}
+
+    add(1, "2024-01-01", "[one]")
+    add(2, "2024-05-01", "[two]")
+    add(3, "2024-05-01", "[two, mended]")
+    add(4, "2024-04-01", "[rest]", "DEFAULT")
+    first = run("a")
+    assert first == {1: "[one]", 2: "[two, mended] [rest]", 3: "<EMAIL_ADDRESS>", 4: "<EMAIL_ADDRESS>"}
+    add(5, "2024-07-01", "[three]")
+    assert run("b") == first
