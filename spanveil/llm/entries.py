@@ -56,7 +56,7 @@ def frequent_sql(line: str, share: float, docs: int) -> str:
 
 
 @query(
-    rf"""WITH {frequent_sql(f"trim(regexp_replace(raw, '[0-9]+', '0', 'g'), {SPACES_SQL})", 0.2, 10)},
+    rf"""WITH {frequent_sql(f"trim(regexp_replace(raw, '[0-9]+', '0', 'g'), {SPACES_SQL})", 0.08, 3)},
     w AS (SELECT doc_id, coalesce(text, '') AS text, {WORDS_SQL} AS words FROM documents),
     p AS (SELECT doc_id, words, unnest(range(1, len(words) - 6)) AS i FROM w WHERE len(words) > 8),
     r AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, array_to_string(words[i:i + 7], ' ')) AS c FROM p),
@@ -76,7 +76,7 @@ def op10_quality_rules(s, sf):
 
 
 @query(
-    f"""WITH {frequent_sql(f"trim(raw, {SPACES_SQL})", 0.1, 10)},
+    f"""WITH {frequent_sql(f"trim(raw, {SPACES_SQL})", 0.08, 3)},
     k AS (SELECT l.doc_id, l.i, raw, m.line IS NOT NULL AS gone FROM lines l
       LEFT JOIN many m ON l.source IS NOT DISTINCT FROM m.source AND l.line = m.line)
     SELECT doc_id, coalesce(string_agg(CASE WHEN NOT gone THEN raw END, chr(10) ORDER BY i), '') AS text, count(*) AS n_lines,

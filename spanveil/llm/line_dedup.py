@@ -20,8 +20,8 @@ def line_dedup(
     *,
     text_col: str = "text",
     host_col: str = "source",
-    ratio: float = 0.1,
-    min_pages: int = 10,
+    ratio: float = 0.08,
+    min_pages: int = 3,
     length_col: str | None = None,
     lines_col: str = "n_lines",
     removed_col: str = "n_removed",
@@ -30,7 +30,8 @@ def line_dedup(
 
     Pages are grouped by host; a line (outer spaces dropped) that stands on at
     least ``min_pages`` pages and on more than ``ratio`` of the pages of its
-    host goes from all of them. Pages with equal text count once, so that
+    host goes from all of them; the number guards hosts of a few pages, the
+    ratio decides on all others. Pages with equal text count once, so that
     copies of one page don't make its lines boilerplate. All columns stay;
     ``lines_col`` and ``removed_col`` count the lines of the page and those
     removed, and ``length_col`` is set to the new length where it is named.

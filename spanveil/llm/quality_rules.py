@@ -67,8 +67,8 @@ def _judged(
     host_col: str = "source",
     min_words: int = 20,
     max_repeat_percent: int = 30,
-    line_share: float = 0.2,
-    line_docs: int = 10,
+    line_share: float = 0.08,
+    line_docs: int = 3,
     max_lost: float = 0.7,
 ) -> DataFrame:
     """``carried`` of each row with its counts and verdict."""

@@ -62,7 +62,7 @@ def test_rules_against_brute_force(spark):
 
 def test_keep_good_keeps_whole_rows(spark):
     rows = more_rows()
-    want = [r for r, v in zip(rows, rules(rows, 0.2, 10, 0.7)) if v[-1]]
+    want = [r for r, v in zip(rows, rules(rows, 0.08, 3, 0.7)) if v[-1]]
     assert want and bare(keep_good(frame(spark, rows)).collect()) == bare(want)
 
 
@@ -70,9 +70,9 @@ def test_stage_removes_the_lines_that_the_rules_remove(spark):
     """The footer's year differs in each document, so only the normalised lines agree."""
     rows = [r for r in more_rows() if r[0] is not None]
     clean = lambda x: re.sub("[0-9]+", "0", x).strip(SPACES)
-    many = frequent(rows, clean, 0.2, 10)
+    many = frequent(rows, clean, 0.08, 3)
     text = lambda r: "\n".join(x for x in (r[1] or "").split("\n") if clean(x) not in many[r[3]])
-    want = [(r[0], text(r), len(text(r))) for r, v in zip(rows, rules(rows, 0.2, 10, 0.7)) if v[-1]]
+    want = [(r[0], text(r), len(text(r))) for r, v in zip(rows, rules(rows, 0.08, 3, 0.7)) if v[-1]]
     got = corpus_pipeline.quality(spark, frame(spark, rows), "")
     assert got.columns == frame(spark).columns and sum("All rights" in r[1] for r in rows if r[1]) > 30
     assert bare(got.select("doc_id", "text", "n_chars").collect()) == bare(want) and not any("All rights" in x[1] and x[0] in range(100, 125) for x in want)
@@ -112,3 +112,27 @@ def test_line_dedup_sets_the_length_and_takes_empty_tables(spark):
 def test_copies_of_a_page_make_no_boilerplate(spark):
     rows = [(i, "first line\nsecond line", "en", "h", None, *corpus()[0][5:]) for i in range(40)]
     assert line_dedup(frame(spark, rows)).where("n_removed > 0").count() == 0
+
+
+def test_limits_hold_on_hosts_of_any_size(spark):
+    """With the defaults: a line on a tenth of a host's pages goes, on three pages at least; one on two pages stays."""
+    footer, extra, rows = "Printed by the press of this house, all rights with it", corpus()[0][5:], []
+    for host, n in (("nine", 9), ("fifty", 50), ("many", 500)):
+        shared = max(3, n // 10)
+        for k in range(n):
+            text = prose(n * 1000 + k, 40).replace("\n", " ")
+            text += f"\n{footer}" if k < shared else "\nA line of two pages only" if k < shared + 2 else ""
+            rows.append((len(rows), text, "en", host, None, *extra))
+    removed = {r["doc_id"]: r["n_removed"] for r in line_dedup(frame(spark, rows)).collect()}
+    judged = {r["doc_id"]: r["removed_words"] for r in quality_rules(frame(spark, rows)).collect()}
+    for r in rows:
+        assert removed[r[0]] == (footer in r[1]) and judged[r[0]] == 11 * (footer in r[1])
+
+
+def test_the_verdict_is_more_than_the_base_rules(spark):
+    """Documents of little but boilerplate pass the base rules and are rejected."""
+    extra, line = corpus()[0][5:], " ".join(f"word{k}" for k in range(30))
+    rows = [(k, f"{line.replace('word1 ', 'wordé ')}\n{prose(k, 3)} {k}", "en", "h", None, *extra) for k in range(20)]
+    rows += [(100 + k, prose(900 + k, 60), "en", "h", None, *extra) for k in range(20)]
+    got = {r["doc_id"]: r for r in quality_rules(frame(spark, rows)).collect()}
+    assert all(not got[k]["base_failed"] and not got[k]["kept"] for k in range(20)) and all(got[100 + k]["kept"] for k in range(20))
