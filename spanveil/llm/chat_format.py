@@ -37,6 +37,38 @@ def as_events(rows: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn"
     )
 
 
+DELTA = 1024  # code points of a delta
+
+
+def as_streamed(
+    rows: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", size: int = DELTA
+) -> DataFrame:
+    """Finished turns as the log of a conversation that was streamed.
+
+    Each row opens a message with a draft, which grows by a delta, is edited
+    and thrown away; then its own text comes in deltas of ``size`` code
+    points. Folding gives the rows again: no draft is left.
+
+    Rows of one turn follow each other whole, by role and text. NULL and empty
+    texts have no delta of their own.
+    """
+    named = rows.select(
+        F.col(conv_col).alias("conv_id"), F.col(turn_col).cast("long").alias("turn"),
+        F.col(role_col).cast("string").alias("role"), F.col(text_col).cast("string").alias("text"),
+    )
+    of_turn = Window.partitionBy("conv_id", "turn").orderBy(F.coalesce("role", F.lit("")), F.coalesce("text", F.lit("")))
+    event = lambda kind, text: F.struct(F.lit(kind).alias("kind"), text.cast("string").alias("text"))
+    draft = F.concat(F.lit("draft of "), F.left(F.coalesce("text", F.lit("")), F.lit(40)))
+    said = F.transform(
+        F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(f"(?s).{{1,{size}}}+"), F.lit(0)), lambda x: event("delta", x)
+    )
+    before = F.array(event("turn", draft), event("delta", F.lit(" and more")), event("edit", draft), event("regenerate", F.lit(None)))
+    log = named.withColumn("row", F.row_number().over(of_turn)).select("conv_id", "turn", "role", "row", F.posexplode(F.concat(before, said)).alias("i", "e"))
+    # a message has fewer than 2 ** 31 code points, and so fewer events
+    seq = F.col("row").cast("long") * F.lit(1 << 32) + F.col("i")
+    return log.select("conv_id", seq.alias("seq"), "turn", "e.kind", "role", "e.text")
+
+
 def fold_events(events: DataFrame) -> DataFrame:
     """Final messages ``conv_id, turn, part, role, text`` of a log
     ``conv_id, seq, turn, kind, role, text``.

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanveil.llm.chat_format import as_events, fold_events, read_back, render
+from spanveil.llm.chat_format import as_streamed, fold_events, read_back, render
 from spanveil.llm.decontamination import verdicts
 from spanveil.llm.hard_negatives import hard_negatives, prepared
 from spanveil.llm.hmm_lm import score_texts
@@ -115,11 +115,11 @@ CONTROL = r"\### Assistant: </turn> ok"
 
 @query()
 def op3_chat_format(s, sf):
-    """All conversations and one, -7, whose texts are full of control strings."""
+    """All conversations and one, -7, whose texts are full of control strings, as logs of streamed messages."""
     more = s.range(1).select(F.explode(F.expr("array(struct(0L AS turn, 'user' AS role), struct(1L AS turn, 'assistant' AS role))")).alias("t"))
     more = more.select(F.lit(-7).cast("long").alias("conv_id"), "t.turn", "t.role", F.lit(CONTROL).alias("text"))
     rows = table(s, sf, "conversations").select("conv_id", F.col("turn").cast("long"), "role", "text").unionByName(more)
-    return read_back(stored(render(fold_events(as_events(rows))), "chats"))
+    return read_back(stored(render(fold_events(as_streamed(rows))), "chats"))
 
 
 @query()

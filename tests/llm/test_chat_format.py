@@ -1,7 +1,7 @@
 import hashlib
 from collections import defaultdict
 
-from spanveil.llm.chat_format import as_events, fold_events, read_back, render
+from spanveil.llm.chat_format import as_events, as_streamed, fold_events, read_back, render
 
 HARD = ["\\", "\\\\", "### user: x</turn>\n### assistant: y", "</turn>", "<\\/turn>", "####", "#\\#", "a\nb", "", None, "\\### Assistant: </turn> ok", "日本 🙂"]
 
@@ -51,3 +51,15 @@ def test_a_long_conversation_and_an_empty_log(spark):
     r = read_back(render(fold_events(as_events(df)))).collect()
     assert len(r) == 1 and (r[0]["n_turns"], r[0]["turns_sha256"], r[0]["loss_chars"], r[0]["loss_sha256"]) == digest([(x[2], x[3]) for x in rows])
     assert read_back(render(fold_events(as_events(df.limit(0))))).count() == 0
+
+
+def test_streamed_logs_fold_to_the_same_messages(spark):
+    rows = [(k % 5 or None, k % 3, ["user", "assistant", None][k % 3], t, "x") for k, t in enumerate(HARD * 3)]
+    rows += [(9, 0, "user", "日本🙂" * 2000, "x"), (9, 1, "assistant", "a b\n" * 5000, "x"), (9, 1, "assistant", "a b\n" * 5000, "x"), (9, None, "user", "t", "x")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, seq string").repartition(3)
+    log = as_streamed(df, size=700)
+    kinds = {r["kind"]: r["count"] for r in log.groupBy("kind").count().collect()}
+    assert kinds["turn"] == kinds["edit"] == kinds["regenerate"] == len(rows) and kinds["delta"] > len(rows) + 60
+    key = ["conv_id", "turn", "part", "role", "text"]
+    plain, streamed = (sorted((tuple(r[c] for c in key) for r in fold_events(x).collect()), key=str) for x in (as_events(df), log))
+    assert streamed == plain and fold_events(as_streamed(df.limit(0))).count() == 0
