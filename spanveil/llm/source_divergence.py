@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanveil.llm.common import sent_if_small, text_of
+from spanveil.llm.tokens import released
 from spanveil.plans.tables import fresh_path, stored
 
 LEAST_DOCS = 10
@@ -29,7 +30,7 @@ PAIRS_HELD = 1 << 20  # (source, term) sums that a task holds before it passes t
 
 # ------------------------------------------------------------------- terms
 
-WINDOW = 4 << 20  # bytes that are cut into terms at once
+WINDOW = 1 << 20  # bytes that are cut into terms at once
 PROBE = 12  # of the terms' hashes, one in 2 ** PROBE is kept to count distinct terms by
 
 # Bytes of terms: a to z, A to Z as these, all bytes of characters beyond ASCII; 0 for all others.
@@ -40,6 +41,10 @@ _BASE = 0x9E3779B97F4A7C15  # odd, so that its powers have inverses modulo 2^64
 _powers: list[np.ndarray] = []
 
 
+def drop_powers() -> None:
+    _powers.clear()
+
+
 def _power_tables(n: int) -> list[np.ndarray]:
     """Powers of the base and of its inverse, as long as the longest window so far."""
     if not _powers or len(_powers[0]) < n:
@@ -245,7 +250,7 @@ def _counted(rows: DataFrame, lang_no: int, least_docs: int) -> DataFrame | None
         return None
     words = pa.array(model.vocabulary, pa.string())
     vocabulary = spark.createDataFrame(pa.table({"index": pa.array(np.arange(len(words), dtype=np.int32)), "term": words}))
-    sums = model.transform(rows).select("group_no", "vector").mapInArrow(_group_sums, "group_no int, index int, count long")
+    sums = model.transform(rows).select("group_no", "vector").mapInArrow(released(_group_sums, drop_powers), "group_no int, index int, count long")
     sums = sums.groupBy("group_no", "index").agg(F.sum("count").alias("count"))
     return stored(sums.join(vocabulary, "index").select(F.lit(lang_no).alias("lang_no"), "group_no", "term", "count"), "term-counts")
 
@@ -311,7 +316,7 @@ def source_divergence(
     placed = base.join(sent_if_small(groups), ["lang", "source"]).select("lang_no", "group_no", "body")
     kind = "lang_no int, group_no int, terms string, probe array<long>"
     # every document stays, with or without terms
-    placed.mapInArrow(_cutter, kind).write.partitionBy("lang_no").option("compression", "lz4").parquet(path)
+    placed.mapInArrow(released(_cutter, drop_powers), kind).write.partitionBy("lang_no").option("compression", "lz4").parquet(path)
     tokens = spark.read.schema(kind).parquet(path)
     counts = stored(term_counts(tokens, langs, least_docs, slice_terms), "all-term-counts")
 
